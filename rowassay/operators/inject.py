@@ -96,7 +96,7 @@ class Part:
 @dataclass(frozen=True)
 class Variant:
     error_type: str
-    rate: float
+    rate: float | None
     seed: int
     inplace: tuple[Part, ...] = ()
     appended: tuple[Part, ...] = ()
@@ -114,7 +114,7 @@ def single(inj: Injector, rate: float, seed: int, n: int) -> Variant:
     return Variant(inj.error_type, rate, seed, inplace=(part,))
 
 
-def mixed(plan: Iterable[tuple[Injector, float]], seed: int, n: int, rate: float = 0.0) -> Variant:
+def mixed(plan: Iterable[tuple[Injector, float]], seed: int, n: int, rate: float | None = None) -> Variant:
     """Several injectors on disjoint rows: consecutive slices of one order; appended copies last."""
     plan = list(plan)
     inplace, appended, cursor = [], [], 0
@@ -296,13 +296,20 @@ class Injection:
             classes.setdefault(self.schema_class(vi), []).append(vi)
         return classes
 
-    def rows(self, members: list[int] | None = None, changed_only: bool = False, keep_old: bool = False) -> DataFrame:
+    def rows(
+        self,
+        members: list[int] | None = None,
+        changed_only: bool = False,
+        keep_old: bool = False,
+        within: Column | None = None,
+    ) -> DataFrame:
         """Rows of the variants ``members`` (which must be of one schema class).
 
         Columns: ``_variant``, ``_hit`` (in-place part that changed the row, else -1), ``_append``
         (appending part the row is a copy of, else -1), the row id, and the table's columns.
         ``changed_only`` leaves out the rows a variant does not touch; ``keep_old`` adds the row
-        before the change as struct ``_old`` and the id of the source row as ``_source``.
+        before the change as struct ``_old`` and the id of the source row as ``_source``; ``within``
+        restricts the base rows that are read (not which of them are corrupted).
         """
         members = list(range(len(self.variants))) if members is None else members
         casts = dict(self.schema_class(members[0])) if members else {}
@@ -321,7 +328,8 @@ class Injection:
                 entries.append(F.when(hit >= 0, original) if changed_only else original)
             for j, part in enumerate(variant.appended):
                 entries.append(F.when(self.takes(part), entry(vi, hit, j)))
-        exploded = self.with_hashes(self.base).select(
+        source = self.base if within is None else self.base.filter(within)
+        exploded = self.with_hashes(source).select(
             ROW_ID, *[f"`{c}`" for c in columns], F.explode(F.array_compact(F.array(*entries))).alias("_x")
         ).select("_x.*", ROW_ID, *[f"`{c}`" for c in columns])
 
