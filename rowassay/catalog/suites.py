@@ -170,7 +170,7 @@ def q_profile_value_set(spark, sf):
 
 
 def _number(sql: str) -> str:
-    return f"CAST(CAST({sql} AS DOUBLE) AS VARCHAR)"
+    return f"CAST(CAST({sql} AS DOUBLE) + CAST(0 AS DOUBLE) AS VARCHAR)"
 
 
 def profile_sql(t: str) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,11 @@ def _fractional(t: T.DataType) -> bool:
     return isinstance(t, (T.DoubleType, T.FloatType))
 
 
+def _plain_zero(c: Column) -> Column:
+    """Zero and minus zero are equal, so which one an aggregate keeps is chance; adding zero settles it."""
+    return c + F.lit(0.0)
+
+
 def _rows(df: DataFrame, aggregates: list, structs: list) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*structs)))
 
@@ -62,7 +67,7 @@ def profile_range(df: DataFrame) -> DataFrame:
     aggs, out = [], []
     for i, f in enumerate(f for f in _visible(df) if _numeric(f.dataType)):
         c = F.col(f"`{f.name}`").cast("double")
-        aggs += [F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")]
+        aggs += [_plain_zero(F.min(c)).alias(f"_lo{i}"), _plain_zero(F.max(c)).alias(f"_hi{i}")]
         out.append(F.struct(
             F.lit(f.name).alias("column"), F.col(f"_lo{i}").alias("min_value"), F.col(f"_hi{i}").alias("max_value")
         ))
@@ -116,7 +121,7 @@ def _describe(df: DataFrame) -> dict:
         if _comparable(f.dataType):
             aggs.append(F.approx_count_distinct(c, _SKETCH_ERROR).alias(f"about{i}"))
         if _numeric(f.dataType):
-            aggs += [F.min(c.cast("double")).alias(f"lo{i}"), F.max(c.cast("double")).alias(f"hi{i}")]
+            aggs += [_plain_zero(F.min(c.cast("double"))).alias(f"lo{i}"), _plain_zero(F.max(c.cast("double"))).alias(f"hi{i}")]
         if isinstance(f.dataType, T.StringType):
             aggs += [F.min(F.char_length(c)).alias(f"lo{i}"), F.max(F.char_length(c)).alias(f"hi{i}")]
     return df.agg(*aggs).first().asDict()
