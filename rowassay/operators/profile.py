@@ -19,9 +19,11 @@ from rowassay.operators.rules import Rule, rule
 MAX_CATEGORIES = 20
 NOTE = "profiled from clean data"
 
-_SKETCH_ERROR = 0.02
-_KEY_SHARE = 0.9  # an estimate this close to the row count may be a key
-_CATEGORY_SLACK = 2  # an estimate this many times over the limit is settled exactly
+# The sketch only prunes; what it leaves in doubt is settled exactly. Finer sketches cost far more
+# (their registers are buffer columns), so the margins are wide instead: eight standard errors.
+_SKETCH_ERROR = 0.05
+_KEY_SHARE = 0.6  # an estimate this close to the row count may be a key
+_CATEGORY_SLACK = 2  # an estimate up to this many times the limit may be within it
 
 
 def _visible(df: DataFrame) -> list[T.StructField]:
