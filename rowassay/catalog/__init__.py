@@ -6,7 +6,7 @@ from importlib import import_module
 
 from rowassay.catalog.registry import ORACLE, QUERIES
 
-for _part in ("tables", "rules", "suites", "injections", "responses"):
+for _part in ("tables", "rules", "suites", "injections", "responses", "scores"):
     import_module(f"rowassay.catalog.{_part}")
 
 
