@@ -9,15 +9,15 @@ that want it, and one projection applies the corruption of the variant it was ex
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowassay import ROW_ID
-from rowassay.functions.select import Cut, Selection, half_even, row_hash
+from rowassay.functions.select import Selection, half_even, row_hash
 from rowassay.operators.validate import require_row_id
 
 # Error names, malformed tokens, sentinels and offsets.
@@ -145,52 +145,66 @@ def as_text(c: Column, t: T.DataType) -> Column:
     return c.cast("string")
 
 
-@dataclass
 class Injection:
-    """Variants of one table, ready to be read as rows or as labels."""
-
-    base: DataFrame
-    variants: list[Variant]
-    dataset: str = ""
-    selection: Selection | None = None
-    _cuts: dict[tuple[int, int], Cut] = field(default_factory=dict)
-    _ranges: dict[tuple[int, int], tuple] = field(default_factory=dict)
-
-    def __post_init__(self):
-        require_row_id(self.base)
-        if self.selection is None:
-            seeds = {p.order_seed for v in self.variants for p in v.parts}
-            self.selection = Selection(self.base, sorted(seeds) or [0])
+    """Variants of one table, ready to be read as rows or as labels.
+
+    What a base row becomes in a variant is one small number, its *fate*: which variant, which
+    in-place part hit the row, which appending part copied it. Rows are exploded into fates, and
+    everything else (the new value, the label) is looked up by fate, so the generated code stays
+    small however many variants there are.
+    """
+
+    def __init__(self, base: DataFrame, variants: list[Variant], dataset: str = "", selection: Selection | None = None):
+        require_row_id(base)
+        self.base, self.variants, self.dataset = base, variants, dataset
+        parts = [p for v in variants for p in v.parts]
+        self.selection = selection or Selection(base, sorted({p.order_seed for p in parts}) or [0])
         self.n = self.selection.n
-        wanted = {(p.order_seed, p.skip + d) for v in self.variants for p in v.parts for d in (0, p.k)}
-        self._cuts = self.selection.cuts(sorted(wanted))
-        self._types = {f.name: f.dataType for f in self.base.schema}
-        self._find_ranges()
+        self._seeds = sorted({p.order_seed for p in parts})
+        self._marks = {
+            s: sorted({k for p in parts if p.order_seed == s for k in (p.skip, p.skip + p.k) if k > 0}) for s in self._seeds
+        }
+        self._cuts = self.selection.cuts([(s, k) for s in self._seeds for k in self._marks[s]])
+        self._types = {f.name: f.dataType for f in base.schema}
         self._first_new_id = None
+        self._fates, self._offsets = [], []
+        for vi, v in enumerate(variants):
+            self._offsets.append(len(self._fates))
+            self._fates += [(vi, hit, app) for app in range(-1, len(v.appended)) for hit in range(-1, len(v.inplace))]
+        self._ranges: dict[tuple[int, int], tuple] = {}
+        self._find_ranges()
+        self._list_actions()
 
     # -- which rows --------------------------------------------------------
 
-    def _hash_name(self, seed: int) -> str:
-        return f"_h{seed}"
+    def with_places(self, df: DataFrame) -> DataFrame:
+        """Add, per order seed, how far down its order a row stands: the number of cuts before it."""
+        hashed = df.withColumns({f"_h{s}": row_hash(s) for s in self._seeds})
+        return hashed.withColumns({f"_at{s}": self._place(s) for s in self._seeds}).drop(*[f"_h{s}" for s in self._seeds])
 
-    def with_hashes(self, df: DataFrame) -> DataFrame:
-        seeds = sorted({p.order_seed for v in self.variants for p in v.parts})
-        return df.withColumns({self._hash_name(s): row_hash(s) for s in seeds})
+    def _place(self, seed: int) -> Column:
+        """From the last cut backwards: most rows are past it and need one comparison."""
+        h, marks = F.col(f"_h{seed}"), self._marks[seed]
+        place = None
+        for i in range(len(marks) - 1, -1, -1):
+            past = ~self._cuts[seed, marks[i]].covers(h)
+            place = F.when(past, i + 1) if place is None else place.when(past, i + 1)
+        return F.lit(0) if place is None else place.otherwise(0)
 
     def takes(self, part: Part) -> Column:
-        """The row is among those the part corrupts (over ``with_hashes``)."""
-        h = F.col(self._hash_name(part.order_seed))
-        upto = self._cuts[part.order_seed, part.skip + part.k].covers(h)
-        if part.skip == 0:
-            return upto
-        return upto & ~self._cuts[part.order_seed, part.skip].covers(h)
+        """The row is among those the part corrupts (over ``with_places``)."""
+        if part.k <= 0:
+            return F.lit(False)
+        at, marks = F.col(f"_at{part.order_seed}"), self._marks[part.order_seed]
+        inside = at <= marks.index(part.skip + part.k)
+        return inside if part.skip == 0 else inside & (at > marks.index(part.skip))
 
     def hit(self, variant: Variant) -> Column:
-        """Which in-place part takes the row: its position, -1 for none (over ``with_hashes``)."""
-        chosen = F.lit(-1)
+        """Which in-place part takes the row: its position, -1 for none (over ``with_places``)."""
+        chosen = None
         for i, part in enumerate(variant.inplace):
-            chosen = F.when(self.takes(part), i).otherwise(chosen)
-        return chosen
+            chosen = F.when(self.takes(part), i) if chosen is None else chosen.when(self.takes(part), i)
+        return F.lit(-1) if chosen is None else chosen.otherwise(-1)
 
     # -- what happens to them ------------------------------------------------
 
@@ -207,32 +221,36 @@ class Injection:
             if p.injector.error_type == "out_of_range"
         ]
         while todo:
-            ready = [
-                (vi, pi) for vi, pi in todo
-                if not any(a == vi and b < pi for a, b in todo)
-            ]
+            ready = [(vi, pi) for vi, pi in todo if not any(a == vi and b < pi for a, b in todo)]
             wanted, names = {}, {}
             for vi, pi in ready:
-                variant, part = self.variants[vi], self.variants[vi].inplace[pi]
-                column = part.injector.column
-                earlier = [p for p in variant.inplace[:pi] if p.injector.column == column]
-                names[vi, pi] = column if not earlier else f"{column}@{vi}.{pi}"
+                variant, column = self.variants[vi], self.variants[vi].inplace[pi].injector.column
+                earlier = [j for j, p in enumerate(variant.inplace[:pi]) if p.injector.column == column]
+                names[vi, pi] = f"{column}@{vi}.{pi}" if earlier else column
                 seen = F.col(f"`{column}`").cast("double")
-                if earlier:
-                    hit, seen = self.hit(variant), F.col(f"`{column}`").cast("double")
-                    for j, p in enumerate(variant.inplace[:pi]):
-                        if p.injector.column == column:
-                            seen = F.when(hit == j, self._new_value(vi, j).try_cast("double")).otherwise(seen)
+                for j in earlier:
+                    seen = F.when(self.hit(variant) == j, self._new_value(vi, j).try_cast("double")).otherwise(seen)
                 wanted[names[vi, pi]] = seen
             aggregates = []
             for i, seen in enumerate(wanted.values()):
                 aggregates += [F.min(seen).alias(f"lo{i}"), F.max(seen).alias(f"hi{i}")]
-            row = self.with_hashes(self.base).agg(*aggregates).first()
+            row = self.with_places(self.base).agg(*aggregates).first()
             at = {name: (row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(wanted)}
             for key in ready:
                 self._ranges[key] = at[names[key]]
             todo = [t for t in todo if t not in ready]
 
+    def _list_actions(self) -> None:
+        """Number the different changes per column; most variants share theirs with others."""
+        self._actions: dict[tuple, tuple[int, int]] = {}  # what is done -> an example of a part doing it
+        self._action_of: dict[tuple[int, int], int] = {}
+        for vi, v in enumerate(self.variants):
+            for pi, p in enumerate(v.inplace):
+                draws = p.label_seed if p.injector.error_type == "type_or_format_error" else None
+                what = (p.injector, self._ranges.get((vi, pi)), draws)
+                self._actions.setdefault(what, (vi, pi))
+                self._action_of[vi, pi] = list(self._actions).index(what)
+
     def _new_value(self, vi: int, pi: int) -> Column:
         """The corrupted value of the part's column."""
         part = self.variants[vi].inplace[pi]
@@ -296,6 +314,21 @@ class Injection:
             classes.setdefault(self.schema_class(vi), []).append(vi)
         return classes
 
+    # -- reading ---------------------------------------------------------------
+
+    def _by_fate(self, value: Callable[[int, int, int], object], kind: str) -> Column:
+        """A constant per fate: ``value(variant, hit, append)``."""
+        return F.element_at(F.array(*[F.lit(value(*f)) for f in self._fates]).cast(f"array<{kind}>"), F.col("_fate") + 1)
+
+    def _past_every_cut(self, members: list[int]) -> Column:
+        """No member touches the row: one comparison per order."""
+        last: dict[int, int] = {}
+        for vi in members:
+            for p in self.variants[vi].parts:
+                last[p.order_seed] = max(last.get(p.order_seed, 0), p.skip + p.k)
+        tests = [F.col(f"_at{s}") > self._marks[s].index(k) for s, k in sorted(last.items()) if k > 0]
+        return functools.reduce(Column.__and__, tests, F.lit(True))
+
     def rows(
         self,
         members: list[int] | None = None,
@@ -305,53 +338,64 @@ class Injection:
     ) -> DataFrame:
         """Rows of the variants ``members`` (which must be of one schema class).
 
-        Columns: ``_variant``, ``_hit`` (in-place part that changed the row, else -1), ``_append``
-        (appending part the row is a copy of, else -1), the row id, and the table's columns.
-        ``changed_only`` leaves out the rows a variant does not touch; ``keep_old`` adds the row
-        before the change as struct ``_old`` and the id of the source row as ``_source``; ``within``
-        restricts the base rows that are read (not which of them are corrupted).
+        Columns: ``_fate``, ``_variant``, ``_hit`` (in-place part that changed the row, else -1),
+        ``_append`` (appending part the row is a copy of, else -1), the row id, and the table's
+        columns. ``changed_only`` leaves out the rows a variant does not touch; ``keep_old`` adds
+        the row before the change as struct ``_old`` and the id of the source row as ``_source``;
+        ``within`` restricts the base rows that are read (not which of them are corrupted).
         """
         members = list(range(len(self.variants))) if members is None else members
         casts = dict(self.schema_class(members[0])) if members else {}
         if any(dict(self.schema_class(vi)) != casts for vi in members):
             raise ValueError("variants with different column types need separate scans")
         columns = [c for c in self.base.columns if c != ROW_ID]
-        entry = lambda vi, hit, app: F.struct(
-            F.lit(vi).alias("_variant"), hit.alias("_hit"), F.lit(app).alias("_append")
-        )
-        entries = []
+        fates = []
         for vi in members:
-            variant = self.variants[vi]
+            variant, offset = self.variants[vi], self._offsets[vi]
             hit = self.hit(variant)
-            original = entry(vi, hit, -1)
-            if variant.inplace or not changed_only:
-                entries.append(F.when(hit >= 0, original) if changed_only else original)
+            if not changed_only:
+                fates.append(hit + (offset + 1))
+            elif variant.inplace:
+                fates.append(F.when(hit >= 0, hit + (offset + 1)))
+            step = len(variant.inplace) + 1
             for j, part in enumerate(variant.appended):
-                entries.append(F.when(self.takes(part), entry(vi, hit, j)))
-        source = self.base if within is None else self.base.filter(within)
-        exploded = self.with_hashes(source).select(
-            ROW_ID, *[f"`{c}`" for c in columns], F.explode(F.array_compact(F.array(*entries))).alias("_x")
-        ).select("_x.*", ROW_ID, *[f"`{c}`" for c in columns])
-
-        changes: dict[str, list[tuple[Column, Column]]] = {}
-        for vi in members:
-            for pi, part in enumerate(self.variants[vi].inplace):
-                mine = (F.col("_variant") == vi) & (F.col("_hit") == pi)
-                changes.setdefault(part.injector.column, []).append((mine, self._new_value(vi, pi)))
+                fates.append(F.when(self.takes(part), hit + (offset + (j + 1) * step + 1)))
+        placed = self.with_places(self.base if within is None else self.base.filter(within))
+        if changed_only:
+            placed = placed.filter(~self._past_every_cut(members))
+        # Absent fates are NULL and filtered after the explode: dropping them inside the array
+        # (array_compact) would take the whole list off generated code.
+        exploded = placed.select(
+            ROW_ID, *[f"`{c}`" for c in columns], F.explode(F.array(*fates)).alias("_fate")
+        ).filter("_fate is not null")
+        known = exploded.withColumns({
+            "_variant": self._by_fate(lambda vi, hit, app: vi, "int"),
+            "_hit": self._by_fate(lambda vi, hit, app: hit, "int"),
+            "_append": self._by_fate(lambda vi, hit, app: app, "int"),
+            "_action": self._by_fate(lambda vi, hit, app: self._action_of.get((vi, hit), -1), "int"),
+        })
+        wanted = {self._action_of[vi, pi] for vi in members for pi in range(len(self.variants[vi].inplace))}
+        changes: dict[str, list[tuple[int, Column]]] = {}
+        for number, (vi, pi) in enumerate(self._actions.values()):
+            if number in wanted:
+                column = self.variants[vi].inplace[pi].injector.column
+                changes.setdefault(column, []).append((number, self._new_value(vi, pi)))
         new = []
         for c in columns:
             target = casts.get(c, self._types[c].simpleString())
-            value = F.col(f"`{c}`").cast(target)
-            for mine, changed in changes.get(c, []):
-                value = F.when(mine, changed.cast(target)).otherwise(value)
-            new.append(value.alias(c))
+            value = None
+            for number, changed in changes.get(c, []):
+                mine, changed = F.col("_action") == number, changed.cast(target)
+                value = F.when(mine, changed) if value is None else value.when(mine, changed)
+            plain = F.col(f"`{c}`").cast(target)
+            new.append((plain if value is None else value.otherwise(plain)).alias(c))
         # Copies get ids past the last one; the n-th appending part starts n tables further on.
         fresh = F.when(F.col("_append") >= 0, (F.col("_append") + 1) * F.lit(self.first_new_id()).cast("bigint") + F.col(ROW_ID))
-        head = ["_variant", "_hit", "_append", fresh.otherwise(F.col(ROW_ID)).alias(ROW_ID)]
+        head = ["_fate", "_variant", "_hit", "_append", fresh.otherwise(F.col(ROW_ID)).alias(ROW_ID)]
         if keep_old:
             old = F.struct(*[F.col(f"`{c}`").cast(casts.get(c, self._types[c].simpleString())).alias(c) for c in columns])
             head += [F.col(ROW_ID).alias("_source"), old.alias("_old")]
-        return exploded.select(*head, *new)
+        return known.select(*head, *new)
 
     def first_new_id(self) -> int:
         if self._first_new_id is None:
@@ -364,44 +408,38 @@ class Injection:
     def labels(self, members: list[int] | None = None) -> DataFrame:
         """Label rows, plus ``_variant``."""
         members = list(range(len(self.variants))) if members is None else members
-        parts = [self._class_labels(vis) for vis in self._grouped(members)]
+        groups = ([vi for vi in vis if vi in members] for vis in self.schema_classes().values())
+        parts = [self._class_labels(g) for g in groups if g]
         if not parts:
             return self.base.sparkSession.createDataFrame([], "_variant int, " + LABEL_SCHEMA)
         return functools.reduce(DataFrame.unionByName, parts)
 
-    def _grouped(self, members: list[int]) -> list[list[int]]:
-        groups = ([vi for vi in vis if vi in members] for vis in self.schema_classes().values())
-        return [g for g in groups if g]
+    def _part(self, vi: int, hit: int, app: int) -> Part | None:
+        """The part that explains a fate; a copy is explained by its copying alone."""
+        variant = self.variants[vi]
+        return variant.appended[app] if app >= 0 else variant.inplace[hit] if hit >= 0 else None
 
     def _class_labels(self, members: list[int]) -> DataFrame:
         rows = self.rows(members, changed_only=True, keep_old=True)
         types = {f.name: f.dataType for f in rows.schema}
-        column = error = rate = seed = old = new = None
-
-        def otherwise(acc, cond, value):
-            return F.when(cond, value) if acc is None else acc.when(cond, value)
 
-        for vi in members:
-            v = self.variants[vi]
-            for i, p in enumerate(v.appended):
-                mine = (F.col("_variant") == vi) & (F.col("_append") == i)
-                column = otherwise(column, mine, F.lit(None).cast("string"))
-                error = otherwise(error, mine, F.lit(p.injector.error_type))
-                rate, seed = otherwise(rate, mine, F.lit(p.rate)), otherwise(seed, mine, F.lit(p.label_seed))
-                old = otherwise(old, mine, F.col("_source").cast("string"))
-                new = otherwise(new, mine, F.lit(None).cast("string"))
-            for i, p in enumerate(v.inplace):
-                c = p.injector.column
-                mine = (F.col("_variant") == vi) & (F.col("_hit") == i) & (F.col("_append") < 0)
-                column = otherwise(column, mine, F.lit(c))
-                error = otherwise(error, mine, F.lit(p.injector.error_type))
-                rate, seed = otherwise(rate, mine, F.lit(p.rate)), otherwise(seed, mine, F.lit(p.label_seed))
-                old = otherwise(old, mine, as_text(F.col(f"_old.`{c}`"), types[c]))
-                new = otherwise(new, mine, as_text(F.col(f"`{c}`"), types[c]))
-        return rows.select(
-            "_variant", ROW_ID, column.alias("column"), error.alias("error_type"),
-            rate.cast("double").alias("rate"), seed.cast("bigint").alias("seed"),
-            F.lit(self.dataset).alias("dataset"), old.alias("original_value"), new.alias("corrupted_value"),
+        def told(get):
+            return lambda *fate: None if (part := self._part(*fate)) is None else get(part)
+
+        known = rows.withColumns({
+            "column": self._by_fate(told(lambda p: p.injector.column), "string"),
+            "error_type": self._by_fate(told(lambda p: p.injector.error_type), "string"),
+            "rate": self._by_fate(told(lambda p: p.rate), "double"),
+            "seed": self._by_fate(told(lambda p: p.label_seed), "bigint"),
+        })
+        old, new = F.when(F.col("_append") >= 0, F.col("_source").cast("string")), F.when(F.lit(False), F.lit(""))
+        for c in sorted({p.injector.column for vi in members for p in self.variants[vi].inplace}):
+            mine = F.col("column") == c
+            old = old.when(mine, as_text(F.col(f"_old.`{c}`"), types[c]))
+            new = new.when(mine, as_text(F.col(f"`{c}`"), types[c]))
+        return known.select(
+            "_variant", ROW_ID, "column", "error_type", "rate", "seed", F.lit(self.dataset).alias("dataset"),
+            old.alias("original_value"), new.alias("corrupted_value"),
         )
 
     def collisions(self, part_column: str, valid_keys: DataFrame) -> int:

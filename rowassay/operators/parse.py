@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowassay.operators.rules import (
-    BAD_KWARGS, JSON_ERROR, RULE_SPECS, STATUSES, UNKNOWN, VALID,
+    BAD_KWARGS, BOUNDS, JSON_ERROR, RULE_SPECS, STATUSES, UNKNOWN, VALID,
 )
 
 # Fixed value: a fenced block, optionally marked as JSON.
@@ -72,12 +72,14 @@ def parse_rules(responses: DataFrame, text: str = "text") -> DataFrame:
     })
     given = F.map_keys("_args")
     # A bound that is JSON null is not given.
-    usable = F.map_keys(F.map_filter("_args", lambda _, v: F.coalesce(F.schema_of_variant(v) != "VOID", F.lit(False))))
+    usable = F.array(*[
+        F.when(F.coalesce(F.schema_of_variant(_variant(f"$.{b}", "_k")) != "VOID", F.lit(False)), F.lit(b)) for b in BOUNDS
+    ])
     joined = described.join(_spec_table(responses), F.col("expectation_type") == F.col("_type"), "left")
     fits = (
         (F.size(F.array_except(given, "_accepted")) == 0)
         & (F.size(F.array_except("_required", given)) == 0)
-        & ((F.size("_any") == 0) | F.arrays_overlap("_any", usable))
+        & ((F.size("_any") == 0) | F.coalesce(F.arrays_overlap("_any", usable), F.lit(False)))
     )
     typed = F.coalesce(F.col("expectation_type") != "", F.lit(False))
     status = (

@@ -24,15 +24,15 @@ class RuleSpec:
         return self.required + self.optional + self.any_of + ("mostly", "strict_min", "strict_max")
 
 
-_BOUNDS = ("min_value", "max_value")
+BOUNDS = ("min_value", "max_value")
 
 # Rule type names and argument names.
 RULE_SPECS: dict[str, RuleSpec] = {
     "expect_column_values_to_not_be_null": RuleSpec(("column",)),
-    "expect_column_values_to_be_between": RuleSpec(("column",), any_of=_BOUNDS),
-    "expect_column_min_to_be_between": RuleSpec(("column",), any_of=_BOUNDS),
-    "expect_column_max_to_be_between": RuleSpec(("column",), any_of=_BOUNDS),
-    "expect_column_mean_to_be_between": RuleSpec(("column",), any_of=_BOUNDS),
+    "expect_column_values_to_be_between": RuleSpec(("column",), any_of=BOUNDS),
+    "expect_column_min_to_be_between": RuleSpec(("column",), any_of=BOUNDS),
+    "expect_column_max_to_be_between": RuleSpec(("column",), any_of=BOUNDS),
+    "expect_column_mean_to_be_between": RuleSpec(("column",), any_of=BOUNDS),
     "expect_column_values_to_be_in_set": RuleSpec(("column", "value_set")),
     "expect_column_values_to_not_be_in_set": RuleSpec(("column", "value_set")),
     "expect_column_distinct_values_to_be_in_set": RuleSpec(("column", "value_set")),
@@ -41,7 +41,7 @@ RULE_SPECS: dict[str, RuleSpec] = {
     "expect_column_values_to_match_regex": RuleSpec(("column", "regex")),
     "expect_column_values_to_match_like_pattern": RuleSpec(("column", "like_pattern")),
     "expect_column_values_to_match_strftime_format": RuleSpec(("column", "strftime_format")),
-    "expect_column_value_lengths_to_be_between": RuleSpec(("column",), any_of=_BOUNDS),
+    "expect_column_value_lengths_to_be_between": RuleSpec(("column",), any_of=BOUNDS),
     "expect_column_values_to_be_unique": RuleSpec(("column",)),
     "expect_compound_columns_to_be_unique": RuleSpec(("column_list",)),
     "expect_select_column_values_to_be_unique_within_record": RuleSpec(("column_list",)),
@@ -50,7 +50,7 @@ RULE_SPECS: dict[str, RuleSpec] = {
     ),
     "expect_column_pair_values_to_be_equal": RuleSpec(("column_A", "column_B")),
     "expect_multicolumn_sum_to_equal": RuleSpec(("column_list", "sum_total")),
-    "expect_table_row_count_to_be_between": RuleSpec((), any_of=_BOUNDS),
+    "expect_table_row_count_to_be_between": RuleSpec((), any_of=BOUNDS),
 }
 
 

@@ -132,7 +132,9 @@ def flags(df: DataFrame, bound: list[BoundRule]) -> DataFrame:
     parts = []
     hits = [F.when(b.violated, F.lit(b.index)) for b in bound if b.kind == ROW]
     if hits:
-        parts.append(df.select(ROW_ID, F.explode(F.array_compact(F.array(*hits))).alias("rule_index")))
+        # Filtering after the explode keeps the rules in generated code; array_compact would not.
+        exploded = df.select(ROW_ID, F.explode(F.array(*hits)).alias("rule_index"))
+        parts.append(exploded.filter("rule_index is not null"))
     for rules in by_key(bound).values():
         ids = _key_flags(df, rules[0])
         parts.append(ids.select(ROW_ID, F.explode(F.array(*[F.lit(r.index) for r in rules])).alias("rule_index")))

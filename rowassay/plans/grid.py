@@ -134,7 +134,7 @@ class _Frame:
         return any(p.injector.column in columns for p in self.injection.variants[vi].inplace)
 
     def _unchanged(self) -> Column:
-        """Over (variant, base row) with hashes: the variant leaves the row as it is."""
+        """Over (variant, base row) with places: the variant leaves the row as it is."""
         out = F.lit(True)
         for vi in self.members:
             variant = self.injection.variants[vi]
@@ -158,10 +158,10 @@ class _Frame:
         def entry(values, step):
             return F.struct(*[v.alias(f"_k{i}") for i, v in enumerate(values)], F.lit(step).alias("_d"))
 
-        steps = F.array_compact(F.array(
+        steps = F.array(
             F.when((F.col("_append") >= 0) | moved, entry(new, 1)),
             F.when((F.col("_append") < 0) & moved, entry(old, -1)),
-        ))
+        )
         names = [f"_k{i}" for i in range(len(key))]
         present = _any([F.col(n).isNotNull() for n in names])
         net = (
@@ -195,7 +195,7 @@ class _Frame:
             df = self._mark(df, j, [F.col(f"`{k}`") for k in key], f"_rep{j}")
         apart = [(b, vi) for b in self.tables for vi in self.members if self._touches(vi, b.columns)]
         if apart:
-            df = self.injection.with_hashes(df)
+            df = self.injection.with_places(df)
         df = self._with_violations(df, "_v")
         aggs = [F.count("*").alias("n")]
         aggs += [F.count_if(f"_v{b.index}").alias(f"u{b.index}") for b in self.flagging]
@@ -237,7 +237,7 @@ class _Frame:
     def variants(self, clean: _Tally, rest: dict[int, dict[int, tuple]]) -> dict[int, _Tally]:
         changed = self.injection.rows(self.members, changed_only=True, keep_old=True, within=self.within)
         flips = [self._flips(changed, j) for j in range(len(self.keys))]
-        affected = changed.drop("_source")
+        affected = changed.drop("_source", "_fate")
         bystanders = [self._bystanders(f, key) for f, (key, _) in zip(flips, self.keys) if f is not None]
         if bystanders:
             untouched = functools.reduce(DataFrame.unionByName, bystanders)
@@ -286,7 +286,7 @@ class _Frame:
 
     def _bystanders(self, flips: DataFrame, key: tuple[str, ...]) -> DataFrame:
         """Untouched rows of a variant whose key flipped."""
-        rows = self.injection.with_hashes(self.base).join(flips, self._same([F.col(f"`{k}`") for k in key]), "inner")
+        rows = self.injection.with_places(self.base).join(flips, self._same([F.col(f"`{k}`") for k in key]), "inner")
         rows = rows.withColumnRenamed("_fv", "_variant").filter(self._unchanged())
         old = F.struct(*[F.col(f"`{c}`") for c in self.columns]).alias("_old")
         return rows.select(
