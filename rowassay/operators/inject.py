@@ -320,14 +320,18 @@ class Injection:
         """A constant per fate: ``value(variant, hit, append)``."""
         return F.element_at(F.array(*[F.lit(value(*f)) for f in self._fates]).cast(f"array<{kind}>"), F.col("_fate") + 1)
 
-    def _past_every_cut(self, members: list[int]) -> Column:
-        """No member touches the row: one comparison per order."""
+    def _maybe_touched(self, members: list[int]) -> Column:
+        """Cheap first test, one comparison per order: the row may come before the last cut."""
         last: dict[int, int] = {}
         for vi in members:
             for p in self.variants[vi].parts:
                 last[p.order_seed] = max(last.get(p.order_seed, 0), p.skip + p.k)
-        tests = [F.col(f"_at{s}") > self._marks[s].index(k) for s, k in sorted(last.items()) if k > 0]
-        return functools.reduce(Column.__and__, tests, F.lit(True))
+        tests = []
+        for s, k in sorted(last.items()):
+            if k > 0:
+                cut = self._cuts[s, k]
+                tests.append(F.lit(True) if cut.hash == "" else row_hash(s) <= cut.hash)
+        return functools.reduce(Column.__or__, tests, F.lit(False))
 
     def rows(
         self,
@@ -360,9 +364,8 @@ class Injection:
             step = len(variant.inplace) + 1
             for j, part in enumerate(variant.appended):
                 fates.append(F.when(self.takes(part), hit + (offset + (j + 1) * step + 1)))
-        placed = self.with_places(self.base if within is None else self.base.filter(within))
-        if changed_only:
-            placed = placed.filter(~self._past_every_cut(members))
+        source = self.base if within is None else self.base.filter(within)
+        placed = self.with_places(source.filter(self._maybe_touched(members)) if changed_only else source)
         # Absent fates are NULL and filtered after the explode: dropping them inside the array
         # (array_compact) would take the whole list off generated code.
         exploded = placed.select(
