@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from rowassay import ROW_ID
 
-_FIRST_DIGITS = 4  # 65,536 buckets in the first pass
-_MORE_DIGITS = 4
+_FIRST_DIGITS = 3  # 4,096 buckets in the first pass: what a task sends on stays small
+_MORE_DIGITS = 3
 _MAX_TAIL = 10_000  # boundary rows fetched per cut; fuller buckets are divided further
 
 
@@ -55,7 +55,7 @@ class Selection:
         self._seeds = sorted(set(seeds))
         counts: dict[int, list[tuple[str, int]]] = defaultdict(list)
         bucket = F.substring("_h", 1, _FIRST_DIGITS)
-        # At most 16^4 rows per seed come back, however large the table is.
+        # At most 16^3 rows per seed come back, however large the table is.
         for r in self._hashed(self._seeds).groupBy("_seed", bucket.alias("_b")).count().collect():
             counts[r["_seed"]].append((r["_b"], r["count"]))
         self._counts = {s: sorted(counts[s]) for s in self._seeds}

@@ -25,10 +25,12 @@ def write_variants(variants: DataFrame, labels: DataFrame, root: str) -> None:
 
 def manifest_of(variants: DataFrame, root: str) -> DataFrame:
     """Manifest lines for variants given as (table_id, error_type, rate, seed)."""
+    # Spark's own name for the partition of a missing value: a mix has no single rate.
+    rate = F.coalesce(F.col("rate").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
     part = F.concat(
         F.lit("table_id="), F.col("table_id"),
         F.lit("/error_type="), F.col("error_type"),
-        F.lit("/rate="), F.col("rate").cast("string"),
+        F.lit("/rate="), rate,
         F.lit("/seed="), F.col("seed").cast("string"),
     )
     return variants.select(

@@ -132,4 +132,5 @@ def test_variants_and_manifest_round_trip(spark, tmp_path):
     assert set(entries) == {"missing_value", "out_of_range", "duplicate_row", "mixed"}
     n = base.count()
     assert spark.read.parquet(entries["duplicate_row"]["data_path"]).count() == n + round(n * 0.05)
+    assert spark.read.parquet(entries["mixed"]["data_path"]).count() == n + round(n * 0.02)
     assert spark.read.parquet(entries["missing_value"]["labels_path"]).count() == round(n * 0.05)
