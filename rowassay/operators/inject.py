@@ -366,11 +366,12 @@ class Injection:
                 fates.append(F.when(self.takes(part), hit + (offset + (j + 1) * step + 1)))
         source = self.base if within is None else self.base.filter(within)
         placed = self.with_places(source.filter(self._maybe_touched(members)) if changed_only else source)
-        # Absent fates are NULL and filtered after the explode: dropping them inside the array
-        # (array_compact) would take the whole list off generated code.
-        exploded = placed.select(
-            ROW_ID, *[f"`{c}`" for c in columns], F.explode(F.array(*fates)).alias("_fate")
-        ).filter("_fate is not null")
+        # The list is built in a projection of its own, in generated code; only then are the absent
+        # fates (NULL) dropped, so that a row is exploded into what it becomes and nothing else.
+        listed = placed.select(ROW_ID, *[f"`{c}`" for c in columns], F.array(*fates).alias("_fates"))
+        exploded = listed.select(
+            ROW_ID, *[f"`{c}`" for c in columns], F.explode(F.array_compact("_fates")).alias("_fate")
+        )
         known = exploded.withColumns({
             "_variant": self._by_fate(lambda vi, hit, app: vi, "int"),
             "_hit": self._by_fate(lambda vi, hit, app: hit, "int"),

@@ -34,6 +34,7 @@ FACT_SCHEMA = (
     "model string, dataset string, condition string, repetition int, method string, error_type string, "
     "rate double, seed bigint, metric string, value double"
 )
+_WORD = 60  # verdict bits per number
 CROSS_ROW = ("duplicate_row", MIXED)  # fixed value: never evaluated on a sample
 
 
@@ -244,45 +245,95 @@ class _Frame:
             if len(bystanders) > 1:
                 untouched = untouched.dropDuplicates(["_variant", ROW_ID])
             affected = affected.unionByName(untouched)
-        for j, (key, _) in enumerate(self.keys):
-            old = [F.col(f"_old.`{k}`") for k in key]
-            new = [F.col(f"`{k}`") for k in key]
-            affected = self._mark(affected, j, old, f"_was{j}")
-            affected = self._mark(affected, j, new, f"_now{j}")
-            if flips[j] is not None:
-                here = (F.col("_variant") == F.col("_fv")) & self._same(new)
-                affected = affected.join(flips[j], here, "left").drop("_fv", *[f"_k{i}" for i in range(len(key))])
-                affected = affected.withColumn(f"_now{j}", F.coalesce("_now", f"_now{j}")).drop("_now")
-        affected = self._with_violations(affected, "_new", "_now")
         is_new = (F.col("_hit") >= 0) | (F.col("_append") >= 0)
+        states = {f"_s{b.index}": F.when(is_new, b.state.value) for b in self.tables}
+        named = {f"_n{j}_{i}": F.col(f"`{k}`") for j, (key, _) in enumerate(self.keys) for i, k in enumerate(key)}
         keep = ["_variant", "_hit", "_append"]
-        aggs_new = {f"_cn{b.index}": b.counted for b in self.flagging if b.mostly < 1}
-        states = {}
-        for b in self.tables:
-            states[f"_s{b.index}"] = F.when(is_new, b.state.value)
-        affected = affected.withColumns({**aggs_new, **states}) if aggs_new or states else affected
-        carried = (
-            keep + [f"_new{b.index}" for b in self.flagging] + list(aggs_new) + list(states)
-            + [f"_was{j}" for j in range(len(self.keys))]
+        # Verdicts travel as bits, first those after the change, then (past the joins on the new
+        # keys, which keeps the two in separate generated methods) those before it.
+        df = affected.select(
+            *keep, "_old", *[c.alias(n) for n, c in {**states, **named, **self._row_bits("_new")}.items()]
         )
-        before = self._with_violations(affected.select(*carried, "_old.*"), "_ov", "_was")
+        for j, (key, _) in enumerate(self.keys):
+            new = [F.col(f"_n{j}_{i}") for i in range(len(key))]
+            df = self._mark(df, j, new, f"_now{j}")
+            if flips[j] is not None:
+                here = (F.col("_variant") == F.col("_fv")) & self._same(new)
+                df = df.join(flips[j], here, "left").drop("_fv", *[f"_k{i}" for i in range(len(key))])
+                df = df.withColumn(f"_now{j}", F.coalesce("_now", f"_now{j}")).drop("_now")
+        words = range(self._words())
+        carried = keep + list(states) + [f"_new{w}" for w in words] + [f"_now{j}" for j in range(len(self.keys))]
+        df = df.select(*carried, "_old.*")
+        named = {f"_n{j}_{i}": F.col(f"`{k}`") for j, (key, _) in enumerate(self.keys) for i, k in enumerate(key)}
+        df = df.select(*carried, *[c.alias(n) for n, c in {**named, **self._row_bits("_was")}.items()])
+        for j, (key, _) in enumerate(self.keys):
+            df = self._mark(df, j, [F.col(f"_n{j}_{i}") for i in range(len(key))], f"_then{j}")
         existed = F.col("_append") < 0
+        after = [F.col(f"_new{w}").bitwiseOR(self._key_bits(w, "_now")) for w in words]
+        before = [F.when(existed, F.col(f"_was{w}").bitwiseOR(self._key_bits(w, "_then"))).otherwise(F.lit(0)) for w in words]
+        # Rows with the same verdicts are counted together: one counter, however many rules.
+        patterns = [f"_new{w}" for w in words] + [f"_was{w}" for w in words]
+        kinds = {b.index: (b.state.how, self._is_time(b)) for b in self.tables}
+        first = [F.count("*").alias("_n")]
+        for index, (how, is_time) in kinds.items():
+            first += _state_columns(how, F.col(f"_s{index}"), f"t{index}", is_time)
+        df = df.withColumns({**dict(zip(patterns, after + before))}) if patterns else df
+        counted = df.groupBy(*keep, *patterns).agg(*first)
+
+        n = F.col("_n")
+
+        def total(flag: Column) -> Column:
+            return F.coalesce(F.sum(F.when(flag, n)), F.lit(0))
+
+        aggs = [F.sum("_n").alias("n")]
+        for kind, index in self._bits():
+            aggs.append((total(self._bit("_new", kind, index)) - total(self._bit("_was", kind, index))).alias(f"{kind}{index}"))
+        flag = lambda side: self._flags({b.index: self._bit(side, "u", b.index) for b in self.flagging})
+        for s, (new, old) in enumerate(zip(flag("_new"), flag("_was"))):
+            aggs += [total(new).alias(f"hit{s}"), (total(new) - total(old)).alias(f"f{s}")]
+        for index, (how, _) in kinds.items():
+            best = {"min": F.min, "max": F.max}.get(how, F.sum)
+            aggs.append(best(f"t{index}_a").alias(f"t{index}_a"))
+            if how == "mean":
+                aggs.append(F.sum(f"t{index}_b").alias(f"t{index}_b"))
+        # One row per variant and part of it.
+        return self._assemble(clean, rest, counted.groupBy(*keep).agg(*aggs).collect())
 
-        aggs = [F.count("*").alias("n")]
+    # -- verdicts as bits ------------------------------------------------------
+
+    def _bits(self) -> list[tuple[str, int]]:
+        """What each bit stands for: rule i is violated (u), or counts the row for its tolerance (c)."""
+        return [("u", b.index) for b in self.flagging] + [("c", b.index) for b in self.flagging if b.mostly < 1]
+
+    def _words(self) -> int:
+        return -(-len(self._bits()) // _WORD)
+
+    def _place(self, kind: str, index: int) -> tuple[int, int]:
+        return divmod(self._bits().index((kind, index)), _WORD)
+
+    def _bit(self, side: str, kind: str, index: int) -> Column:
+        word, at = self._place(kind, index)
+        return F.col(f"{side}{word}").bitwiseAND(F.lit(1 << at).cast("bigint")) != 0
+
+    def _row_bits(self, side: str) -> dict[str, Column]:
+        """Words with the bits that depend on the row alone."""
+        words = {f"{side}{w}": F.lit(0).cast("bigint") for w in range(self._words())}
         for b in self.flagging:
-            old = existed & F.col(f"_ov{b.index}")
-            aggs.append((F.count_if(f"_new{b.index}") - F.count_if(old)).alias(f"u{b.index}"))
-            if b.mostly < 1:
-                aggs.append((F.count_if(f"_cn{b.index}") - F.count_if(existed & b.counted)).alias(f"c{b.index}"))
-        new_flags = self._flags({b.index: F.col(f"_new{b.index}") for b in self.flagging})
-        old_flags = self._flags({b.index: F.col(f"_ov{b.index}") for b in self.flagging})
-        for s, (new, old) in enumerate(zip(new_flags, old_flags)):
-            aggs.append(F.count_if(new).alias(f"hit{s}"))
-            aggs.append((F.count_if(new) - F.count_if(existed & old)).alias(f"f{s}"))
-        for b in self.tables:
-            aggs += _state_columns(b.state.how, F.col(f"_s{b.index}"), f"t{b.index}", self._is_time(b))
-        # One row per variant and part of it.
-        return self._assemble(clean, rest, before.groupBy(*keep).agg(*aggs).collect())
+            for kind, flag in (("u", b.violated), ("c", b.counted if b.mostly < 1 else None)):
+                if flag is not None:
+                    word, at = self._place(kind, b.index)
+                    bit = F.when(flag, F.lit(1 << at).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+                    words[f"{side}{word}"] = words[f"{side}{word}"].bitwiseOR(bit)
+        return words
+
+    def _key_bits(self, word: int, side: str) -> Column:
+        """The bits of a word that depend on repeated keys."""
+        bits = F.lit(0).cast("bigint")
+        for j, (_, rules) in enumerate(self.keys):
+            mask = sum(1 << self._place("u", r.index)[1] for r in rules if self._place("u", r.index)[0] == word)
+            if mask:
+                bits = bits.bitwiseOR(F.when(F.col(f"{side}{j}"), F.lit(mask).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        return bits
 
     def _bystanders(self, flips: DataFrame, key: tuple[str, ...]) -> DataFrame:
         """Untouched rows of a variant whose key flipped."""
