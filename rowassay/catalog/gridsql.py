@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from rowassay.catalog import sqltext
-from rowassay.catalog.injections import COLUMNS, PLANNED, RATES, SEEDS, _planned_slices
+from rowassay.catalog.injections import COLUMNS, PLANNED, SEEDS, _planned_slices
 from rowassay.catalog.suites import COLUMNS as PROFILED
 from rowassay.catalog.suites import FLAGGED
 from rowassay.catalog.views import SQL

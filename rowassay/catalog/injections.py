@@ -11,10 +11,9 @@ from rowassay import ROW_ID
 from rowassay.catalog import sqltext
 from rowassay.catalog.registry import query
 from rowassay.catalog.views import LINEITEM, SQL, frame
-from rowassay.functions.select import half_even
+from rowassay.functions.select import half_even, select_rows
 from rowassay.operators.inject import inject, inject_mixed, injector
 from rowassay.operators.metrics import labels_in
-from rowassay.functions.select import select_rows
 from rowassay.plans.injection import MIXED_RATE, injection_grid, plan_for
 from rowassay.session import fresh_path
 from rowassay.sources.scan import scan_manifest

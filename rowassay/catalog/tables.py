@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowassay import ROW_ID
 from rowassay.catalog.registry import query
-from rowassay.catalog.views import LINEITEM, SQL, events_trip, frame, numbered, raw, trip_columns
+from rowassay.catalog.views import LINEITEM, SQL, events_trip, numbered, raw, trip_columns
 from rowassay.functions.ids import add_row_ids
 from rowassay.functions.select import Selection, cap_rows, half_even, preview_rows, select_rows
 from rowassay.operators.clean import (

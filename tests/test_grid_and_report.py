@@ -134,3 +134,13 @@ def test_variants_and_manifest_round_trip(spark, tmp_path):
     assert spark.read.parquet(entries["duplicate_row"]["data_path"]).count() == n + round(n * 0.05)
     assert spark.read.parquet(entries["mixed"]["data_path"]).count() == n + round(n * 0.02)
     assert spark.read.parquet(entries["missing_value"]["labels_path"]).count() == round(n * 0.05)
+
+
+def test_suites_without_row_rules(spark):
+    base = frame(spark, SMALL, "customer")
+    injection = injection_grid(base, [injector("out_of_range", column="c_acctbal")], [0.05], [1], "c")
+    top = rule("expect_column_max_to_be_between", column="c_acctbal", max_value=10000)
+    grid = Grid(injection, [Suite("top", "a", 0, (top,)), Suite("none", "a", 0, ())], "c")
+    values = {(f["method"], f["error_type"], f["metric"]): f["value"] for f in grid.detection_facts()}
+    assert values["top", "out_of_range", "dataset_detected"] == 1 and values["none", "out_of_range", "dataset_detected"] == 0
+    assert values["top", "out_of_range", "recall"] == 0 and values["top", "out_of_range", "precision"] is None
