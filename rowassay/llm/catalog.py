@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowassay.llm import sentencepieces
+from rowassay.llm import fingerprints, packing, sentencepieces
 from rowassay.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,22 @@ def query(fn):
     return fn
 
 
+@query
+def op4_fingerprints(spark, sf_dir):
+    return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_sentencepiece(spark, sf_dir):
-    return sentencepieces.round_trip(table(spark, sf_dir, "documents"))
+    done = sentencepieces.round_trip(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("piece_ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

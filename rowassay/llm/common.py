@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that a task works on at once; a longer text is a slice of its own.
-SLICE = 1 << 21
+#: Bytes of text that a task works on at once; a longer text is a slice of its own.
+SLICE = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +45,8 @@ def slices(sizes: Iterable[int], limit: int = SLICE) -> Iterator[tuple[int, int]
 def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, begin: Callable[[], Callable], limit: int = SLICE) -> DataFrame:
     """Apply a function to whole texts, a slice of an Arrow batch at a time, without a shuffle.
 
-    ``begin()`` runs once a task and returns a function from a list of texts (null as "") to a list of Arrow arrays, which
-    follow the columns of ``keep``. ``schema`` names and types those arrays.
+    ``begin()`` runs once a task and returns a function from an Arrow string array of texts (null as "") to a list of
+    Arrow arrays, which follow the columns of ``keep``. ``schema`` names and types those arrays.
     """
     kept = df.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     names = keep + [part.split()[0] for part in schema.split(", ")]
@@ -54,9 +55,9 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, begin: Cal
     def run(batches):
         work = begin()
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for a, b in slices(map(len, texts), limit):
-                made = work(texts[a:b])
+            texts = batch.column(len(keep))
+            for a, b in slices(pc.binary_length(texts).to_pylist(), limit):
+                made = work(texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + made, names=names)
 
     return kept.mapInArrow(run, ", ".join(types + [schema]))
@@ -81,7 +82,7 @@ class Words:
     its memory is bounded however many words a task sees; results do not depend on that.
     """
 
-    def __init__(self, solve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+    def __init__(self, solve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 150_000):
         self.solve, self.limit = solve, limit
         self._clear()
 
@@ -90,11 +91,13 @@ class Words:
         self.flat = np.zeros(0, np.int32)
         self.starts = self.lengths = np.zeros(0, np.int64)
 
-    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words in a row, and how many each word has."""
         if len(self.index) > self.limit:
             self._clear()
-        new = list(set(words).difference(self.index))
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.index]
         if new:
             flat, lengths = self.solve(new)
             base, known = len(self.flat), len(self.index)
@@ -102,7 +105,7 @@ class Words:
             self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, flat])
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         lengths = self.lengths[at]
         return ragged(self.flat, self.starts[at], lengths), lengths
 
