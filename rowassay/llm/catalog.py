@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowassay.llm import fingerprints, packing, sentencepieces
+from rowassay.llm import fingerprints, neighbours, packing, sentencepieces
 from rowassay.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op4_fingerprints(spark, sf_dir):
     return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
