@@ -10,12 +10,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowassay.llm.bpe import Merges, merge_rounds
-from rowassay.llm.common import Words, list_array, map_texts, ragged, text_array, vocabulary
+from rowassay.llm.common import Words, list_array, map_texts, ragged, slices, sums_by_run, text_array, vocabulary
 
 _SPACE = "▁"
 
@@ -51,8 +51,9 @@ class Pieces:
         self.merges = Merges(*zip(*parts))
 
     def solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        """Ids of words, each with one more mark before it: the space that ended the word before, or the dummy prefix."""
+        codes = np.frombuffer((_SPACE + _SPACE.join(words)).encode("utf-32-le"), np.uint32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         symbols, sizes = merge_rounds(self.of_char[codes], lengths, self.merges)
         unknown = np.flatnonzero(symbols >= self.size)
         if not len(unknown):
@@ -62,19 +63,76 @@ class Pieces:
         long[unknown] = [len(x) for x in spelled]
         out = np.repeat(symbols, long)
         out[np.repeat(symbols >= self.size, long)] = np.concatenate(spelled)
-        ends = np.cumsum(sizes)
-        total = np.concatenate([[0], np.cumsum(long)])
-        return out, total[ends] - total[ends - sizes]
-
-
-def _words(text: str) -> list[str]:
-    """Words with the marks before them; the dummy prefix is the first one's."""
-    if not text:
-        return []
-    parts = text.replace(_SPACE, " ").split(" ")
-    if "" not in parts:
-        return [_SPACE + p for p in parts]
-    return re.findall(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+", _SPACE + _SPACE.join(parts))
+        return out, sums_by_run(long, sizes)
+
+
+_RUNS = re.compile("^ +| {2,}")
+
+
+def _marked(text: str) -> str:
+    """The text with further spaces of a run, and all at its start, as marks: a word is then what one space ends."""
+    text = text.replace(_SPACE, " ")
+    if "  " in text or text.startswith(" "):
+        return _RUNS.sub(lambda m: _SPACE * len(m[0]) if m.start() == 0 else " " + _SPACE * (len(m[0]) - 1), text)
+    return text
+
+
+class Encoder:
+    """Ids of whole texts, through the distinct words of a task."""
+
+    def __init__(self, pieces: Pieces):
+        self.words = Words(pieces.solve)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has."""
+        split = pc.split_pattern(pa.array([_marked(t) or None for t in texts.to_pylist()], pa.string()), " ")
+        flat, lengths = self.words.numbers(split.flatten())
+        return flat, sums_by_run(lengths, pc.fill_null(pc.list_value_length(split), 0).to_numpy())
+
+
+class Decoder:
+    def __init__(self, pieces: Pieces):
+        self.control, self.byte = np.array(pieces.control), np.array(pieces.byte)
+        self.marked = np.array([p.startswith(_SPACE) for p in pieces.pieces])
+        self.spell = [b"" if pieces.control[i] else " ⁇ ".encode() if pieces.unknown[i] else bytes([int(p[1:-1], 16)]) if pieces.byte[i] else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces.pieces)]
+        self.table = np.frombuffer(b"".join(self.spell), np.uint8)
+        self.sizes = np.array([len(s) for s in self.spell])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __call__(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """The text of each list of ids; the lists lie one after another."""
+        long = self.sizes[ids]
+        raw = ragged(self.table, self.starts[ids], long).tobytes()
+        texts, at, start = [], 0, 0
+        for n, size in zip(lengths.tolist(), sums_by_run(long, lengths).tolist()):
+            own, part = ids[at : at + n], raw[start : start + size]
+            at, start = at + n, start + size
+            try:
+                text = part.decode()
+            except UnicodeDecodeError:
+                text = self._by_run(own)
+            if n and self.control[own[0]]:
+                own = own[~self.control[own]]
+            texts.append(text[1:] if len(own) and self.marked[own[0]] else text)
+        return texts
+
+    def _by_run(self, ids: np.ndarray) -> str:
+        """As the library reads bytes that are no UTF-8: each wrong byte of a run of byte pieces on its own."""
+        out, run = [], b""
+        for i in [*ids.tolist(), None]:
+            if i is not None and self.byte[i]:
+                run += self.spell[i]
+                continue
+            while run:
+                try:
+                    out.append(run.decode())
+                    run = b""
+                except UnicodeDecodeError as e:
+                    out.append(run[: e.start].decode() + "\ufffd")
+                    run = run[e.start + 1 :]
+            if i is not None:
+                out.append(self.spell[i].decode())
+        return "".join(out)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
@@ -86,16 +144,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     path = model or vocabulary("piece_bpe_32k.model")
 
     def begin():
-        words = Words(Pieces(path).solve)
-
-        def work(texts):
-            parts = [_words(t) for t in texts]
-            flat, lengths = words.numbers([w for p in parts for w in p])
-            total = np.concatenate([[0], np.cumsum(lengths)])
-            ends = np.cumsum([len(p) for p in parts])
-            return [list_array(flat, np.diff(np.concatenate([[0], total[ends]])))]
-
-        return work
+        encoder = Encoder(Pieces(path))
+        return lambda texts: [list_array(*encoder(texts))]
 
     return map_texts(df, [id_col], text_col, "piece_ids array<int>", begin)
 
@@ -110,72 +160,29 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "piece_ids", mo
     kept = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("_ids"))
 
     def run(batches):
-        pieces = Pieces(path)
-        spell = [b"" if pieces.control[i] else " ⁇ ".encode() if pieces.unknown[i] else bytes([int(p[1:-1], 16)]) if pieces.byte[i] else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces.pieces)]
-        table = np.frombuffer(b"".join(spell), np.uint8)
-        sizes = np.array([len(s) for s in spell])
-        starts = np.cumsum(sizes) - sizes
-        marked = np.array([p.startswith(_SPACE) for p in pieces.pieces])
-        control, byte = np.array(pieces.control), np.array(pieces.byte)
-
-        def slow(ids):
-            """Wrong bytes among byte pieces: run by run."""
-            out, i = [], 0
-            while i < len(ids):
-                j = i
-                while j < len(ids) and byte[ids[j]]:
-                    j += 1
-                raw = b"".join(spell[x] for x in ids[i:j])
-                while raw:
-                    try:
-                        out.append(raw.decode())
-                        break
-                    except UnicodeDecodeError as e:
-                        out.append(raw[: e.start].decode() + "�")
-                        raw = raw[e.start + 1 :]
-                if j < len(ids):
-                    out.append(spell[ids[j]].decode())
-                i = j + 1
-            return "".join(out)
-
+        decoder = Decoder(Pieces(path))
         for batch in batches:
-            column = batch.column(1)
-            offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            for a in range(0, len(column), 256):
-                b = min(a + 256, len(column))
-                ids = flat[offsets[a] : offsets[b]]
-                long = sizes[ids]
-                raw = ragged(table, starts[ids], long).tobytes()
-                ends = np.concatenate([[0], np.cumsum(long)])[offsets[a : b + 1] - offsets[a]]
-                texts = []
-                for k in range(a, b):
-                    own = flat[offsets[k] : offsets[k + 1]]
-                    if len(own) and control[own[0]]:
-                        own = own[~control[own]]
-                    cut = len(own) > 0 and bool(marked[own[0]])
-                    part = raw[ends[k - a] : ends[k - a + 1]]
-                    try:
-                        text = part.decode()
-                    except UnicodeDecodeError:
-                        text = slow(own)
-                    texts.append(text[1:] if cut else text)
+            lists = batch.column(1)
+            for a, b in slices(pc.list_value_length(lists).to_pylist(), 1 << 20):
+                part = lists.slice(a, b - a)
+                texts = decoder(part.flatten().to_numpy(), pc.list_value_length(part).to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), text_array(texts)], names=[id_col, "decoded"])
 
-    kind = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("decoded", T.StringType())])
-    return kept.mapInArrow(run, kind)
+    return kept.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, decoded string")
 
 
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of every text's piece ids and of what they decode to: id, n_tokens, ids_sha256, decoded_sha256.
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """Piece ids of every whole text and what they decode to, in one pass: ``id_col``, piece_ids, decoded."""
+    path = model or vocabulary("piece_bpe_32k.model")
 
-    The ids travel through the decoder as its key column, so the table is read once and nothing is shuffled.
-    """
-    coded = encode(df, id_col, text_col).select(F.struct(id_col, "piece_ids").alias("row"), "piece_ids")
-    out = decode(coded, "row", "piece_ids")
-    ids = F.col("row.piece_ids")
-    return out.select(
-        F.col(f"row.{id_col}").alias(id_col),
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", ids.cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    def begin():
+        pieces = Pieces(path)
+        encoder, decoder = Encoder(pieces), Decoder(pieces)
+
+        def work(texts):
+            ids, lengths = encoder(texts)
+            return [list_array(ids, lengths), text_array(decoder(ids, lengths))]
+
+        return work
+
+    return map_texts(df, [id_col], text_col, "piece_ids array<int>, decoded string", begin)
