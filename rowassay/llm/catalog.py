@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowassay.llm import fingerprints, neighbours, packing, sentencepieces
-from rowassay.llm.common import table
+from rowassay.llm import fingerprints, language, neighbours, packing, quality, sentencepieces
+from rowassay.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,14 @@ def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    model = language.train(docs.filter(~held))
+    return language.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op9_sentencepiece(spark, sf_dir):
     done = sentencepieces.round_trip(table(spark, sf_dir, "documents"))
@@ -43,3 +51,12 @@ def op9_sentencepiece(spark, sf_dir):
         F.sha2(F.concat_ws(",", F.col("piece_ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = quality.train(docs, labels.filter(~held), "quality")
+    done = quality.score(docs, model).select("doc_id", held.alias("held_out"), "score")
+    return done.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
