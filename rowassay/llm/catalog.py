@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowassay.llm import fingerprints, language, neighbours, packing, pagetext, quality, sentencepieces
+from rowassay.llm import fingerprints, jaccard, language, neighbours, packing, pagetext, quality, sentencepieces
 from rowassay.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op5_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op6_jaccard(spark, sf_dir):
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))

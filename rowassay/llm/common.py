@@ -119,3 +119,63 @@ def sums_by_run(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def list_array(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijection of unsigned 64-bit numbers that spreads every bit."""
+    x = x.astype(np.uint64)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes() -> Words:
+    """A store that gives every word one 64-bit hash, and the empty word none."""
+    from xxhash import xxh3_64_intdigest
+
+    def solve(words):
+        found = np.array([xxh3_64_intdigest(w.encode()) for w in words if w], np.uint64)
+        return found, np.array([bool(w) for w in words], np.int64)
+
+    return Words(solve)
+
+
+def hashed_words(texts: pa.Array, store: Words, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of anything but ASCII white space) in a row, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat, said = store.numbers(lists.flatten())
+    return flat.astype(np.uint64), sums_by_run(said, pc.list_value_length(lists).to_numpy())
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first ``keys`` columns, cut into tables that each hold whole runs of equal keys.
+
+    A table holds all runs that end in a batch, so many small runs come together; only the last run waits for more.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        last = np.ones(len(table), bool)
+        for k in range(keys):
+            column = table.column(k)
+            last &= pc.fill_null(pc.equal(column, column[len(table) - 1]), False).to_numpy()
+        start = int(np.argmax(last)) if last.any() else len(table) - 1
+        if start:
+            yield table.slice(0, start)
+        held = table.slice(start).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def run_starts(table: pa.Table, keys: int) -> np.ndarray:
+    """Where runs of equal keys begin, the end of the table included."""
+    new = np.zeros(len(table) + 1, bool)
+    new[[0, -1]] = True
+    for k in range(keys):
+        column = table.column(k).to_numpy()
+        new[1:-1] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
