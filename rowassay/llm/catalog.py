@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowassay.llm import fingerprints, jaccard, language, neighbours, packing, pagetext, quality, sentencepieces
+from rowassay.llm import fingerprints, jaccard, language, neighbours, packing, pagetext, passages, quality, sentencepieces
 from rowassay.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op2_html(spark, sf_dir):
     return pagetext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+@query
+def op3_passages(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_fingerprints(spark, sf_dir):
     return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
