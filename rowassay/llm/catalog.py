@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowassay.llm import fingerprints, jaccard, language, neighbours, packing, pagetext, passages, quality, sentencepieces
+from rowassay.llm import fingerprints, jaccard, language, neighbours, packing, pagetext, passages, quality, sentencepieces, substrings
 from rowassay.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_substrings(spark, sf_dir):
+    done = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op2_html(spark, sf_dir):
     return pagetext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
