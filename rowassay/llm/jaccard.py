@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rowassay.llm.common import hashed_words, list_array, map_texts, mix64, run_starts, runs, word_hashes
 from rowassay.llm.components import components
-from rowassay.session import materialize
+from rowassay.session import discard, materialize
 
 #: Set sizes of a band lie within this factor of each other.
 GROWTH = 1.5
@@ -176,12 +176,14 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     is linked with nothing. Rows with equal sets are one node, however many they are; rows with a null id take part, and are
     named by the least other id of their component, if any. Repeated rows are kept; other columns are not read.
     """
-    base = materialize(_sketched(df, [id_col], text_col, width, percent, lower), "sketches")
+    sketched = materialize(_sketched(df, [id_col], text_col, width, percent, lower), "sketches")
+    base = materialize(sketched.drop("keys"), "sizes")
     # one row for each distinct set; copies meet here as counts do, and go no further
     nodes = materialize(base.filter("size > 0").groupBy("node", "size").agg(F.min(id_col).alias("_id")), "nodes")
-    first = base.join(nodes.select("node", "_id"), (base["node"] == nodes["node"]) & base[id_col].eqNullSafe(nodes["_id"]), "left_semi")
+    first = sketched.join(nodes.select("node", "_id"), (sketched["node"] == nodes["node"]) & sketched[id_col].eqNullSafe(nodes["_id"]), "left_semi")
     keyed = first.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
     shared = materialize(keyed.mapInArrow(_shared, "a long, b long").distinct(), "shared")
+    discard(sketched)
     family = components(shared)
     # the sets of the family members only
     members = materialize(family.join(nodes, "node").select("node", "size", "_id", F.col("component").alias("family")), "members")

@@ -198,11 +198,12 @@ def train(df: DataFrame, language_col: str = "lang", id_col: str = "doc_id", tex
     return fit(counts, letter_pieces(path or vocabulary("piece_bpe_32k.model")))
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Language of every whole text: ``id_col``, lang_pred, score (the language's share of the likelihood, 0 to 1).
+def identify(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Language of every whole text: the columns of ``keep``, and ``into``: the language and its share of the likelihood
+    (0 to 1).
 
     A text that is null or has no letter is ``und`` with score 0; so is every text if no language was learned. Ties go to
-    the language that is first by name. Repeated rows are kept; other columns are not read.
+    the language that is first by name. Repeated rows are kept; other columns are not read. Names of ``into`` must not be among ``keep``.
     """
 
     def begin():
@@ -230,4 +231,4 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
         return work
 
-    return map_texts(df, [id_col], text_col, "lang_pred string, score double", begin)
+    return map_texts(df, list(keep), text_col, f"{into[0]} string, {into[1]} double", begin)

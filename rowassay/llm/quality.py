@@ -138,14 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     return fit([np.frombuffer(f, np.int32) for _, _, f in rows], np.array([y for _, y, _ in rows], int))
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and score (0 to 1, higher: label 1 likelier) of every whole text, in one pass.
+def score(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), into: str = "score") -> DataFrame:
+    """The columns of ``keep`` and ``into`` (0 to 1, higher: label 1 likelier) for every whole text, in one pass.
 
     Null is the empty text, which has no indicator and gets the score of the bias. Repeated rows are kept; other columns
-    are not read.
+    are not read. ``into`` must not be one of ``keep``.
     """
 
     def begin():
-        return lambda texts: [pa.array([model.score(indicators(t.encode())) for t in texts.to_pylist()])]
+        return lambda texts: [pa.array([model.score(indicators(t.encode())) for t in texts.to_pylist()], pa.float64())]
 
-    return map_texts(df, [id_col], text_col, "score double", begin)
+    return map_texts(df, list(keep), text_col, f"{into} double", begin)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowassay.llm.common import list_array, map_texts, mix64, runs
-from rowassay.session import materialize
+from rowassay.session import discard, materialize
 
 ANCHOR = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -277,7 +277,9 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_ = met.filter("NOT settled").groupBy("doc").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("place").alias("places"))
     parts = open_.join(docs, F.col("doc") == F.col("_doc")).select("doc", "anchors", "places", "_text").mapInArrow(_bytes_of, "anchor long, doc long, place long, bytes binary")
     repeats = parts.repartition("anchor").sortWithinPartitions("anchor", "doc", "place").mapInArrow(_repeats(length), "doc long, place long")
-    marks = materialize(met.filter("settled").select("doc", "place").union(repeats), "marks").groupBy("doc").agg(F.collect_list("place").alias("places"))
+    marks = materialize(met.filter("settled").select("doc", "place").union(repeats), "marks")
+    discard(met)
+    marks = marks.groupBy("doc").agg(F.collect_list("place").alias("places"))
     cut = docs.join(marks, F.col("_doc") == F.col("doc"), "left").select("_doc", "_text", "places").mapInArrow(
         _cut, "_id long, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary"
     )
