@@ -38,13 +38,17 @@ def orders_text(spark, sf):
     return frame(spark, sf, "orders").withColumns({
         "day": F.when(F.col("o_orderstatus") == "P", other).when(F.col("o_orderpriority") != "5-LOW", iso),
         "stamp": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"),
+        "compact": F.when(F.col("o_orderstatus") == "O", iso).otherwise(F.date_format("o_orderdate", "yyyyMMdd")),
+        "compact_stamp": F.date_format("o_orderdate", "yyyyMMddHHmmss"),
     })
 
 
 SQL["orders_text"] = (
     "SELECT *, CASE WHEN o_orderstatus = 'P' THEN strftime(o_orderdate, '%d/%m/%Y') "
     "WHEN o_orderpriority <> '5-LOW' THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, "
-    f"strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp FROM ({SQL['orders']})"
+    "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp, CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%Y-%m-%d') "
+    "ELSE strftime(o_orderdate, '%Y%m%d') END AS compact, "
+    f"strftime(o_orderdate, '%Y%m%d%H%M%S') AS compact_stamp FROM ({SQL['orders']})"
 )
 
 
@@ -286,3 +290,38 @@ def q_validate_suite(spark, sf):
         "rule_index", "success", "unexpected_count", "element_count", "is_row_level",
         F.col("exception").isNotNull().alias("failed_to_run"),
     )
+
+
+_row_rules(
+    "rule_strftime_compact", "orders_text",
+    (rule("expect_column_values_to_match_strftime_format", column="compact", strftime_format="%Y%m%d"), "o_orderstatus = 'O'"),
+    (rule("expect_column_values_to_match_strftime_format", column="compact_stamp", strftime_format="%Y%m%d%H%M%S"), "false"),
+    (rule("expect_column_values_to_match_strftime_format", column="compact", strftime_format="%Y%m%d%H%M%S"), "true"),
+)
+
+_UNUSABLE = [
+    rule("expect_column_values_to_be_between", column="o_orderdate", min_value="19960601"),
+    rule("expect_column_values_to_be_between", column="o_orderdate", max_value="1997-W01-1"),
+    rule("expect_column_values_to_be_between", column="o_orderdate", min_value="next week"),
+    rule("expect_column_values_to_match_like_pattern", column="o_orderpriority", like_pattern="C:\\temp%"),
+    rule("expect_column_values_to_match_like_pattern", column="o_orderpriority", like_pattern="1-%"),
+    rule("expect_column_values_to_be_of_type", column="o_totalprice", type_="money"),
+    rule("expect_column_values_to_be_of_type", column="o_totalprice", type_="float"),
+    rule("expect_column_values_to_be_in_set", column="o_orderdate", value_set=["19950101", "never"]),
+    rule("expect_column_values_to_not_be_null", column="o_orderpriority"),
+]
+
+
+@query(
+    "rule_unusable",
+    f"WITH b AS ({SQL['orders_gap']}), n AS (SELECT count(*) AS n, "
+    "count(*) FILTER (o_orderdate < TIMESTAMP '1996-06-01') AS u0, count(*) FILTER (o_orderdate > TIMESTAMP '1996-12-30') AS u1, "
+    "count(*) FILTER (o_orderpriority NOT LIKE '1-%') AS u4, count(*) FILTER (o_orderdate <> TIMESTAMP '1995-01-01') AS u7, "
+    "count(*) FILTER (o_orderpriority IS NULL) AS u8 FROM b) "
+    "SELECT 0 AS rule_index, u0 = 0 AS success, u0 AS unexpected_count, false AS failed_to_run FROM n UNION ALL SELECT 1, u1 = 0, u1, false FROM n "
+    "UNION ALL SELECT unnest([2, 3, 5]), NULL, NULL, true UNION ALL SELECT 4, u4 = 0, u4, false FROM n UNION ALL SELECT 6, true, NULL, false "
+    "UNION ALL SELECT 7, u7 = 0, u7, false FROM n UNION ALL SELECT 8, u8 = 0, u8, false FROM n",
+)
+def q_rule_unusable(spark, sf):
+    df = view(spark, sf, "orders_gap")
+    return outcomes(df, bind_rules(_UNUSABLE, df)).select("rule_index", "success", "unexpected_count", F.col("exception").isNotNull().alias("failed_to_run"))

@@ -7,10 +7,12 @@ every rule at once.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,8 @@ from rowassay.operators.rules import Rule
 
 ROW, KEY, TABLE, SCHEMA, ERROR = "row", "key", "table", "schema", "error"
 
-# Accepted type names and the column types they stand for.
+# Accepted type names and the column types they stand for. The bare names ``int`` and
+# ``float`` say nothing about the width.
 TYPE_NAMES: dict[str, tuple[str, ...]] = {
     "int64": ("bigint",), "int32": ("int",), "int16": ("smallint",), "int8": ("tinyint",),
     "float64": ("double",), "float32": ("float",),
@@ -28,8 +31,8 @@ TYPE_NAMES: dict[str, tuple[str, ...]] = {
     "bool": ("boolean",), "boolean": ("boolean",),
     "datetime64[ns]": ("timestamp_ntz", "timestamp"), "datetime64[us]": ("timestamp_ntz", "timestamp"),
     "datetime64": ("timestamp_ntz", "timestamp"),
-    "bigint": ("bigint",), "int": ("int",), "smallint": ("smallint",), "tinyint": ("tinyint",),
-    "double": ("double",), "float": ("float",), "timestamp": ("timestamp",),
+    "bigint": ("bigint",), "int": ("int", "bigint"), "smallint": ("smallint",), "tinyint": ("tinyint",),
+    "double": ("double",), "float": ("float", "double"), "timestamp": ("timestamp",),
     "timestamp_ntz": ("timestamp_ntz",), "date": ("date",),
 }
 
@@ -96,37 +99,43 @@ def _literal(value, t: T.DataType) -> Column | None:
         return F.lit(value)
     if family == "time" and isinstance(value, str):
         try:
-            datetime.fromisoformat(value)
+            moment = datetime.fromisoformat(value)
         except ValueError:
             return None
-        return F.lit(value.replace("T", " ")).cast(t)
+        if isinstance(t, T.TimestampNTZType):
+            moment = moment.replace(tzinfo=None)
+        # one spelling that Spark reads, whichever of the ISO forms the rule has
+        return F.lit(moment.isoformat(sep=" ", timespec="microseconds")).cast(t)
     return None
 
 
 @functools.lru_cache(maxsize=4096)
 def _regex_problem(pattern: str) -> str | None:
-    """Spark accepts any pattern when planning and fails only when running, so run it once."""
-    spark = SparkSession.getActiveSession()
+    """Spark accepts any pattern when planning and fails only when running, so compile it first."""
     try:
-        spark.range(1).select(F.lit("").rlike(pattern)).collect()
-    except PySparkException as problem:
+        SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (PySparkException, Py4JJavaError) as problem:
         return str(problem).splitlines()[0]
     return None
 
 
+# Directives that stand for digits; where two of them touch, both take their full width.
+_DIGITS = {"%Y", "%m", "%d", "%H", "%M", "%S", "%f", "%y", "%j", "%I"}
+_FULL_WIDTH = {"%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%I": "hh"}
+
+
 def datetime_pattern(strftime: str) -> str:
-    out, i = [], 0
-    while i < len(strftime):
-        if strftime[i] == "%":
-            directive = strftime[i : i + 2]
-            if directive not in STRFTIME:
-                raise BindError(f"strftime directive {directive!r} has no counterpart")
-            out.append(STRFTIME[directive])
-            i += 2
-            continue
-        char = strftime[i]
-        out.append("''" if char == "'" else f"'{char}'" if char.isalpha() or char in "[]{}#" else char)
-        i += 1
+    parts = re.findall(r"%.?|[^%]", strftime, re.DOTALL)
+    out = []
+    for i, part in enumerate(parts):
+        if part.startswith("%"):
+            if part not in STRFTIME:
+                raise BindError(f"strftime directive {part!r} has no counterpart")
+            beside = [*parts[max(i - 1, 0) : i], *parts[i + 1 : i + 2]]
+            touches = part in _DIGITS and any(b in _DIGITS or b.isdigit() for b in beside)
+            out.append(_FULL_WIDTH.get(part, STRFTIME[part]) if touches else STRFTIME[part])
+        else:
+            out.append("''" if part == "'" else f"'{part}'" if part.isalpha() or part in "[]{}#" else part)
     return "".join(out)
 
 
@@ -291,8 +300,8 @@ def _regex(b: Binder, kw: dict) -> dict:
 
 def _like(b: Binder, kw: dict) -> dict:
     c, pattern = b.text(kw["column"]), kw["like_pattern"]
-    if not isinstance(pattern, str) or pattern.endswith("\\"):
-        raise BindError("unusable like_pattern")
+    if not isinstance(pattern, str) or re.search(r"\\(?![_%\\])", re.sub(r"\\[_%\\]", "", pattern)):
+        raise BindError("unusable like_pattern: a backslash stands before _, % or another backslash only")
     return _row(~c.like(pattern), [kw["column"]], c.isNotNull())
 
 
