@@ -100,6 +100,36 @@ def q_labels_mixed(spark, sf):
     return label_values(labels)
 
 
+# Parts of one integer column that need a double, a wider integer and a fraction.
+_MIX_TYPES = [
+    (injector("distribution_shift", column="c_nationkey", scale=0.5), 0.05),
+    (injector("referential_integrity", column="c_nationkey"), 0.05),
+    (injector("invalid_category", column="c_nationkey", invalid_value=9.5), 0.05),
+]
+_TYPES_ITEMS, _TYPES_SELECT = sqltext.rows("v", sqltext.mixed_slices(_MIX_TYPES, 4), COLUMNS["customer"])
+
+
+@query("inject_mixed_types", f"WITH {', '.join([sqltext.ranked(SQL['customer'], [4]), *_TYPES_ITEMS])} {_TYPES_SELECT}")
+def q_inject_mixed_types(spark, sf):
+    corrupted, _ = inject_mixed(frame(spark, sf, "customer").select(ROW_ID, *COLUMNS["customer"]), _MIX_TYPES, 4, "customer")
+    return corrupted
+
+
+_TEXT_SQL = " UNION ALL ".join(
+    f"SELECT _row_id, '{column}' AS \"column\", {text} AS original_value FROM r WHERE r1 <= {sqltext.count_of(0.05)}"
+    for column, text in (("o_custkey", "CAST(o_custkey AS VARCHAR)"), ("o_orderdate", "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')"))
+)
+
+
+@query("labels_text", f"WITH {sqltext.ranked(SQL['orders'], [1])} {_TEXT_SQL}")
+def q_labels_text(spark, sf):
+    """Original values as the label has them: an integer and a time under errors that change their column's type."""
+    orders = frame(spark, sf, "orders")
+    errors = [injector("out_of_range", column="o_custkey", mode="high"), injector("type_or_format_error", column="o_orderdate")]
+    parts = [inject(orders, e, 0.05, 1, "orders")[1].select(ROW_ID, "column", "original_value") for e in errors]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _planned_slices(table: str) -> list[tuple[str, float | None, int, list]]:
     """(error type, rate, seed, slices) of every variant in a table's grid."""
     plan = plan_for(table)

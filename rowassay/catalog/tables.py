@@ -12,7 +12,7 @@ from rowassay.functions.select import Selection, cap_rows, half_even, preview_ro
 from rowassay.operators.clean import (
     Check, clean_audit, clean_rows, clean_star, dedup_first, fk_orphans, fk_semi, hours_between,
 )
-from rowassay.operators.parse import open_requests, request_key
+from rowassay.operators.parse import answered_requests, open_requests, request_key
 from rowassay.plans.prepare import STAR_FOREIGN, STAR_PRIMARY, prepare_single, prepare_star
 from rowassay.sources.scan import normalize_types, scan_table, scan_tables
 
@@ -202,6 +202,24 @@ def q_open_requests(spark, sf):
     return open_requests(requests, answers).select("conv_id", "turn", "request_key")
 
 
+_SORTED = '{"stop":{"a":[2],"b":1},"temperature":0,"top_p":1}'
+_SHUFFLED = ['{"top_p": 1, "temperature": 0, "stop": {"b": 1, "a": [2]}}', '{"temperature":0,"stop":{"a":[2],"b":1},"top_p":1}']
+_ANY_ORDER = f"sha256(to_json({{'model': role, 'params': '{_SORTED}', 'prompt': text, 'salt': ''}}))"
+
+
+@query(
+    "answered_requests",
+    f"WITH r AS (SELECT conv_id, turn, {_ANY_ORDER} AS request_key, length(text) AS answer FROM conversations), "
+    "a AS (SELECT request_key, min(answer) AS answer FROM r GROUP BY request_key) SELECT conv_id, turn, request_key, a.answer FROM r JOIN a USING (request_key)",
+)
+def q_answered_requests(spark, sf):
+    """Requests whose parameters list their keys in another order than those of the stored answers."""
+    turns = raw(spark, sf, "conversations")
+    keyed = [turns.withColumn("request_key", request_key(F.col("role"), F.col("text"), F.lit(p), F.lit(""))) for p in _SHUFFLED]
+    answers = keyed[1].groupBy("request_key").agg(F.min(F.char_length("text").cast("bigint")).alias("answer"))
+    return answered_requests(keyed[0], answers).select("conv_id", "turn", "request_key", "answer")
+
+
 # -- ids and sampling ------------------------------------------------------------------------------
 
 
@@ -210,6 +228,11 @@ def q_row_ids(spark, sf):
     return add_row_ids(raw(spark, sf, "lineitem"), LINEITEM)
 
 
+@query("row_ids_documents", SQL["documents"])
+def q_row_ids_documents(spark, sf):
+    return add_row_ids(raw(spark, sf, "documents"), ["doc_id"])
+
+
 def _first(view: str, seed: int, n: str) -> str:
     return f"SELECT * FROM ({SQL[view]}) ORDER BY md5('{seed}:' || _row_id), _row_id LIMIT {n}"
 

@@ -2,8 +2,8 @@
 
 Shingles are XOR-ed into the pieces of a sketch. A differing shingle changes one piece at most, so of as many pieces as two
 similar sets may have differing shingles, plus one, at least one is equal: those pieces are joined on (pigeonhole), in bands
-of like set sizes. Within a family of sets that share pieces, bit sketches are compared in blocks: their Hamming distance is
-a lower bound of the symmetric difference, so only pairs near enough are verified on the sets.
+of like set sizes. Sets that share a piece are compared by bit sketches: their Hamming distance is a lower bound of the
+symmetric difference, so what is too far apart is no candidate. Families of candidates are verified on the sets, in blocks.
 """
 
 from __future__ import annotations
@@ -98,11 +98,12 @@ def _sketched(df: DataFrame, keep: list[str], text_col: str, width: int, percent
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_signature(s) for s in sets], pa.int64()),
                 list_array(np.concatenate(keys), np.array([len(k) for k in keys])),
+                pa.array([bit_sketch(s, _bit_words(len(s))).tobytes() for s in sets], pa.binary()),
             ]
 
         return work
 
-    return map_texts(df, keep, text_col, "size long, node long, keys array<bigint>", begin)
+    return map_texts(df, keep, text_col, "size long, node long, keys array<bigint>, bits binary", begin)
 
 
 def _sets(df: DataFrame, keep: list[str], text_col: str, width: int, lower: bool) -> DataFrame:
@@ -119,28 +120,69 @@ def _sets(df: DataFrame, keep: list[str], text_col: str, width: int, lower: bool
 
 
 def _shared(batches):
-    """Of (key, node) rows sorted by key, each key with several nodes as edges from its first node to the others."""
-    first = None  # key and first node of the run that reached the end of the last batch
+    """Of (key, node) rows sorted by key and node: the distinct rows of each key that several nodes have."""
+    held = None  # key and first node of the run that reached the end of the last batch, and whether that row is out
     for batch in batches:
         key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(key):
             continue
-        new = np.concatenate([[first is None or key[0] != first[0]], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        head = np.where(at < 0, first[1] if first else 0, node[at])
-        first = (key[-1], head[-1])
-        on = head != node
-        pairs = np.unique(np.stack([head[on], node[on]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        out = np.zeros(len(key), bool)
+        if held is not None:
+            key, node, out = np.append(held[0], key), np.append(held[1], node), np.append(held[2], out)
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        run = np.cumsum(new) - 1
+        again = ~new & (node == np.concatenate([node[:1], node[:-1]]))
+        several = np.bincount(run, node != node[new][run]) > 0
+        on = several[run] & ~out & ~again
+        yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(node[on])], names=["key", "node"])
+        first = np.flatnonzero(new)[-1]
+        held = (key[first], node[first], bool(several[-1]))
 
 
-def _bit_sketches(sets: list[np.ndarray], words: int) -> np.ndarray:
+def _bit_words(size: int) -> int:
+    """Words of 64 bits of a set's bit sketch: two to four bits a shingle, a power of two, so that it can be folded."""
+    return 1 << max(0, (max(size, 1) - 1) // 32).bit_length()
+
+
+def bit_sketch(found: np.ndarray, words: int) -> np.ndarray:
     """Parity of the shingles that fall on each of ``64 * words`` bits."""
-    out = np.zeros((len(sets), words), np.uint64)
-    for row, s in zip(out, sets):
-        place = s % np.uint64(64 * words)
-        np.bitwise_xor.at(row, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-    return out
+    bits = np.bincount((found >> np.uint64(3)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The bit sketch of fewer words: bits that fall together are XOR-ed."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def near_pairs(size: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and bit sketches allow the similarity; ``size`` is ascending."""
+    label, found = np.arange(len(size)), []
+    for i in range(len(size) - 1):
+        end = np.searchsorted(size, size[i] * 100 // percent, "right")
+        others = i + 1 + np.flatnonzero(label[i + 1 : end] != label[i])
+        distance = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1)
+        for j in others[distance * (100 + percent) <= (100 - percent) * (size[others] + size[i])]:
+            if label[j] != label[i]:
+                found.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _near(percent: int):
+    def run(batches):
+        for table in runs(batches, 1):
+            starts = run_starts(table, 1)
+            node, size, raw = table["node"].to_numpy(), table["size"].to_numpy(), table["bits"]
+            pairs = []
+            for x, y in zip(starts[:-1], starts[1:]):
+                own = [np.frombuffer(b.as_buffer(), np.uint64) for b in raw.slice(x, y - x)]
+                words = min(map(len, own))
+                sketch = np.stack([_folded(b, words) for b in own])
+                pairs.extend((node[x + i], node[x + j]) for i, j in near_pairs(size[x:y], sketch, percent))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def links_between(sets: list[np.ndarray], second: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -149,7 +191,8 @@ def links_between(sets: list[np.ndarray], second: np.ndarray, percent: int) -> l
     ``second`` marks the sets of another block: then only pairs across are looked at. If it marks none, all pairs are.
     """
     size = np.array([len(s) for s in sets])
-    sketch = _bit_sketches(sets, max(1, int(-(-size.max() // 16))))
+    words = _bit_words(2 * int(size.max()))
+    sketch = np.stack([bit_sketch(s, words) for s in sets])
     label, found = np.arange(len(sets)), []
     across = second.any()
     for i in np.flatnonzero(~second) if across else range(len(sets)):
@@ -177,16 +220,18 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named by the least other id of their component, if any. Repeated rows are kept; other columns are not read.
     """
     sketched = materialize(_sketched(df, [id_col], text_col, width, percent, lower), "sketches")
-    base = materialize(sketched.drop("keys"), "sizes")
+    base = materialize(sketched.drop("keys", "bits"), "sizes")
     # one row for each distinct set; copies meet here as counts do, and go no further
-    nodes = materialize(base.filter("size > 0").groupBy("node", "size").agg(F.min(id_col).alias("_id")), "nodes")
+    nodes = materialize(sketched.filter("size > 0").groupBy("node", "size").agg(F.min(id_col).alias("_id"), F.first("bits").alias("bits")), "nodes")
     first = sketched.join(nodes.select("node", "_id"), (sketched["node"] == nodes["node"]) & sketched[id_col].eqNullSafe(nodes["_id"]), "left_semi")
     keyed = first.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    shared = materialize(keyed.mapInArrow(_shared, "a long, b long").distinct(), "shared")
+    shared = materialize(keyed.mapInArrow(_shared, "key long, node long"), "shared")
     discard(sketched)
-    family = components(shared)
+    met = shared.join(nodes.select("node", "size", "bits"), "node").select("key", "size", "node", "bits")
+    near = met.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_near(percent), "a long, b long")
+    family = components(near)
     # the sets of the family members only
-    members = materialize(family.join(nodes, "node").select("node", "size", "_id", F.col("component").alias("family")), "members")
+    members = materialize(family.join(nodes.drop("bits"), "node").select("node", "size", "_id", F.col("component").alias("family")), "members")
     totals = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     blocked = members.join(totals, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     texts = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
@@ -198,7 +243,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     linked = paired.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").mapInArrow(_linker(percent), "a long, b long")
     joined = components(linked)
-    least = joined.join(nodes, "node").groupBy("component").agg(F.min("_id").alias("least"))
+    least = joined.join(nodes.select("node", "_id"), "node").groupBy("component").agg(F.min("_id").alias("least"))
     named = joined.join(least, "component").select("node", "least")
     own = base.select(id_col, "size", "node").join(nodes.select("node", "_id"), "node", "left").join(named, "node", "left")
     return own.select(id_col, F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("least", "_id")).otherwise(F.col(id_col)).alias("component_id"))

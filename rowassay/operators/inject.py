@@ -145,6 +145,27 @@ def as_text(c: Column, t: T.DataType) -> Column:
     return c.cast("string")
 
 
+_WIDTHS = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.DoubleType()]
+
+
+def _type_of_number(value) -> T.DataType:
+    """The narrowest of the integer types, or double, that holds a sentinel."""
+    if isinstance(value, int) or float(value).is_integer():
+        for t, bits in zip(_WIDTHS, (7, 15, 31, 63)):
+            if -(2**bits) <= value < 2**bits:
+                return t
+    return T.DoubleType()
+
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds the values of both: text holds all, double all numbers."""
+    if a == b:
+        return a
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return max((a, b), key=_WIDTHS.index) if a in _WIDTHS and b in _WIDTHS else T.DoubleType()
+    return T.StringType()
+
+
 class Injection:
     """Variants of one table, ready to be read as rows or as labels.
 
@@ -293,6 +314,8 @@ class Injection:
             return T.StringType()
         if kind == "invalid_category" and isinstance(before, T.StringType):
             return T.StringType()
+        if kind == "invalid_category" and isinstance(before, T.IntegralType):
+            return _wider(before, _type_of_number(inj.get("invalid_value")))
         if kind == "referential_integrity" and isinstance(before, (T.IntegerType, T.ShortType, T.ByteType)):
             return T.LongType()
         if kind == "cross_column_logic" and inj.get("kind", "temporal") == "sum":
@@ -303,10 +326,9 @@ class Injection:
         """Columns whose type the variant changes; variants that agree can share one scan."""
         after: dict[str, T.DataType] = {}
         for p in self.variants[vi].inplace:
-            t = self.type_after(p.injector)
-            if t != self._types[p.injector.column] and not isinstance(after.get(p.injector.column), T.StringType):
-                after[p.injector.column] = t
-        return tuple(sorted((c, t.simpleString()) for c, t in after.items()))
+            c = p.injector.column
+            after[c] = _wider(after.get(c, self._types[c]), self.type_after(p.injector))
+        return tuple(sorted((c, t.simpleString()) for c, t in after.items() if t != self._types[c]))
 
     def schema_classes(self) -> dict[tuple, list[int]]:
         classes: dict[tuple, list[int]] = {}
@@ -339,6 +361,7 @@ class Injection:
         changed_only: bool = False,
         keep_old: bool = False,
         within: Column | None = None,
+        own_types: bool = False,
     ) -> DataFrame:
         """Rows of the variants ``members`` (which must be of one schema class).
 
@@ -346,7 +369,8 @@ class Injection:
         ``_append`` (appending part the row is a copy of, else -1), the row id, and the table's
         columns. ``changed_only`` leaves out the rows a variant does not touch; ``keep_old`` adds
         the row before the change as struct ``_old`` and the id of the source row as ``_source``;
-        ``within`` restricts the base rows that are read (not which of them are corrupted).
+        ``within`` restricts the base rows that are read (not which of them are corrupted);
+        ``own_types`` leaves the values in ``_old`` the types they had.
         """
         members = list(range(len(self.variants))) if members is None else members
         casts = dict(self.schema_class(members[0])) if members else {}
@@ -397,7 +421,8 @@ class Injection:
         fresh = F.when(F.col("_append") >= 0, (F.col("_append") + 1) * F.lit(self.first_new_id()).cast("bigint") + F.col(ROW_ID))
         head = ["_fate", "_variant", "_hit", "_append", fresh.otherwise(F.col(ROW_ID)).alias(ROW_ID)]
         if keep_old:
-            old = F.struct(*[F.col(f"`{c}`").cast(casts.get(c, self._types[c].simpleString())).alias(c) for c in columns])
+            before = {} if own_types else casts
+            old = F.struct(*[F.col(f"`{c}`").cast(before.get(c, self._types[c].simpleString())).alias(c) for c in columns])
             head += [F.col(ROW_ID).alias("_source"), old.alias("_old")]
         return known.select(*head, *new)
 
@@ -424,7 +449,7 @@ class Injection:
         return variant.appended[app] if app >= 0 else variant.inplace[hit] if hit >= 0 else None
 
     def _class_labels(self, members: list[int]) -> DataFrame:
-        rows = self.rows(members, changed_only=True, keep_old=True)
+        rows = self.rows(members, changed_only=True, keep_old=True, own_types=True)
         types = {f.name: f.dataType for f in rows.schema}
 
         def told(get):
@@ -439,7 +464,7 @@ class Injection:
         old, new = F.when(F.col("_append") >= 0, F.col("_source").cast("string")), F.when(F.lit(False), F.lit(""))
         for c in sorted({p.injector.column for vi in members for p in self.variants[vi].inplace}):
             mine = F.col("column") == c
-            old = old.when(mine, as_text(F.col(f"_old.`{c}`"), types[c]))
+            old = old.when(mine, as_text(F.col(f"_old.`{c}`"), self._types[c]))
             new = new.when(mine, as_text(F.col(f"`{c}`"), types[c]))
         return known.select(
             "_variant", ROW_ID, "column", "error_type", "rate", "seed", F.lit(self.dataset).alias("dataset"),
@@ -447,10 +472,21 @@ class Injection:
         )
 
     def collisions(self, part_column: str, valid_keys: DataFrame) -> int:
-        """How many injected foreign keys exist among ``valid_keys`` (one column); must be 0."""
-        key = valid_keys.columns[0]
-        broken = self.rows(changed_only=True).select(F.col(f"`{part_column}`").alias(key))
-        return broken.join(valid_keys, key, "left_semi").count()
+        """How many injected foreign keys exist among ``valid_keys`` (one column); must be 0.
+
+        Only rows that a foreign-key injector of this column has changed are looked at.
+        """
+        key, total = valid_keys.columns[0], 0
+        for members in self.schema_classes().values():
+            broken = F.array(*[
+                F.lit(f"{vi}.{pi}") for vi in members for pi, p in enumerate(self.variants[vi].inplace)
+                if p.injector.error_type == "referential_integrity" and p.injector.column == part_column
+            ]).cast("array<string>")
+            changed = self.rows(members, changed_only=True)
+            by = F.concat_ws(".", F.col("_variant").cast("string"), F.col("_hit").cast("string"))
+            keys = changed.filter(F.array_contains(broken, by)).select(F.col(f"`{part_column}`").alias(key))
+            total += keys.join(valid_keys, key, "left_semi").count()
+        return total
 
 
 def inject(df: DataFrame, inj: Injector, rate: float, seed: int, dataset: str = "") -> tuple[DataFrame, DataFrame]:

@@ -124,9 +124,16 @@ def suite_summary(responses: DataFrame, parsed: DataFrame, by: list[str], costs:
     )
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON with the keys of every object in order and no space; text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
 def request_key(model: Column, prompt: Column, params: Column, salt: Column) -> Column:
-    """Identity of a request: SHA-256 of its canonical JSON."""
-    payload = F.struct(model.alias("model"), params.alias("params"), prompt.alias("prompt"), salt.alias("salt"))
+    """Identity of a request: SHA-256 of its canonical JSON. ``params`` is JSON text, in any order of keys."""
+    payload = F.struct(
+        model.alias("model"), canonical_json(params).alias("params"), prompt.alias("prompt"), salt.alias("salt")
+    )
     return F.sha2(F.to_json(payload), 256)
 
 

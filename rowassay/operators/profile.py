@@ -1,15 +1,16 @@
 """Derive a suite of rules from a clean table.
 
-One wide aggregate describes every column. Only columns it leaves in doubt are looked at again:
-possible categories get their value set in a second aggregate, possible keys an exact grouped count.
+One wide aggregate describes every column. The first few thousand rows then prove what most columns
+are not: a repeated value there rules out a key, too many values a category. Whatever they do not
+settle is counted exactly over the whole table.
 """
 
 from __future__ import annotations
 
 import functools
-from datetime import datetime
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,13 +18,9 @@ from rowassay import ROW_ID
 from rowassay.operators.rules import Rule, rule
 
 MAX_CATEGORIES = 20
-NOTE = "profiled from clean data"
+NOTE = "holds on the clean table it was profiled from"
 
-# The sketch only prunes; what it leaves in doubt is settled exactly. Finer sketches cost far more
-# (their registers are buffer columns), so the margins are wide instead: eight standard errors.
-_SKETCH_ERROR = 0.05
-_KEY_SHARE = 0.6  # an estimate this close to the row count may be a key
-_CATEGORY_SLACK = 2  # an estimate up to this many times the limit may be within it
+_FIRST_ROWS = 4096  # enough to dismiss most columns; no verdict but a proof comes from them
 
 
 def _visible(df: DataFrame) -> list[T.StructField]:
@@ -47,7 +44,9 @@ def _plain_zero(c: Column) -> Column:
     return c + F.lit(0.0)
 
 
-def _rows(df: DataFrame, aggregates: list, structs: list) -> DataFrame:
+def _rows(df: DataFrame, aggregates: list, structs: list, schema: str) -> DataFrame:
+    if not structs:
+        return df.sparkSession.createDataFrame([], schema)
     return df.agg(*aggregates).select(F.inline(F.array(*structs)))
 
 
@@ -61,7 +60,7 @@ def profile_nulls(df: DataFrame) -> DataFrame:
             F.lit(f.name).alias("column"), F.col("_n").alias("n_rows"), missing.alias("n_missing"),
             (missing == 0).alias("complete"),
         ))
-    return _rows(df, aggs, out)
+    return _rows(df, aggs, out, "column string, n_rows bigint, n_missing bigint, complete boolean")
 
 
 def profile_range(df: DataFrame) -> DataFrame:
@@ -73,7 +72,7 @@ def profile_range(df: DataFrame) -> DataFrame:
         out.append(F.struct(
             F.lit(f.name).alias("column"), F.col(f"_lo{i}").alias("min_value"), F.col(f"_hi{i}").alias("max_value")
         ))
-    return _rows(df, aggs, out).filter("min_value is not null")
+    return _rows(df, aggs, out, "column string, min_value double, max_value double").filter("min_value is not null")
 
 
 def profile_length(df: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def profile_length(df: DataFrame) -> DataFrame:
         out.append(F.struct(
             F.lit(f.name).alias("column"), F.col(f"_lo{i}").alias("min_length"), F.col(f"_hi{i}").alias("max_length")
         ))
-    return _rows(df, aggs, out).filter("min_length is not null")
+    return _rows(df, aggs, out, "column string, min_length int, max_length int").filter("min_length is not null")
 
 
 def _per_value(df: DataFrame, name: str) -> DataFrame:
@@ -101,7 +100,8 @@ def profile_unique(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         .select(F.lit(n).alias("column"), "is_unique")
         for n in names
     ]
-    return functools.reduce(DataFrame.unionByName, parts)
+    empty = df.sparkSession.createDataFrame([], "column string, is_unique boolean")
+    return functools.reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 def profile_ndv(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -111,7 +111,8 @@ def profile_ndv(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         _per_value(df, n).agg(F.count("_v").alias("n_distinct")).select(F.lit(n).alias("column"), "n_distinct")
         for n in names
     ]
-    return functools.reduce(DataFrame.unionByName, parts)
+    empty = df.sparkSession.createDataFrame([], "column string, n_distinct bigint")
+    return functools.reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 def _describe(df: DataFrame) -> dict:
@@ -120,8 +121,6 @@ def _describe(df: DataFrame) -> dict:
     for i, f in enumerate(_visible(df)):
         c = F.col(f"`{f.name}`")
         aggs.append(F.count(c).alias(f"valid{i}"))
-        if _comparable(f.dataType):
-            aggs.append(F.approx_count_distinct(c, _SKETCH_ERROR).alias(f"about{i}"))
         if _numeric(f.dataType):
             aggs += [_plain_zero(F.min(c.cast("double"))).alias(f"lo{i}"), _plain_zero(F.max(c.cast("double"))).alias(f"hi{i}")]
         if isinstance(f.dataType, T.StringType):
@@ -129,38 +128,58 @@ def _describe(df: DataFrame) -> dict:
     return df.agg(*aggs).first().asDict()
 
 
-def _category_columns(df: DataFrame, seen: dict, limit: int) -> list[str]:
-    return [
-        f.name for i, f in enumerate(_visible(df))
-        if _comparable(f.dataType) and not _fractional(f.dataType)
-        and 0 < seen[f"about{i}"] <= _CATEGORY_SLACK * limit
-    ]
-
-
-def _value_sets(df: DataFrame, names: list[str], limit: int) -> dict[str, list]:
-    """Sorted values of columns already known to have few."""
+def _first_look(df: DataFrame) -> dict[str, tuple[int, int]]:
+    """(values, different values) of each comparable column among the first rows."""
+    names = [f.name for f in _visible(df) if _comparable(f.dataType)]
     if not names:
         return {}
-    row = df.agg(*[F.array_sort(F.collect_set(f"`{n}`")).alias(n) for n in names]).first()
-    return {n: row[n] for n in names if 0 < len(row[n]) <= limit}
+    aggs = [a for i, n in enumerate(names) for a in (F.count(f"`{n}`").alias(f"v{i}"), F.size(F.collect_set(f"`{n}`")).alias(f"d{i}"))]
+    row = df.select(*[f"`{n}`" for n in names]).limit(_FIRST_ROWS).agg(*aggs).first()
+    return {n: (row[f"v{i}"], row[f"d{i}"]) for i, n in enumerate(names)}
+
+
+def _value_frames(df: DataFrame, limit: int) -> dict[str, DataFrame]:
+    """For each column that may be a category: at most ``limit + 1`` of its different values."""
+    first = _first_look(df)
+    return {
+        f.name: df.select(F.col(f"`{f.name}`").alias("value")).filter("value is not null").distinct().limit(limit + 1)
+        for f in _visible(df) if f.name in first and not _fractional(f.dataType) and first[f.name][1] <= limit
+    }
+
+
+def _value_sets(df: DataFrame, limit: int) -> dict[str, list]:
+    """Sorted values of the columns that have few; times as Spark writes them, in the session's zone."""
+    found = {}
+    for name, values in _value_frames(df, limit).items():
+        if _is_time(values.schema["value"].dataType):
+            values = values.select(F.col("value").cast("string"))
+        listed = [_json_value(r["value"]) for r in values.collect()]
+        if 0 < len(listed) <= limit:
+            found[name] = sorted(listed)
+    return found
+
+
+def _is_time(t: T.DataType) -> bool:
+    return isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
 def profile_value_set(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
     """Per category column: its values, one per row, as text."""
-    names = _category_columns(df, _describe(df), max_categories)
-    sets = [
-        F.struct(F.lit(n).alias("column"), F.collect_set(F.col(f"`{n}`").cast("string")).alias("values"))
-        for n in names
+    counted = Window.partitionBy("column")
+    parts = [
+        values.select(F.lit(name).alias("column"), F.col("value").cast("string").alias("value"))
+        for name, values in _value_frames(df, max_categories).items()
     ]
-    return (
-        df.agg(F.array(*sets).alias("_s")).select(F.inline("_s"))
-        .filter(F.size("values").between(1, max_categories))
-        .select("column", F.explode("values").alias("value"))
-    )
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, value string")
+    every = functools.reduce(DataFrame.unionByName, parts).withColumn("_n", F.count("*").over(counted))
+    return every.filter(F.col("_n") <= max_categories).drop("_n")
 
 
 def _json_value(value):
-    return value.isoformat(sep=" ") if isinstance(value, datetime) else value
+    if isinstance(value, Decimal):
+        return int(value) if value == value.to_integral_value() else float(value)
+    return value
 
 
 def profile_rules(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> list[Rule]:
@@ -168,13 +187,13 @@ def profile_rules(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> list[R
     seen = _describe(df)
     n = seen["n"]
     fields = _visible(df)
+    first = _first_look(df)
     keys = [
         f.name for i, f in enumerate(fields)
-        if _comparable(f.dataType) and n - seen[f"valid{i}"] <= 1
-        and seen[f"about{i}"] >= _KEY_SHARE * seen[f"valid{i}"]
+        if f.name in first and n - seen[f"valid{i}"] <= 1 and first[f.name][0] == first[f.name][1]
     ]
     unique = {r["column"] for r in profile_unique(df, keys).collect() if r["is_unique"]} if keys else set()
-    sets = _value_sets(df, _category_columns(df, seen, max_categories), max_categories)
+    sets = _value_sets(df, max_categories)
 
     rules: list[Rule] = []
     for i, f in enumerate(fields):
