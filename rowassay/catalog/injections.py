@@ -182,6 +182,16 @@ def q_labels(spark, sf):
     return label_values(injection.labels().select(*variant_columns(injection, "tpch_orders"), "*")).drop("_variant")
 
 
+@query("labels_all", " UNION ALL ".join(f"SELECT * FROM ({_grid_sql(t, sqltext.labels, t)})" for t in PLANNED))
+def q_labels_all(spark, sf):
+    """The labels of every variant of every planned table."""
+    parts = []
+    for table in PLANNED:
+        injection = planned(spark, sf, table)
+        parts.append(label_values(injection.labels().select(*variant_columns(injection, table), "*")).drop("_variant"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _plan_rows(table: str) -> str:
     n = f"(SELECT count(*) FROM ({SQL[PLANNED[table]]}))"
     rows = []

@@ -27,14 +27,14 @@ _SWAPPED = _rule_text("expect_column_values_to_be_between", '{"min_value":0,"max
 # Answers in every shape a reader may meet. @T, @U and @E stand for the event's type, user and id.
 SHAPES = [
     f"[{_NOT_NULL},{_BETWEEN}]",
-    f"Here you go:\n{_TICKS}json\n[{_NOT_NULL}]\n{_TICKS}\nDone [see @E].",
-    f"Sure! [{_BETWEEN}] Hope this helps user @U.",
+    f"Suite of event @E, as JSON:\n{_TICKS}json\n[{_NOT_NULL}]\n{_TICKS}\nEnd of the suite [one rule].",
+    f"User @U asked for [{_BETWEEN}] and nothing else.",
     '[{"expectation_type":"expect_@T","kwargs":{}}]',
     "[" + _rule_text("expect_column_values_to_not_be_null", '{"bad":@U}') + "]",
     "[" + _rule_text("expect_column_values_to_not_be_null", '"@T"') + "]",
-    f'["not a rule",{_NOT_NULL},@U,null,[]]',
+    f'["@T is a word",{_NOT_NULL},@U,null,[]]',
     '[{"kwargs":{"column":"@T"}},{"expectation_type":"","kwargs":{}},{"expectation_type":@U}]',
-    "I cannot help with event @E.",
+    "Event @E has no values to check.",
     "[]",
     '[{"expectation_type": @T}]',
     f"[{_NOT_NULL},{_NOT_NULL},{_BETWEEN},{_SWAPPED},"

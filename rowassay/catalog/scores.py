@@ -23,10 +23,11 @@ from rowassay.operators.profile import profile_rules
 from rowassay.operators.rules import STATUSES, build_rules, rule
 from rowassay.operators.validate import flagged_rows, outcomes, suite_outcomes
 from rowassay.plans.grid import Grid, Suite, facts_frame
+from rowassay.plans.run import score_manifest, write_injections
 from rowassay.plans.suites import hand_written
 from rowassay.session import fresh_path, materialize
-from rowassay.sources.scan import scan_results
-from rowassay.sources.sinks import write_report, write_results
+from rowassay.sources.scan import scan_manifest, scan_results
+from rowassay.sources.sinks import write_manifest, write_report, write_results
 
 # -- single metrics ------------------------------------------------------------------------------
 
@@ -320,6 +321,15 @@ def q_validate_grid(spark, sf):
     return all_facts(spark, sf)
 
 
+@query("validate_manifest", f"SELECT * FROM ({grid_sql('tpch_orders', sql_suites('tpch_orders'), 'detection')})")
+def q_validate_manifest(spark, sf):
+    """Variants of orders written to disk, found through their manifest and scored there."""
+    root = fresh_path(spark, "written")
+    manifest = write_injections({"tpch_orders": planned(spark, sf, "tpch_orders")}, root)
+    write_manifest(manifest, f"{root}/manifest")
+    return score_manifest(scan_manifest(spark, f"{root}/manifest"), {"tpch_orders": baseline_suites(spark, sf, "tpch_orders")})
+
+
 @query("scan_results", f"SELECT dataset, method, metric, count(*) AS n_facts, count(value) AS n_defined FROM ({_ALL}) GROUP BY ALL")
 def q_scan_results(spark, sf):
     root = fresh_path(spark, "results")

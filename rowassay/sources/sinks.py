@@ -16,11 +16,17 @@ def write_audit(audit: DataFrame, path: str) -> None:
 
 
 def write_variants(variants: DataFrame, labels: DataFrame, root: str) -> None:
-    """Corrupted tables and their labels, one partition per variant."""
-    keys = ["table_id", "error_type", "rate", "seed"]
-    variants.write.mode("overwrite").partitionBy(*keys).parquet(f"{root}/data")
-    renamed = labels.withColumnRenamed("error_type", "label_type").withColumnRenamed("variant_type", "error_type")
-    renamed.write.mode("overwrite").partitionBy(*keys).parquet(f"{root}/labels")
+    """Corrupted tables and their labels, one partition per variant.
+
+    Both have the variant's identity in ``table_id``, ``variant_type``, ``variant_rate`` and
+    ``variant_seed``; labels keep their own type, rate and seed as ``label_type``, ``label_rate`` and
+    ``label_seed``. Variants already under ``root`` stay, unless they are written again.
+    """
+    keys = {"variant_type": "error_type", "variant_rate": "rate", "variant_seed": "seed"}
+    own = {c: f"label_{c.removeprefix('error_')}" for c in ("error_type", "rate", "seed")}
+    for name, frame in (("data", variants), ("labels", labels.withColumnsRenamed(own))):
+        writer = frame.withColumnsRenamed(keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("table_id", *keys.values()).parquet(f"{root}/{name}")
 
 
 def manifest_of(variants: DataFrame, root: str) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 import pytest
 from conftest import SMALL
 
+from pyspark.sql import functions as F
+
 from rowassay.catalog.injections import RATES, SEEDS
 from rowassay.catalog.views import frame
 from rowassay.operators import report
@@ -118,18 +120,21 @@ def test_variants_and_manifest_round_trip(spark, tmp_path):
 
     base = frame(spark, SMALL, "customer")
     injection = injection_grid(base, PLAN[:3], [0.05], [1], "c")
-    names = {"variant_type": "error_type", "variant_rate": "rate", "variant_seed": "seed"}
-    rows = injection.rows().select(*variant_columns(injection, "c"), *base.columns).withColumnsRenamed(names)
-    labels = injection.labels()
-    keys = variant_columns(injection, "c")
-    labels = labels.drop("rate", "seed").select(*keys, "_row_id", "column", "error_type", "original_value", "corrupted_value")
-    labels = labels.withColumnsRenamed({"variant_rate": "rate", "variant_seed": "seed"})
+    rows = injection.rows().select(*variant_columns(injection, "c"), *base.columns)
+    labels = injection.labels().select(*variant_columns(injection, "c"), "_row_id", "column", "error_type", "rate", "seed", "original_value", "corrupted_value")
     root = str(tmp_path / "v")
     write_variants(rows, labels, root)
-    lines = rows.select("table_id", "error_type", "rate", "seed").distinct()
+    # a second table under the same root, written twice, leaves the first one alone
+    for _ in range(2):
+        write_variants(*(f.withColumn("table_id", F.lit("d")) for f in (rows, labels)), root)
+    lines = rows.selectExpr("table_id", "variant_type AS error_type", "variant_rate AS rate", "variant_seed AS seed").distinct()
     write_manifest(manifest_of(lines, root), str(tmp_path / "m"))
     entries = {r["error_type"]: r for r in scan_manifest(spark, str(tmp_path / "m")).collect()}
     assert set(entries) == {"missing_value", "out_of_range", "duplicate_row", "mixed"}
+    mix = spark.read.parquet(entries["mixed"]["labels_path"])
+    assert {r["label_type"] for r in mix.select("label_type").distinct().collect()} == {"missing_value", "out_of_range", "duplicate_row"}
+    assert mix.filter("label_rate IS NULL OR label_seed IS NULL").count() == 0
+    assert spark.read.parquet(f"{root}/data").groupBy("table_id").count().select("count").distinct().count() == 1
     n = base.count()
     assert spark.read.parquet(entries["duplicate_row"]["data_path"]).count() == n + round(n * 0.05)
     assert spark.read.parquet(entries["mixed"]["data_path"]).count() == n + round(n * 0.02)

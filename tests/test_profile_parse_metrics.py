@@ -60,20 +60,20 @@ GOOD = {"expectation_type": "expect_column_values_to_not_be_null", "kwargs": {"c
 BAD = {"expectation_type": GOOD["expectation_type"], "kwargs": {"bad": 1}}
 TEXTS = {
     "plain": (json.dumps([GOOD, GOOD]), ["valid", "valid"]),
-    "fenced": ("Here you go:\n```json\n" + json.dumps([GOOD]) + "\n```\nDone.", ["valid"]),
-    "prose": ("Sure! " + json.dumps([GOOD]) + " Hope this helps.", ["valid"]),
-    "unknown": (json.dumps([{"expectation_type": "expect_nonsense", "kwargs": {}}]), ["unknown_expectation"]),
+    "fenced": ("The suite for this table follows.\n```json\n" + json.dumps([GOOD]) + "\n```\nIt has one rule.", ["valid"]),
+    "prose": ("Rules: " + json.dumps([GOOD]) + " (end of rules)", ["valid"]),
+    "unknown": (json.dumps([{"expectation_type": "expect_rain_on_sunday", "kwargs": {}}]), ["unknown_expectation"]),
     "kwargs": (json.dumps([BAD]), ["invalid_kwargs"]),
-    "not_object": (json.dumps([{**GOOD, "kwargs": "oops"}]), ["invalid_kwargs"]),
+    "not_object": (json.dumps([{**GOOD, "kwargs": "column=amount"}]), ["invalid_kwargs"]),
     "null_kwargs": (json.dumps([{**GOOD, "kwargs": None}]), ["invalid_kwargs"]),
-    "unknown_and_not_object": (json.dumps([{"expectation_type": "expect_nonsense", "kwargs": "oops"}]), ["invalid_kwargs"]),
-    "element": (json.dumps(["not a rule", GOOD, None, [GOOD]]), ["json_error", "valid", "json_error", "json_error"]),
+    "unknown_and_not_object": (json.dumps([{"expectation_type": "expect_rain_on_sunday", "kwargs": "column=amount"}]), ["invalid_kwargs"]),
+    "element": (json.dumps(["amount is positive", GOOD, None, [GOOD]]), ["json_error", "valid", "json_error", "json_error"]),
     "no_type": (json.dumps([{"kwargs": {"column": "x"}}, {"expectation_type": 7}, {"expectation_type": ""}]), ["json_error"] * 3),
-    "refusal": ("I cannot help with that.", ["json_error"]),
+    "refusal": ("The table has no column to check.", ["json_error"]),
     "broken": ("[{]", ["json_error"]),
     "backwards": ("] nothing [", ["json_error"]),
     "empty": ("[]", []),
-    "all": (json.dumps([GOOD, {"expectation_type": "expect_nonsense", "kwargs": {}}, BAD]), ["valid", "unknown_expectation", "invalid_kwargs"]),
+    "all": (json.dumps([GOOD, {"expectation_type": "expect_rain_on_sunday", "kwargs": {}}, BAD]), ["valid", "unknown_expectation", "invalid_kwargs"]),
 }
 
 
@@ -113,37 +113,37 @@ def test_requests_are_keyed_by_content(spark):
 
 
 def test_executability(spark):
-    counts = spark.createDataFrame([("x", 8, 0, 2, 0, 0), ("y", 0, 0, 0, 0, 0)], "m string, valid int, json_error int, unknown_expectation int, invalid_kwargs int, runtime_error int")
-    errors = spark.createDataFrame([("x", 1)], "m string, n_runtime_errors int")
+    counts = spark.createDataFrame([("x", 13, 1, 4, 2, 0), ("y", 0, 0, 0, 0, 0)], "m string, valid int, json_error int, unknown_expectation int, invalid_kwargs int, runtime_error int")
+    errors = spark.createDataFrame([("x", 3)], "m string, n_runtime_errors int")
     got = {r["m"]: r["executability"] for r in metrics.executability(counts, errors, ["m"]).collect()}
-    assert got == {"x": 0.7, "y": None}
+    assert got == {"x": 0.5, "y": None}
 
 
 def test_false_positive_rates(spark):
-    out = spark.createDataFrame([(True,), (False,), (False,)], "success boolean")
-    assert metrics.rule_false_positive_rate(out).first()[0] == 2 / 3
+    out = spark.createDataFrame([(False,), (True,), (True,), (True,)], "success boolean")
+    assert metrics.rule_false_positive_rate(out).first()[0] == 1 / 4
     assert metrics.rule_false_positive_rate(out.filter("false")).first()[0] is None
-    ids = spark.createDataFrame([(3,), (4,), (4,), (5,)], "_row_id bigint")
-    assert metrics.row_false_positive_rate(spark.range(100), ids).first()[0] == 3 / 100
+    ids = spark.createDataFrame([(17,), (2,), (17,), (40,), (2,), (8,)], "_row_id bigint")
+    assert metrics.row_false_positive_rate(spark.range(50), ids).first()[0] == 4 / 50
 
 
 def test_detection(spark):
-    flagged = spark.createDataFrame([(0,), (1,), (2,)], "_row_id bigint")
-    labels = spark.createDataFrame([(1, "missing_value"), (2, "missing_value"), (3, "out_of_range")], "_row_id bigint, error_type string")
+    flagged = spark.createDataFrame([(11,), (12,), (13,), (14,), (30,)], "_row_id bigint")
+    labels = spark.createDataFrame([(12, "missing_value"), (14, "missing_value"), (15, "missing_value"), (11, "duplicate_row")], "_row_id bigint, error_type string")
     d = metrics.detection_scores(flagged, labels).first()
-    assert (d["true_positives"], d["precision"], d["recall"], d["f1"]) == (2, 2 / 3, 2 / 3, 2 / 3)
-    assert {r["error_type"]: r["recall"] for r in metrics.recall_by_type(flagged, labels).collect()} == {"missing_value": 1.0, "out_of_range": 0.0}
-    assert {r[0] for r in metrics.true_positives(flagged, labels).collect()} == {1, 2}
+    assert (d["true_positives"], d["precision"], d["recall"], d["f1"]) == (3, 3 / 5, 3 / 4, pytest.approx(2 / 3))
+    assert {r["error_type"]: r["recall"] for r in metrics.recall_by_type(flagged, labels).collect()} == {"missing_value": 2 / 3, "duplicate_row": 1.0}
+    assert {r[0] for r in metrics.true_positives(flagged, labels).collect()} == {11, 12, 14}
     nothing = metrics.detection_scores(flagged.filter("false"), labels.filter("false")).first()
     assert (nothing["precision"], nothing["recall"], nothing["f1"]) == (None, None, None)
-    apart = metrics.detection_scores(flagged.filter("_row_id = 0"), labels).first()
+    apart = metrics.detection_scores(flagged.filter("_row_id = 30"), labels).first()
     assert apart["f1"] == 0.0
 
 
 def test_redundancy_and_size(spark):
-    rules = spark.createDataFrame([("n", '{"column":"a"}'), ("n", '{"column":"a"}'), ("n", '{"column":"b"}')], "expectation_type string, kwargs string")
-    assert metrics.redundancy(rules).first()[0] == 1
-    assert metrics.suite_size(rules).first()[0] == 3
+    rules = spark.createDataFrame([("n", '{"column":"p"}')] * 3 + [("u", '{"column":"p"}'), ("n", '{"column":"q"}')], "expectation_type string, kwargs string")
+    assert metrics.redundancy(rules).first()[0] == 2
+    assert metrics.suite_size(rules).first()[0] == 5
 
 
 def test_long_facts(spark):
