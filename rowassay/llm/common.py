@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer text is a slice of its own.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,26 @@ def slices(sizes: Iterable[int], limit: int = SLICE) -> Iterator[tuple[int, int]
         yield first, end
 
 
+def lean(run: Callable) -> Callable:
+    """The same function of batches; what a task has freed goes back to the machine when it ends.
+
+    Python workers are kept for later tasks, and without this they keep the most memory that any task has needed.
+    """
+
+    def wrapped(batches):
+        import ctypes
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, begin: Callable[[], Callable], limit: int = SLICE) -> DataFrame:
     """Apply a function to whole texts, a slice of an Arrow batch at a time, without a shuffle.
 
@@ -60,7 +80,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, begin: Cal
                 made = work(texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + made, names=names)
 
-    return kept.mapInArrow(run, ", ".join(types + [schema]))
+    return kept.mapInArrow(lean(run), ", ".join(types + [schema]))
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

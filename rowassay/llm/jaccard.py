@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowassay.llm.common import hashed_words, list_array, map_texts, mix64, run_starts, runs, word_hashes
+from rowassay.llm.common import hashed_words, lean, list_array, map_texts, mix64, run_starts, runs, word_hashes
 from rowassay.llm.components import components
 from rowassay.session import discard, materialize
 
@@ -155,31 +155,85 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
-def near_pairs(size: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sizes and bit sketches allow the similarity; ``size`` is ascending."""
-    label, found = np.arange(len(size)), []
-    for i in range(len(size) - 1):
-        end = np.searchsorted(size, size[i] * 100 // percent, "right")
-        others = i + 1 + np.flatnonzero(label[i + 1 : end] != label[i])
-        distance = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1)
-        for j in others[distance * (100 + percent) <= (100 - percent) * (size[others] + size[i])]:
-            if label[j] != label[i]:
-                found.append((i, int(j)))
-                label[label == label[j]] = label[i]
-    return found
+class Compared:
+    """Nodes met under one head: their sketches, which pairs have been compared, and what near pairs have joined.
+
+    Keys under one head hold much the same nodes, so a pair is compared once, not once a key. Of more than ``MOST`` nodes
+    the later ones are compared anew for each key.
+    """
+
+    MOST = 8192
+
+    def __init__(self):
+        self.place: dict[int, int] = {}
+        self.bits: list[np.ndarray] = []
+        self.folded: dict[int, np.ndarray] = {}
+        self.done = np.zeros((64, 64), bool)
+        self.label = np.zeros(64, np.int64)
+
+    def places(self, nodes: list[int], bits) -> np.ndarray:
+        for node, b in zip(nodes, bits):
+            if node not in self.place:
+                at = self.place[node] = len(self.bits)
+                self.bits.append(np.frombuffer(b.as_buffer(), np.uint64))
+                if at >= len(self.label):
+                    self.label = np.concatenate([self.label, np.zeros(at, np.int64)])
+                if at >= len(self.done) and len(self.done) < self.MOST:
+                    self.done = np.pad(self.done, (0, len(self.done)))
+                self.label[at] = at
+        return np.array([self.place[n] for n in nodes])
+
+    def sketches(self, at: np.ndarray) -> np.ndarray:
+        words = min(len(self.bits[k]) for k in at)
+        known = self.folded.get(words)
+        if known is None or len(known) <= at.max():
+            first = 0 if known is None else len(known)
+            more = [_folded(b, words) if len(b) >= words else np.zeros(words, np.uint64) for b in self.bits[first:]]
+            known = self.folded[words] = np.concatenate([np.zeros((0, words), np.uint64) if known is None else known, np.stack(more)])
+        return known[at]
+
+    def near(self, at: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """New near pairs among the nodes at these places, as positions in ``at``: a forest beyond what is joined."""
+        found = []
+        if (self.label[at] == self.label[at[0]]).all():
+            return found
+        sketch = self.sketches(at)
+        cached = at < len(self.done)
+        for a in range(0, len(at), 512):
+            row = slice(a, min(a + 512, len(at)))
+            open_ = np.arange(len(at))[None, :] > np.arange(len(at))[row, None]
+            inner = np.ix_(at[row][cached[row]], at[cached])
+            known = np.zeros(open_.shape, bool)
+            known[np.ix_(cached[row], cached)] = self.done[inner]
+            self.done[inner] = True
+            open_ &= ~known & (self.label[at][row, None] != self.label[at][None, :])
+            open_ &= 100 * np.minimum(size[row, None], size[None, :]) >= percent * np.maximum(size[row, None], size[None, :])
+            rows, columns = np.nonzero(open_)
+            for c in range(0, len(rows), 1 << 16):
+                i, j = rows[c : c + (1 << 16)] + a, columns[c : c + (1 << 16)]
+                distance = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)
+                near = distance * (100 + percent) <= (100 - percent) * (size[i] + size[j])
+                for x, y in zip(i[near].tolist(), j[near].tolist()):
+                    if self.label[at[x]] != self.label[at[y]]:
+                        found.append((x, y))
+                        own = self.label[: len(self.bits)]
+                        own[own == self.label[at[y]]] = self.label[at[x]]
+        return found
 
 
 def _near(percent: int):
     def run(batches):
-        for table in runs(batches, 1):
-            starts = run_starts(table, 1)
-            node, size, raw = table["node"].to_numpy(), table["size"].to_numpy(), table["bits"]
+        head, state = None, None
+        for table in runs(batches, 2):
+            starts = run_starts(table, 2)
+            heads, node, size, raw = table["head"].to_numpy(), table["node"].to_numpy(), table["size"].to_numpy(), table["bits"].combine_chunks()
             pairs = []
-            for x, y in zip(starts[:-1], starts[1:]):
-                own = [np.frombuffer(b.as_buffer(), np.uint64) for b in raw.slice(x, y - x)]
-                words = min(map(len, own))
-                sketch = np.stack([_folded(b, words) for b in own])
-                pairs.extend((node[x + i], node[x + j]) for i, j in near_pairs(size[x:y], sketch, percent))
+            for x, y in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if heads[x] != head:
+                    head, state = heads[x], Compared()
+                own = node[x:y].tolist()
+                at = state.places(own, (raw[k] for k in range(x, y)))
+                pairs.extend((own[i], own[j]) for i, j in state.near(at, size[x:y], percent))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
@@ -223,25 +277,32 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = materialize(sketched.drop("keys", "bits"), "sizes")
     # one row for each distinct set; copies meet here as counts do, and go no further
     nodes = materialize(sketched.filter("size > 0").groupBy("node", "size").agg(F.min(id_col).alias("_id"), F.first("bits").alias("bits")), "nodes")
-    first = sketched.join(nodes.select("node", "_id"), (sketched["node"] == nodes["node"]) & sketched[id_col].eqNullSafe(nodes["_id"]), "left_semi")
+    first = sketched.join(nodes.select("node", "_id").hint("merge"), (sketched["node"] == nodes["node"]) & sketched[id_col].eqNullSafe(nodes["_id"]), "left_semi")
     keyed = first.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    shared = materialize(keyed.mapInArrow(_shared, "key long, node long"), "shared")
+    shared = materialize(keyed.mapInArrow(lean(_shared), "key long, node long"), "shared")
     discard(sketched)
-    met = shared.join(nodes.select("node", "size", "bits"), "node").select("key", "size", "node", "bits")
-    near = met.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_near(percent), "a long, b long")
+    # many keys have the same nodes, and one of those keys says all; keys of one family come together under its first node
+    groups = shared.groupBy("key").agg(
+        F.min("node").alias("head"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n")
+    )
+    telling = groups.groupBy("x", "y", "n").agg(F.min_by(F.struct("head", "key"), "key").alias("k")).select("k.head", "k.key")
+    met = shared.join(telling.hint("merge"), "key").join(nodes.select("node", "size", "bits").hint("merge"), "node")
+    sorted_ = met.select("head", "key", "size", "node", "bits").repartition("head").sortWithinPartitions("head", "key", "size", "node")
+    near = sorted_.mapInArrow(lean(_near(percent)), "a long, b long")
     family = components(near)
     # the sets of the family members only
     members = materialize(family.join(nodes.drop("bits"), "node").select("node", "size", "_id", F.col("component").alias("family")), "members")
     totals = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     blocked = members.join(totals, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     texts = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    wanted = texts.join(blocked, texts["_doc"].eqNullSafe(blocked["_id"]))
+    # texts are joined alike at every size; a small side must not decide the plan
+    wanted = texts.join(blocked.hint("merge"), texts["_doc"].eqNullSafe(blocked["_id"]))
     sets = _sets(wanted, ["node", "family", "blocks", "own"], "_text", width, lower).filter("made = node").dropDuplicates(["node"])
     # block i meets every block; the pair's first block is the lesser
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles"
     )
-    linked = paired.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").mapInArrow(_linker(percent), "a long, b long")
+    linked = paired.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").mapInArrow(lean(_linker(percent)), "a long, b long")
     joined = components(linked)
     least = joined.join(nodes.select("node", "_id"), "node").groupBy("component").agg(F.min("_id").alias("least"))
     named = joined.join(least, "component").select("node", "least")
