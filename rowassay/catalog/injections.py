@@ -115,6 +115,21 @@ def q_inject_mixed_types(spark, sf):
     return corrupted
 
 
+_NAMED = "o_totalprice > 400000"
+
+
+@query(
+    "inject_rows",
+    f"WITH b AS ({SQL['orders']}) SELECT * REPLACE (CASE WHEN {_NAMED} THEN -(_row_id + 1) ELSE o_custkey END AS o_custkey) FROM b",
+)
+def q_inject_rows(spark, sf):
+    """A foreign key broken on rows named by another table: the dearest orders."""
+    orders = frame(spark, sf, "orders")
+    broken = injector("referential_integrity", column="o_custkey")
+    customers = frame(spark, sf, "customer").select("c_custkey")
+    return inject(orders, broken, 0.0, 1, "orders", rows=orders.filter(_NAMED).select(ROW_ID), valid_keys=customers)[0]
+
+
 _TEXT_SQL = " UNION ALL ".join(
     f"SELECT _row_id, '{column}' AS \"column\", {text} AS original_value FROM r WHERE r1 <= {sqltext.count_of(0.05)}"
     for column, text in (("o_custkey", "CAST(o_custkey AS VARCHAR)"), ("o_orderdate", "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')"))

@@ -97,17 +97,18 @@ def clean_star(
     """Primary keys made unique, then dangling foreign keys removed, in the given order.
 
     Steps do not cascade: a child is tested against its parent as it is at that step, before the
-    parent may lose rows to a later one.
+    parent may lose rows to a later one. Every step's result is written once: later steps, the audit
+    and the caller read that, so no join runs twice, and the audit counts whole files.
     """
     out, trail = dict(tables), []
     for table, key in primary:
         if table in out and key in out[table].columns:
-            after = dedup_first(out[table], [key], position)
+            after = materialize(dedup_first(out[table], [key], position), f"{table}-pk")
             trail.append((f"{table}_pk_unique", f"{table}.{key} is unique", f"first row per {key}", out[table], after))
             out[table] = after
     for child, key, parent, parent_key in foreign:
         if child in out and parent in out:
-            after = fk_semi(out[child], key, out[parent], parent_key)
+            after = materialize(fk_semi(out[child], key, out[parent], parent_key), f"{child}-fk")
             text = f"{child}.{key} exists in {parent}.{parent_key}"
             trail.append((f"{child}_fk_{parent}", text, f"{key} in {parent}.{parent_key}", out[child], after))
             out[child] = after

@@ -175,9 +175,13 @@ class Injection:
     small however many variants there are.
     """
 
-    def __init__(self, base: DataFrame, variants: list[Variant], dataset: str = "", selection: Selection | None = None):
+    def __init__(
+        self, base: DataFrame, variants: list[Variant], dataset: str = "", selection: Selection | None = None,
+        whole: DataFrame | None = None,
+    ):
+        """``whole`` is the table that ranges and fresh ids come from, if ``base`` is only a part of it."""
         require_row_id(base)
-        self.base, self.variants, self.dataset = base, variants, dataset
+        self.base, self.variants, self.dataset, self.whole = base, variants, dataset, base if whole is None else whole
         parts = [p for v in variants for p in v.parts]
         self.selection = selection or Selection(base, sorted({p.order_seed for p in parts}) or [0])
         self.n = self.selection.n
@@ -255,7 +259,7 @@ class Injection:
             aggregates = []
             for i, seen in enumerate(wanted.values()):
                 aggregates += [F.min(seen).alias(f"lo{i}"), F.max(seen).alias(f"hi{i}")]
-            row = self.with_places(self.base).agg(*aggregates).first()
+            row = self.with_places(self.whole).agg(*aggregates).first()
             at = {name: (row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(wanted)}
             for key in ready:
                 self._ranges[key] = at[names[key]]
@@ -430,7 +434,7 @@ class Injection:
         if self._first_new_id is None:
             if not any(v.appended for v in self.variants):
                 return 0
-            top = self.base.agg(F.max(ROW_ID)).first()[0]
+            top = self.whole.agg(F.max(ROW_ID)).first()[0]
             self._first_new_id = 0 if top is None else top + 1
         return self._first_new_id
 
@@ -489,11 +493,37 @@ class Injection:
         return total
 
 
-def inject(df: DataFrame, inj: Injector, rate: float, seed: int, dataset: str = "") -> tuple[DataFrame, DataFrame]:
-    """(corrupted table, labels) of one injector."""
+def inject(
+    df: DataFrame, inj: Injector, rate: float, seed: int, dataset: str = "",
+    rows: DataFrame | None = None, valid_keys: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(corrupted table, labels) of one injector.
+
+    ``rows`` names the rows to corrupt by their ids, instead of a share of ``rate``, which the labels
+    still report. ``valid_keys`` (one column) are keys that a broken foreign key must not be among.
+    """
     require_row_id(df)
-    selection = Selection(df, [seed])
-    return _read(Injection(df, [single(inj, rate, seed, selection.n)], dataset, selection))
+    if rows is None:
+        selection = Selection(df, [seed])
+        injection = Injection(df, [single(inj, rate, seed, selection.n)], dataset, selection)
+        result = _read(injection)
+    else:
+        ids = rows.select(F.col(ROW_ID).alias("_chosen")).distinct()
+        same = df[ROW_ID] == F.col("_chosen")
+        chosen = df.join(ids, same, "left_semi")
+        selection = Selection(chosen, [seed])
+        every = Part(inj, rate, seed, seed, 0, selection.n)
+        variant = Variant(inj.error_type, rate, seed, *(((), (every,)) if inj.column is None else ((every,), ())))
+        injection = Injection(chosen, [variant], dataset, selection, whole=df)
+        corrupted, labels = _read(injection)
+        rest = df.join(ids, same, "left_anti")
+        kept = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in corrupted.schema]
+        result = corrupted.unionByName(rest.select(*kept)), labels
+    if valid_keys is not None and inj.error_type == "referential_integrity":
+        met = injection.collisions(inj.column, valid_keys)
+        if met:
+            raise ValueError(f"{met} broken keys of {inj.column!r} exist")
+    return result
 
 
 def inject_mixed(

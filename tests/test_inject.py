@@ -163,3 +163,33 @@ def test_grid_size(synthetic):
     # 24 planned targets at two rates and seeds, and a mix per table and seed.
     tables = ("nyc_taxi", "tpch_customer", "tpch_orders", "tpch_lineitem")
     assert sum(len(plan_for(t)) for t in tables) * 4 + len(tables) * 2 == 104
+
+
+def test_explicit_rows_and_valid_keys(spark, synthetic):
+    from pyspark.sql import functions as F
+
+    from rowassay.operators.inject import inject, injector
+
+    named = spark.createDataFrame([(3,), (500,), (999,), (3,)], "_row_id bigint")
+    far, labels = inject(synthetic, injector("out_of_range", column="amount"), 0.1, 1, rows=named)
+    top = synthetic.agg(F.max("amount")).first()[0]
+    assert far.count() == synthetic.count() and {r["_row_id"] for r in far.filter(F.col("amount") > top).collect()} == {3, 500, 999}
+    assert {r["_row_id"] for r in labels.collect()} == {3, 500, 999}
+    more, _ = inject(synthetic, injector("duplicate_row"), 0.1, 1, rows=named)
+    assert more.count() == synthetic.count() + 3 and more.select("_row_id").distinct().count() == more.count()
+    broken = injector("referential_integrity", column="fk")
+    inject(synthetic, broken, 0.1, 1, rows=named, valid_keys=synthetic.select("fk"))
+    with pytest.raises(ValueError):
+        inject(synthetic, broken, 0.1, 1, rows=named, valid_keys=spark.createDataFrame([(-4,)], "fk bigint"))
+
+
+def test_types_of_a_mix_only_widen(spark, synthetic):
+    from pyspark.sql import functions as F
+
+    from rowassay.operators.inject import inject_mixed, injector
+
+    plan = [(injector("distribution_shift", column="code", scale=0.5), 0.2), (injector("referential_integrity", column="code"), 0.2)]
+    rows, labels = inject_mixed(synthetic, plan, 3)
+    assert rows.schema["code"].dataType.simpleString() == "double"
+    assert rows.filter(F.col("code") % 1 != 0).count() > 50
+    assert {r["original_value"] for r in labels.collect()} == {str(i) for i in range(1, 7)}
