@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowassay import ROW_ID
-from rowassay.catalog.registry import query
+from rowassay.catalog.registry import ORACLE, query
 from rowassay.catalog.views import LINEITEM, SQL, events_trip, numbered, raw, trip_columns
 from rowassay.functions.ids import add_row_ids
 from rowassay.functions.select import Selection, cap_rows, half_even, preview_rows, select_rows
@@ -14,7 +14,9 @@ from rowassay.operators.clean import (
 )
 from rowassay.operators.parse import answered_requests, open_requests, request_key
 from rowassay.plans.prepare import STAR_FOREIGN, STAR_PRIMARY, prepare_single, prepare_star
+from rowassay.session import fresh_path
 from rowassay.sources.scan import normalize_types, scan_table, scan_tables
+from rowassay.sources.sinks import write_audit, write_clean
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -101,6 +103,23 @@ def q_clean_audit(spark, sf):
     return clean_audit(trips, trip_checks(), "events").drop("description", "rule")
 
 
+@query("clean_written", ORACLE["clean_rows"])
+def q_clean_written(spark, sf):
+    """The cleaned table through its sink."""
+    path = fresh_path(spark, "clean")
+    write_clean(q_clean_rows(spark, sf), path)
+    return scan_table(spark, path)
+
+
+@query("audit_written", ORACLE["clean_audit"])
+def q_audit_written(spark, sf):
+    """The cleaning trail through its sink."""
+    path = fresh_path(spark, "audit")
+    audit = q_clean_audit(spark, sf)
+    write_audit(audit, path)
+    return spark.read.schema(audit.schema).json(path)
+
+
 @query(
     "duration_filter",
     f"WITH {_TRIP} SELECT event_id, epoch_us(\"end\") - epoch_us(\"start\") AS micros FROM b "

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rowassay import ROW_ID
 from rowassay.operators.bind import ERROR, KEY, ROW, SCHEMA, TABLE, BoundRule, bind_rules
 from rowassay.operators.rules import Rule
+from rowassay.session import materialize
 
 OUTCOME_SCHEMA = (
     "rule_index int, expectation_type string, kwargs string, success boolean, unexpected_count bigint, "
@@ -65,14 +66,18 @@ def by_key(bound: list[BoundRule]) -> dict[tuple[str, ...], list[BoundRule]]:
     return keys
 
 
+def count_keys(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """How many rows carry each value of a key."""
+    return df.groupBy(*key).agg(F.count("*").alias("_copies"))
+
+
 def repeated_keys(df: DataFrame, rule: BoundRule) -> DataFrame:
     """Key values carried by more than one row, with their row counts."""
     return df.filter(rule.counted).groupBy(*rule.key).agg(F.count("*").alias("_copies")).filter("_copies > 1")
 
 
-def _key_outcomes(df: DataFrame, rules: list[BoundRule]) -> DataFrame:
+def _key_outcomes(per_key: DataFrame, rules: list[BoundRule]) -> DataFrame:
     first = rules[0]
-    per_key = df.groupBy(*first.key).agg(F.count("*").alias("_copies"))
     counts = per_key.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("_n"),
         F.coalesce(F.sum(F.when(first.counted, F.col("_copies"))), F.lit(0)).alias("_counted"),
@@ -84,8 +89,9 @@ def _key_outcomes(df: DataFrame, rules: list[BoundRule]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def outcomes(df: DataFrame, bound: list[BoundRule]) -> DataFrame:
-    """One row per rule: its verdict and how many rows it flags."""
+def outcomes(df: DataFrame, bound: list[BoundRule], counted: dict[tuple, DataFrame] | None = None) -> DataFrame:
+    """One row per rule: its verdict and how many rows it flags. ``counted`` holds key counts there are already."""
+    counted = counted or {}
     aggregates, rows = [F.count("*").alias("_n")], []
     for b in bound:
         if b.kind == ROW:
@@ -102,7 +108,7 @@ def outcomes(df: DataFrame, bound: list[BoundRule]) -> DataFrame:
     parts = []
     if rows:
         parts.append(df.agg(*aggregates).select(F.inline(F.array(*rows))))
-    parts += [_key_outcomes(df, rules) for rules in by_key(bound).values()]
+    parts += [_key_outcomes(counted.get(key, count_keys(df, key)), rules) for key, rules in by_key(bound).items()]
     settled = [
         (b.index, b.rule.expectation_type, b.rule.kwargs_json, b.passes, None, None, False, b.error)
         for b in bound
@@ -113,13 +119,15 @@ def outcomes(df: DataFrame, bound: list[BoundRule]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _key_flags(df: DataFrame, rule: BoundRule) -> DataFrame:
+def _key_flags(df: DataFrame, rule: BoundRule, counted: dict[tuple, DataFrame] | None = None) -> DataFrame:
     """Ids of all rows whose key is repeated.
 
     Only the repeated keys meet the table again, in a semi join that AQE broadcasts when they are
     few and splits where one key is hot.
     """
-    repeated = repeated_keys(df, rule).select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(rule.key)])
+    per_key = (counted or {}).get(rule.key)
+    repeated = repeated_keys(df, rule) if per_key is None else per_key.filter(rule.counted & (F.col("_copies") > 1))
+    repeated = repeated.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(rule.key)])
     rows = df.filter(rule.counted).select(ROW_ID, *rule.key)
     equal = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(rule.key)]
     if len(rule.key) == 1:
@@ -127,7 +135,7 @@ def _key_flags(df: DataFrame, rule: BoundRule) -> DataFrame:
     return rows.join(repeated, functools.reduce(Column.__and__, equal), "left_semi").select(ROW_ID)
 
 
-def flags(df: DataFrame, bound: list[BoundRule]) -> DataFrame:
+def flags(df: DataFrame, bound: list[BoundRule], counted: dict[tuple, DataFrame] | None = None) -> DataFrame:
     """One row per (row id, rule) hit."""
     parts = []
     hits = [F.when(b.violated, F.lit(b.index)) for b in bound if b.kind == ROW]
@@ -136,7 +144,7 @@ def flags(df: DataFrame, bound: list[BoundRule]) -> DataFrame:
         exploded = df.select(ROW_ID, F.explode(F.array(*hits)).alias("rule_index"))
         parts.append(exploded.filter("rule_index is not null"))
     for rules in by_key(bound).values():
-        ids = _key_flags(df, rules[0])
+        ids = _key_flags(df, rules[0], counted)
         parts.append(ids.select(ROW_ID, F.explode(F.array(*[F.lit(r.index) for r in rules])).alias("rule_index")))
     if not parts:
         return df.sparkSession.createDataFrame([], f"{ROW_ID} bigint, rule_index int")
@@ -155,10 +163,11 @@ def flagged_rows(df: DataFrame, bound: list[BoundRule]) -> DataFrame:
 
 
 def validate_suite(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, flags) of a suite over a table that carries row ids."""
+    """(outcomes, flags) of a suite over a table that carries row ids. Keys are counted once for both."""
     require_row_id(df)
     bound = bind_rules(rules, df)
-    return outcomes(df, bound), flags(df, bound)
+    counted = {key: materialize(count_keys(df, key), "keys") for key in by_key(bound)}
+    return outcomes(df, bound, counted), flags(df, bound, counted)
 
 
 def suite_outcomes(outcome_table: DataFrame) -> DataFrame:

@@ -151,3 +151,38 @@ def test_long_facts(spark):
     rows = metrics.long_facts(wide, ["precision", "recall"]).collect()
     assert rows[0].asDict().keys() == set(metrics.FACT_COLUMNS) and {(r["metric"], r["value"], r["error_type"]) for r in rows} == {
         ("precision", 0.5, "overall"), ("recall", None, "overall")}
+
+
+def test_profiles_of_other_types(spark):
+    from rowassay.operators.bind import bind_rules
+    from rowassay.operators.profile import profile_length, profile_range, profile_rules, profile_value_set
+    from rowassay.operators.validate import outcomes
+
+    df = spark.range(60).selectExpr(
+        "id AS _row_id", "date_add(DATE '2024-02-27', CAST(id % 4 AS int)) AS day", "CAST(id % 3 AS decimal(10,2)) AS price",
+        "TIMESTAMP '2024-03-01 10:00:00' + make_interval(0, 0, 0, CAST(id % 5 AS int)) AS moment", "id % 2 = 0 AS even",
+    )
+    rules = profile_rules(df)
+    sets = {r.kwargs["column"]: r.kwargs["value_set"] for r in rules if "value_set" in r.kwargs}
+    assert sets["day"] == ["2024-02-27", "2024-02-28", "2024-02-29", "2024-03-01"] and sets["price"] == [0, 1, 2]
+    assert len(sets["moment"]) == 5 and sets["even"] == [False, True]
+    assert all(r["success"] for r in outcomes(df, bind_rules(rules, df)).collect())
+    only = df.select("_row_id", "even")
+    assert profile_range(only).count() == profile_length(only).count() == 0
+    assert profile_value_set(df.select("_row_id")).count() == 0
+
+
+def test_a_late_repeat_is_found(spark):
+    """No estimate and no first look decides: the only repeat and the 21st category come last."""
+    from rowassay.operators.profile import profile_rules
+
+    df = spark.range(0, 20_000, 1, 4).selectExpr("id AS _row_id", "if(id = 19999, 0, id) AS nearly", "if(id >= 19990, id, id % 20) AS kind", "id AS key")
+    kinds = {(r.expectation_type, r.kwargs["column"]) for r in profile_rules(df)}
+    assert ("expect_column_values_to_be_unique", "key") in kinds and ("expect_column_values_to_be_unique", "nearly") not in kinds
+    assert not any(t == "expect_column_values_to_be_in_set" for t, _ in kinds)
+
+
+def test_requests_do_not_depend_on_key_order(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": {"d": 2, "c": [3]}}',), ('{"b":{"c":[3],"d":2},"a":1}',), ("no json",)], "p string")
+    keyed = df.withColumn("k", request_key(F.lit("m"), F.lit("q"), F.col("p"), F.lit("")))
+    assert keyed.select("k").distinct().count() == 2

@@ -139,3 +139,27 @@ def test_hot_key_is_flagged_whole(spark):
     bound = bind_rules([rule("expect_column_values_to_be_unique", column="k")], df)
     assert flagged_rows(df, bound).count() == 10_000
     assert outcomes(df, bound).first()["unexpected_count"] == 10_000
+
+
+def test_time_literals_like_and_strftime(spark):
+    from rowassay.operators.bind import bind_rules
+    from rowassay.operators.rules import rule
+    from rowassay.operators.validate import outcomes
+
+    df = spark.createDataFrame([(0, "20240115", "C:\\temp"), (1, "2024-01-15", "x_y")], "_row_id bigint, day string, path string")
+    df = df.selectExpr("*", "TIMESTAMP_NTZ '2024-01-15 12:00:00' AS moment", "1.5D AS wide")
+    cases = [
+        (rule("expect_column_values_to_match_strftime_format", column="day", strftime_format="%Y%m%d"), 1),
+        (rule("expect_column_values_to_match_strftime_format", column="day", strftime_format="%Y-%m-%d"), 1),
+        (rule("expect_column_values_to_match_like_pattern", column="path", like_pattern="x\\_y"), 1),
+        (rule("expect_column_values_to_match_like_pattern", column="path", like_pattern="C:\\temp%"), None),
+        (rule("expect_column_values_to_match_like_pattern", column="path", like_pattern="C:\\\\temp%"), 1),
+        (rule("expect_column_values_to_be_between", column="moment", min_value="20240115T120000"), 0),
+        (rule("expect_column_values_to_be_between", column="moment", max_value="2024-W01-1"), 2),
+        (rule("expect_column_values_to_be_in_set", column="moment", value_set=["20240115T12", "soon"]), 0),
+        (rule("expect_column_values_to_match_regex", column="day", regex="(["), None),
+        (rule("expect_column_values_to_be_of_type", column="wide", type_="float"), None),
+    ]
+    found = {r["rule_index"]: r for r in outcomes(df, bind_rules([r for r, _ in cases], df)).collect()}
+    assert [found[i]["unexpected_count"] for i in range(len(cases))] == [n for _, n in cases]
+    assert found[9]["success"] and found[3]["exception"] and found[8]["exception"]
