@@ -14,7 +14,19 @@ from pyspark.sql import functions as F
 SLICE = 1 << 21
 
 
+#: Rows of an Arrow batch. Texts are long: Spark's own default would put tens of megabytes into each batch, once in the
+#: JVM and once in the Python worker of every running task.
+BATCH_ROWS = 2000
+
+
+def tuned(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ``BATCH_ROWS``; how rows are put into batches changes no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder, in a session tuned for long texts."""
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowassay.llm.common import map_texts, slices, text_array
+from rowassay.llm.common import lean, map_texts, slices, text_array
 
 BUCKETS = 256
 #: Offsets of a triplet's bytes. Wide gaps tell texts of one language apart: near bytes mostly say which language it is.
@@ -100,7 +100,7 @@ def in_turn(df: DataFrame, id_col: str, text_col: str, schema: str, work) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(flag), *shown.columns], names=["_b", "_g", "_k", "_id", "_t"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    dealt = keyed.mapInArrow(deal, f"_b int, _g boolean, _k long, _id {kind}, _t string")
+    dealt = keyed.mapInArrow(lean(deal), f"_b int, _g boolean, _k long, _id {kind}, _t string")
     dealt = dealt.repartition(max(parts, len(bounds)), "_b").sortWithinPartitions("_b", "_g", "_k", "_t")
     names = [id_col] + [part.split()[0] for part in schema.split(", ")]
 
@@ -117,16 +117,18 @@ def in_turn(df: DataFrame, id_col: str, text_col: str, schema: str, work) -> Dat
                     yield pa.RecordBatch.from_arrays([ids.slice(a + p, q - p), *work(texts[a + p : a + q + 1])], names=names)
             held = None if guest[-1] else (bucket[-1], ids.slice(len(texts) - 1), texts[-1])
 
-    return dealt.select("_b", "_g", "_k", "_id", "_t").mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+    return dealt.select("_b", "_g", "_k", "_id", "_t").mapInArrow(lean(run), f"`{id_col}` {kind}, {schema}")
 
 
 def _first_from(keyed: DataFrame, cuts: list[float]):
     """The first id at or after each cut."""
-    if not cuts:
-        return []
-    of = F.array(*[F.lit(c) for c in cuts])
-    place = F.size(F.filter(of, lambda c: c <= F.col("_k").cast("double")))
-    return [r for r in keyed.groupBy(place.alias("p")).agg(F.min("_k").alias("k")).select("k").collect()]
+
+    def place(batches):
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, k.astype(np.float64), "right").astype(np.int32)), pa.array(k)], names=["p", "k"])
+
+    return keyed.select("_k").mapInArrow(place, "p int, k long").groupBy("p").agg(F.min("k")).select("min(k)").collect() if cuts else []
 
 
 def _stretches(bucket: list, guest: list) -> list[tuple[int, int]]:

@@ -155,69 +155,71 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
+#: A group of more nodes than this is compared as part of all such groups under its head.
+SMALL_GROUP = 16
+
+
 class Compared:
-    """Nodes met under one head: their sketches, which pairs have been compared, and what near pairs have joined.
+    """Nodes met under one head: their sketches, and what near pairs have joined.
 
-    Keys under one head hold much the same nodes, so a pair is compared once, not once a key. Of more than ``MOST`` nodes
-    the later ones are compared anew for each key.
+    Keys under one head hold much the same nodes. The nodes of its larger groups are kept as one set of which every pair has
+    been compared, so a key costs what it brings anew, and a key that brings nothing costs a look.
     """
 
-    MOST = 8192
-
-    def __init__(self):
+    def __init__(self, percent: int):
+        self.percent = percent
         self.place: dict[int, int] = {}
+        self.nodes: list[int] = []
         self.bits: list[np.ndarray] = []
         self.folded: dict[int, np.ndarray] = {}
-        self.done = np.zeros((64, 64), bool)
-        self.label = np.zeros(64, np.int64)
+        self.size = self.label = np.zeros(0, np.int64)
+        self.met = np.zeros(0, bool)  # in the set of which every pair has been compared
 
-    def places(self, nodes: list[int], bits) -> np.ndarray:
-        for node, b in zip(nodes, bits):
+    def add(self, nodes: list[int], sizes: np.ndarray, bits) -> np.ndarray:
+        first, own = len(self.nodes), []
+        for node, size, b in zip(nodes, sizes.tolist(), bits):
             if node not in self.place:
-                at = self.place[node] = len(self.bits)
+                self.place[node] = len(self.nodes)
+                self.nodes.append(node)
                 self.bits.append(np.frombuffer(b.as_buffer(), np.uint64))
-                if at >= len(self.label):
-                    self.label = np.concatenate([self.label, np.zeros(at, np.int64)])
-                if at >= len(self.done) and len(self.done) < self.MOST:
-                    self.done = np.pad(self.done, (0, len(self.done)))
-                self.label[at] = at
-        return np.array([self.place[n] for n in nodes])
-
-    def sketches(self, at: np.ndarray) -> np.ndarray:
-        words = min(len(self.bits[k]) for k in at)
-        known = self.folded.get(words)
-        if known is None or len(known) <= at.max():
-            first = 0 if known is None else len(known)
-            more = [_folded(b, words) if len(b) >= words else np.zeros(words, np.uint64) for b in self.bits[first:]]
-            known = self.folded[words] = np.concatenate([np.zeros((0, words), np.uint64) if known is None else known, np.stack(more)])
-        return known[at]
-
-    def near(self, at: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int, int]]:
-        """New near pairs among the nodes at these places, as positions in ``at``: a forest beyond what is joined."""
+                own.append(size)
+        if own:
+            self.size = np.concatenate([self.size, np.array(own, np.int64)])
+            self.label = np.concatenate([self.label, np.arange(first, len(self.nodes))])
+            self.met = np.concatenate([self.met, np.zeros(len(own), bool)])
+        return np.fromiter((self.place[n] for n in nodes), np.int64, len(nodes))
+
+    def _sketches(self, words: int) -> np.ndarray:
+        """The bit sketches of all nodes, folded; a shorter one is left empty, and not used at that width."""
+        known = self.folded.get(words, np.zeros((0, words), np.uint64))
+        if len(known) < len(self.bits):
+            more = [_folded(b, words) if len(b) >= words else np.zeros(words, np.uint64) for b in self.bits[len(known) :]]
+            known = self.folded[words] = np.concatenate([known, np.stack(more)])
+        return known
+
+    def near(self, at: np.ndarray) -> list[tuple[int, int]]:
+        """New near pairs that the nodes at these places bring: a forest beyond what is joined."""
+        if len(at) <= SMALL_GROUP:
+            return self._compare(at, at) if (self.label[at] != self.label[at[0]]).any() else []
+        fresh = at[~self.met[at]]
+        if not len(fresh):
+            return []
+        self.met[fresh] = True
+        return self._compare(fresh, np.flatnonzero(self.met))
+
+    def _compare(self, some: np.ndarray, others: np.ndarray) -> list[tuple[int, int]]:
         found = []
-        if (self.label[at] == self.label[at[0]]).all():
-            return found
-        sketch = self.sketches(at)
-        cached = at < len(self.done)
-        for a in range(0, len(at), 512):
-            row = slice(a, min(a + 512, len(at)))
-            open_ = np.arange(len(at))[None, :] > np.arange(len(at))[row, None]
-            inner = np.ix_(at[row][cached[row]], at[cached])
-            known = np.zeros(open_.shape, bool)
-            known[np.ix_(cached[row], cached)] = self.done[inner]
-            self.done[inner] = True
-            open_ &= ~known & (self.label[at][row, None] != self.label[at][None, :])
-            open_ &= 100 * np.minimum(size[row, None], size[None, :]) >= percent * np.maximum(size[row, None], size[None, :])
-            rows, columns = np.nonzero(open_)
-            for c in range(0, len(rows), 1 << 16):
-                i, j = rows[c : c + (1 << 16)] + a, columns[c : c + (1 << 16)]
-                distance = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)
-                near = distance * (100 + percent) <= (100 - percent) * (size[i] + size[j])
-                for x, y in zip(i[near].tolist(), j[near].tolist()):
-                    if self.label[at[x]] != self.label[at[y]]:
-                        found.append((x, y))
-                        own = self.label[: len(self.bits)]
-                        own[own == self.label[at[y]]] = self.label[at[x]]
+        words = min(len(self.bits[k]) for k in others.tolist())
+        sketch, percent = self._sketches(words), self.percent
+        for i in some.tolist():
+            other = others[self.label[others] != self.label[i]]
+            low, high = np.minimum(self.size[other], self.size[i]), np.maximum(self.size[other], self.size[i])
+            other = other[100 * low >= percent * high]
+            distance = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1)
+            for j in other[distance * (100 + percent) <= (100 - percent) * (self.size[other] + self.size[i])].tolist():
+                if self.label[i] != self.label[j]:
+                    found.append((self.nodes[i], self.nodes[j]))
+                    self.label[self.label == self.label[j]] = self.label[i]
         return found
 
 
@@ -230,10 +232,8 @@ def _near(percent: int):
             pairs = []
             for x, y in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 if heads[x] != head:
-                    head, state = heads[x], Compared()
-                own = node[x:y].tolist()
-                at = state.places(own, (raw[k] for k in range(x, y)))
-                pairs.extend((own[i], own[j]) for i, j in state.near(at, size[x:y], percent))
+                    head, state = heads[x], Compared(percent)
+                pairs.extend(state.near(state.add(node[x:y].tolist(), size[x:y], (raw[k] for k in range(x, y)))))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
