@@ -232,6 +232,28 @@ def test_chains_bridge_gaps_and_split():
     assert sorted(x.tolist() for x in crossing) == [[0, 1], [2, 3]]
 
 
+def test_passages_between_unlike_words(spark):
+    """Exact passages that only a line of unlike words parts: the whole stretch is under the similarity, each is not."""
+    pick = random.Random(6)
+    word = lambda: "".join(pick.choice("abcdefghijklmnop") for _ in range(6))
+    shared = [[word() for _ in range(42)] for _ in range(10)]
+    rows = [(i, " ".join(w for part in shared for w in part + [word() for _ in range(16)])) for i in range(4)]
+    got: dict = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["source_id"] < r["doc_id"] and r["similarity"] >= 0.8 and r["n_words"] >= 40
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    expected = {58 * k + i for k in range(10) for i in range(42)}
+    assert all(expected <= got[d] for d in (1, 2, 3))
+
+
+def test_parts_of_an_alignment():
+    half = [(0, 0, 40), (52, 52, 40)]
+    assert passages.parts(np.array(half), 40, 0.8) == [(0, 92, 0, 92, 80 / 92)]
+    unlike = np.array([(0, 0, 40), (60, 60, 40), (103, 105, 30), (160, 160, 30)])
+    assert passages.parts(unlike, 40, 0.8) == [(0, 40, 0, 40, 1.0), (60, 133, 60, 135, 70 / 75)]
+    assert passages.parts(np.array([(0, 0, 30), (50, 50, 30)]), 40, 0.8) == []
+
+
 def test_cutting_words(spark, odd, empty):
     assert passages.cut_words(" a b\nc  d ", [(1, 3)]) == " a d "
     assert passages.cut_words("a b", [(0, 9)]) == "" and passages.cut_words("a b c d", [(0, 2), (1, 3)]) == "d"
