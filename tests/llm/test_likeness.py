@@ -248,12 +248,43 @@ def test_passages_between_unlike_words(spark):
 
 def test_parts_of_an_alignment():
     half = [(0, 0, 40), (52, 52, 40)]
-    assert passages.parts(np.array(half), 40, 0.8) == [(0, 92, 0, 92, 80 / 92)]
+    assert passages.parts(np.array(half), 40, 0.8) == [(0, 40, 0, 40, 1.0), (52, 92, 52, 92, 1.0)]
     unlike = np.array([(0, 0, 40), (60, 60, 40), (103, 105, 30), (160, 160, 30)])
     assert passages.parts(unlike, 40, 0.8) == [(0, 40, 0, 40, 1.0), (60, 133, 60, 135, 70 / 75)]
     assert passages.parts(np.array([(0, 0, 30), (50, 50, 30)]), 40, 0.8) == []
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b, 1):
+            row[j] = last[j - 1] + 1 if x == y else max(last[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("n, changed", [(40, 8), (40, 6), (50, 10)])
+def test_changed_passages_at_the_similarity(spark, n, changed):
+    """Random words changed, down to the similarity itself: at every one brute force finds a common passage."""
+    pick = random.Random(n + changed)
+    word = lambda: "".join(pick.choice("abcdefghijklmnop") for _ in range(6))
+    rows, cases = [], 60
+    for case in range(cases):
+        passage = [word() for _ in range(n)]
+        own = list(passage)
+        for at in pick.sample(range(n), changed):
+            own[at] = word()
+        assert longest_common(passage, own) >= 0.8 * n
+        rows += [(i, " ".join([word() for _ in range(70)] + p + [word() for _ in range(70)])) for i, p in ((case, passage), (1000 + case, own))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["n_words"] >= 40 and r["similarity"] >= 0.8 and r["doc_id"] == 1000 + r["source_id"] for r in found)
+    assert {r["source_id"] for r in found} == set(range(cases))
+    texts = {d: t.split() for d, t in rows}
+    for r in found:
+        a, b = texts[r["doc_id"]][r["start_word"] : r["end_word"]], texts[r["source_id"]][r["source_start"] : r["source_end"]]
+        assert longest_common(a, b) >= 0.8 * max(len(a), len(b)) - 1e-9
+
+
 def test_cutting_words(spark, odd, empty):
     assert passages.cut_words(" a b\nc  d ", [(1, 3)]) == " a d "
     assert passages.cut_words("a b", [(0, 9)]) == "" and passages.cut_words("a b c d", [(0, 2), (1, 3)]) == "d"
