@@ -285,6 +285,21 @@ def test_changed_passages_at_the_similarity(spark, n, changed):
         assert longest_common(a, b) >= 0.8 * max(len(a), len(b)) - 1e-9
 
 
+@pytest.mark.parametrize("pieces", [[(0, 20), (20, 40), (40, 60)], [(0, 30), (24, 54), (46, 60)]])
+def test_passages_whose_lines_are_frequent(spark, pieces):
+    """Every line of the passage is in an earlier document by itself, in the second case with the words around its ends."""
+    pick = random.Random(len(pieces[0]) + pieces[1][0])
+    word = lambda: "".join(pick.choice("abcdefghijklmnop") for _ in range(6))
+    rows, cases = [], 20
+    for case in range(cases):
+        passage = [word() for _ in range(60)]
+        parts = [passage[a:b] for a, b in pieces] + [passage, passage]
+        rows += [(10 * case + i, " ".join([word() for _ in range(50)] + p + [word() for _ in range(50)])) for i, p in enumerate(parts)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["source_id"]): (r["start_word"], r["end_word"], r["similarity"]) for r in found}
+    assert got == {(10 * case + 4, 10 * case + 3): (50, 110, 1.0) for case in range(cases)}
+
+
 def test_cutting_words(spark, odd, empty):
     assert passages.cut_words(" a b\nc  d ", [(1, 3)]) == " a d "
     assert passages.cut_words("a b", [(0, 9)]) == "" and passages.cut_words("a b c d", [(0, 2), (1, 3)]) == "d"
