@@ -96,7 +96,8 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
 
     ``is_query`` is a condition on ``id_col``. Candidates are all rows but the query's own; all are indexed, and a query has
     fewer than k results only if there are fewer rows. How many axes a query probes is fitted on ``SAMPLE`` queries against
-    all rows, so that ``TARGET`` of their true neighbours are found. Vectors that are null, zero, of an odd length or hold a
+    all rows, so that ``TARGET`` of their true neighbours are found; queries that come back short probe twice as many, in the
+    end all. Vectors that are null, zero, of an odd length or hold a
     null or non-finite component take no part; of equal vectors the k + 1 smallest ids suffice as candidates. Ties go to the
     smaller id. An empty table gives no rows; other columns are not read.
     """
@@ -120,8 +121,9 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
                 x = _matrix(batch.column(1)) if len(batch) else np.zeros((0, stats["dim"]))
                 for a in range(0, len(x), 512):
                     near = rotations.axes(x[a : a + 512].astype(np.float32), query)
-                    axis = np.argpartition(-near, each - 1, axis=2)[:, :, :each] if each < near.shape[2] else np.broadcast_to(np.arange(near.shape[2]), near.shape)
-                    bucket = (axis + np.arange(rotations.tables)[:, None, None] * near.shape[2]).transpose(1, 0, 2).reshape(near.shape[1], -1)
+                    # all axes of one table hold every row
+                    axis = np.argpartition(-near, each - 1, axis=2)[:, :, :each] if each < near.shape[2] else np.broadcast_to(np.arange(near.shape[2]), near[:1].shape)
+                    bucket = (axis + np.arange(len(axis))[:, None, None] * near.shape[2]).transpose(1, 0, 2).reshape(near.shape[1], -1)
                     part = batch.slice(a, 512)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bucket.size + 1, bucket.shape[1], dtype=np.int32)), pa.array(bucket.astype(np.int32).ravel()))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "vector", "buckets"])
@@ -132,8 +134,6 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
     # the bucket sizes are a small table: tables times axes
     blocks = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     salted = placed.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    asked = queries.transform(spread(True, probes)).join(blocks, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
     def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
         if not len(asked) or not len(held):
             q, r, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -143,15 +143,29 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
         return pa.table({"query_id": q, id_col: r, "score": s})
 
     keys = ["bucket", "block"]
-    found = asked.select(*keys, "id", "vector").groupBy(*keys).cogroup(salted.select(*keys, "id", "vector").groupBy(*keys)).applyInArrow(compare, f"query_id long, `{id_col}` long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    ranked = found.dropDuplicates(["query_id", id_col]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", id_col, "score")
+
+    def probe(queries: DataFrame, each: int) -> DataFrame:
+        asked = queries.transform(spread(True, each)).join(blocks, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        found = asked.select(*keys, "id", "vector").groupBy(*keys).cogroup(salted.select(*keys, "id", "vector").groupBy(*keys)).applyInArrow(compare, f"query_id long, `{id_col}` long, score double")
+        ranked = found.dropDuplicates(["query_id", id_col]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", id_col, "score")
+
+    found = materialize(probe(queries, probes), "found")
+    full = min(k, rows.select("id").distinct().limit(k + 1).count() - 1)
+    while probes < 2 * rotations.size:
+        counts = found.groupBy("query_id").count()
+        short = materialize(queries.join(counts, F.col("id") == F.col("query_id"), "left").filter(F.coalesce("count", F.lit(0)) < full).select("id", "vector"), "short")
+        if short.isEmpty():
+            break
+        probes = min(2 * probes, 2 * rotations.size)
+        found = materialize(found.join(short, F.col("query_id") == F.col("id"), "left_anti").union(probe(short, probes)), "found")
+    return found
 
 
 def _fit_probes(rows: DataFrame, queries: DataFrame, rotations: Rotations, k: int) -> int:
-    """The fewest axes of each table that find ``TARGET`` of the true neighbours of a bounded sample of queries."""
-    sample = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    """The fewest axes of each table that find ``TARGET`` of the true neighbours of a bounded sample of distinct queries."""
+    sample = queries.groupBy("vector").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     if sample.empty:
         return 1
     q_ids, q = sample["id"].to_numpy(), np.stack(sample["vector"].to_numpy())

@@ -328,6 +328,25 @@ def test_neighbours(spark):
     assert hit >= 0.9 * total
 
 
+def test_isolated_vectors_get_all_neighbours(spark):
+    """Few probes suffice in dense clusters; vectors far from them still get k rows, few rows give all there are."""
+    from pyspark.sql import functions as F
+
+    pick = np.random.default_rng(3)
+    centres = pick.normal(size=(8, 32))
+    dense = np.repeat(centres, 100, axis=0) + 0.01 * pick.normal(size=(800, 32))
+    x = np.concatenate([dense, pick.normal(size=(12, 32))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = lambda c: (c % 10 == 0) | (c >= 800)
+    found = neighbours.search(frame, asked(F.col("vec_id")), k=20).toPandas()
+    ids = [i for i in range(len(x)) if i % 10 == 0 or i >= 800]
+    assert found.groupby("query_id").size().to_dict() == dict.fromkeys(ids, 20)
+    assert not found.duplicated(["query_id", "vec_id"]).any() and (found["query_id"] != found["vec_id"]).all()
+    few = neighbours.search(frame.filter("vec_id >= 800"), F.col("vec_id") >= 800, k=20).toPandas()
+    assert few.groupby("query_id").size().to_dict() == dict.fromkeys(range(800, 812), 11)
+
+
 def test_odd_vectors(spark):
     from pyspark.sql import functions as F
 
