@@ -13,8 +13,8 @@ from rowassay.llm.common import lean, map_texts, slices, text_array
 
 BUCKETS = 256
 #: Offsets of a triplet's bytes. Wide gaps tell texts of one language apart: near bytes mostly say which language it is.
-TRIPLETS = ((0, 4, 8), (0, 5, 11), (0, 3, 7))
-SPAN = 12
+#: Adjacent bytes are there for the shortest texts: every text of three bytes has a triplet.
+TRIPLETS = ((0, 4, 8), (0, 5, 11), (0, 3, 7), (0, 1, 2))
 #: Most that lengths add to a difference; a step of length is a tenth.
 LENGTH_BOUND = BUCKETS // 8
 MOST = 3 * BUCKETS + LENGTH_BOUND
@@ -26,9 +26,9 @@ def digests(raw: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     doc = np.repeat(np.arange(len(raw)), sizes)
     counts = np.zeros(len(raw) * BUCKETS, np.int64)
-    at = np.flatnonzero(doc[: 1 - SPAN] == doc[SPAN - 1 :]) if len(data) >= SPAN else np.zeros(0, np.int64)
-    own = doc[at] * BUCKETS
     for kind, (i, j, k) in enumerate(TRIPLETS):
+        at = np.flatnonzero(doc[:-k] == doc[k:])
+        own = doc[at] * BUCKETS
         h = data[at + i] * np.uint32(0x9E3779B1) + data[at + j] * np.uint32(0x85EBCA77) + data[at + k] * np.uint32(0xC2B2AE3D) + np.uint32(kind * 0x27D4EB2F)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)

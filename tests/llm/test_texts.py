@@ -71,6 +71,14 @@ def test_digest_text_round_trip():
     assert 0 <= fingerprints.likeness(rows[:1], rows[2:])[0] < 1
 
 
+def test_short_texts_have_digests_of_their_content():
+    texts = [b"abc", b"abd", b"one word", b"two word", b"hello world", b"jello world"]
+    rows = fingerprints.digests(texts)
+    assert len({r.tobytes() for r in rows}) == len(texts)
+    end = fingerprints.digests([b"some bytes of a text abcdefgh", b"some bytes of a text abcdefgx"])
+    assert (end[0] != end[1]).any()
+
+
 def test_odd_fingerprints(odd, empty):
     texts = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in odd.collect())
     rows = fingerprints.edit_likeness(odd).collect()
