@@ -62,6 +62,7 @@ _single("inject_format", "events_trip", 0.05, 3, injector("type_or_format_error"
 _single("inject_format_typed", "orders", 0.01, 1, injector("type_or_format_error", column="o_custkey"))
 _single("inject_category", "orders", 0.01, 1, injector("invalid_category", column="o_orderstatus", invalid_value="Z"))
 _single("inject_category_number", "customer", 0.05, 1, injector("invalid_category", column="c_nationkey", invalid_value=99))
+_single("inject_category_default", "customer", 0.05, 3, injector("invalid_category", column="c_nationkey"))
 _single("inject_duplicate", "orders", 0.05, 2, injector("duplicate_row"))
 _single("inject_fk", "lineitem_rcv", 0.01, 1, injector("referential_integrity", column="l_orderkey"))
 _single("inject_temporal", "lineitem_rcv", 0.05, 1, injector(
@@ -115,6 +116,22 @@ def q_inject_mixed_types(spark, sf):
     return corrupted
 
 
+# A mix in which the sentinel is the default, on an integer column and on a text one.
+_MIX_DEFAULT = [
+    (injector("invalid_category", column="o_custkey"), 0.04),
+    (injector("invalid_category", column="o_orderpriority"), 0.03),
+    (injector("out_of_range", column="o_custkey"), 0.02),
+    (injector("duplicate_row"), 0.02),
+]
+_DEFAULT_ITEMS, _DEFAULT_SELECT = sqltext.rows("v", sqltext.mixed_slices(_MIX_DEFAULT, 6), COLUMNS["orders"])
+
+
+@query("inject_mixed_default", f"WITH {', '.join([sqltext.ranked(SQL['orders'], [6, 1006]), *_DEFAULT_ITEMS])} {_DEFAULT_SELECT}")
+def q_inject_mixed_default(spark, sf):
+    corrupted, _ = inject_mixed(frame(spark, sf, "orders").select(ROW_ID, *COLUMNS["orders"]), _MIX_DEFAULT, 6, "orders")
+    return corrupted
+
+
 _NAMED = "o_totalprice > 400000"
 
 

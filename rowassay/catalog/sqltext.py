@@ -51,6 +51,15 @@ def ranked(view: str, seeds: list[int]) -> str:
     return f"b AS ({view}), r AS MATERIALIZED (SELECT *, {ranks} FROM b)"
 
 
+def _given(inj: Injector, name: str, default):
+    """A setting with the default stated here, not the engine's."""
+    return dict(inj.options).get(name, default)
+
+
+#: Text columns that a sentinel is put into.
+TEXT = {"o_orderpriority", "o_orderstatus"}
+
+
 def _q(column: str) -> str:
     return f'"{column}"'
 
@@ -66,19 +75,19 @@ def _value(s: Slice, frame: str) -> str:
         return "NULL"
     if kind == "out_of_range":
         span = f"(SELECT CASE WHEN max({c}) = min({c}) THEN 1.0 ELSE max({c}) - min({c}) END FROM {frame})"
-        if inj.get("mode", "high") == "low":
+        if _given(inj, "mode", "high") == "low":
             return f"(SELECT min({c}) FROM {frame}) - 100 * {span}"
         return f"(SELECT max({c}) FROM {frame}) + 100 * {span}"
     if kind == "type_or_format_error":
         return f"{TOKENS}[('0x' || substr(md5('{s.label_seed + 1}:' || _row_id), 1, 8))::BIGINT % 4 + 1]"
     if kind == "invalid_category":
-        value = inj.get("invalid_value", 999)
-        return f"'{value}'" if isinstance(value, str) else str(value)
+        value = _given(inj, "invalid_value", 999)
+        return f"'{value}'" if isinstance(value, str) or inj.column in TEXT else str(value)
     if kind == "referential_integrity":
         return "-(_row_id + 1)"
     if kind == "distribution_shift":
-        return f"{c} * CAST({inj.get('scale', 3.0)} AS DOUBLE) + CAST({inj.get('shift', 0.0)} AS DOUBLE)"
-    if inj.get("kind", "temporal") == "temporal":
+        return f"{c} * CAST({_given(inj, 'scale', 3.0)} AS DOUBLE) + CAST({_given(inj, 'shift', 0.0)} AS DOUBLE)"
+    if _given(inj, "kind", "temporal") == "temporal":
         return f"{_q(inj.get('start_col'))} - INTERVAL 1 HOUR"
     parts = [f"coalesce({_q(p)}, 0)" for p in inj.get("component_cols")]
     return f"{' + '.join(parts)} + CAST(100 AS DOUBLE)"

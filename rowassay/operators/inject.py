@@ -29,7 +29,14 @@ MALFORMED = ("not_a_value", "2024-13-45", "??", "1e999x")
 CATEGORY_SENTINEL = 999
 RANGE_SPANS = 100.0
 SUM_OFFSET = 100.0
-SHIFT_SCALE = 3.0
+#: What a setting is when it is not given.
+DEFAULTS: dict[str, dict[str, object]] = {
+    "out_of_range": {"mode": "high"},
+    "type_or_format_error": {"bad_values": MALFORMED},
+    "invalid_category": {"invalid_value": CATEGORY_SENTINEL},
+    "cross_column_logic": {"kind": "temporal"},
+    "distribution_shift": {"scale": 3.0, "shift": 0.0},
+}
 MIXED = "mixed"
 APPEND_SEED_STEP = 1000
 
@@ -49,8 +56,10 @@ class Injector:
     error_type: str
     options: tuple[tuple[str, object], ...] = ()
 
-    def get(self, name: str, default=None):
-        return dict(self.options).get(name, default)
+    def get(self, name: str):
+        """A setting, or its default; None and an empty list count as not given."""
+        given = dict(self.options).get(name)
+        return DEFAULTS.get(self.error_type, {}).get(name) if given is None or given == () else given
 
     @property
     def column(self) -> str | None:
@@ -58,7 +67,7 @@ class Injector:
         if self.error_type == "duplicate_row":
             return None
         if self.error_type == "cross_column_logic":
-            return self.get("end_col") if self.get("kind", "temporal") == "temporal" else self.get("total_col")
+            return self.get("end_col") if self.get("kind") == "temporal" else self.get("total_col")
         return self.get("column")
 
 
@@ -67,13 +76,13 @@ def injector(error_type: str, **options) -> Injector:
     if error_type not in ERROR_TYPES:
         raise ValueError(f"no injector named {error_type!r}")
     if error_type == "cross_column_logic":
-        kind = options.get("kind", "temporal")
+        kind = options.get("kind") or DEFAULTS[error_type]["kind"]
         needed = {"temporal": ("start_col", "end_col"), "sum": ("total_col", "component_cols")}.get(kind)
         if needed is None:
             raise ValueError(f"unknown kind {kind!r}")
         if not all(options.get(n) for n in needed):
             raise ValueError(f"kind {kind!r} needs {needed}")
-    elif error_type == "out_of_range" and options.get("mode", "high") not in ("high", "low"):
+    elif error_type == "out_of_range" and (options.get("mode") or "high") not in ("high", "low"):
         raise ValueError("mode must be 'high' or 'low'")
     elif error_type != "duplicate_row" and not options.get("column"):
         raise ValueError(f"{error_type} needs a column")
@@ -289,19 +298,19 @@ class Injection:
             if low is None:
                 return F.lit(None).cast("double")
             span = (high - low) or 1.0
-            far = low - RANGE_SPANS * span if inj.get("mode", "high") == "low" else high + RANGE_SPANS * span
+            far = low - RANGE_SPANS * span if inj.get("mode") == "low" else high + RANGE_SPANS * span
             return F.lit(float(far))
         if kind == "type_or_format_error":
-            tokens = inj.get("bad_values") or MALFORMED
+            tokens = inj.get("bad_values")
             draw = F.conv(F.substring(row_hash(part.label_seed + 1), 1, 8), 16, 10).cast("bigint")
             return F.element_at(F.array(*[F.lit(t) for t in tokens]), (draw % len(tokens) + 1).cast("int"))
         if kind == "invalid_category":
-            return F.lit(inj.get("invalid_value", CATEGORY_SENTINEL)).cast(self.type_after(inj))
+            return F.lit(inj.get("invalid_value")).cast(self.type_after(inj))
         if kind == "referential_integrity":
             return (-(F.col(ROW_ID) + 1)).cast(self.type_after(inj))
         if kind == "distribution_shift":
-            return c.cast("double") * F.lit(float(inj.get("scale", SHIFT_SCALE))) + F.lit(float(inj.get("shift", 0.0)))
-        if inj.get("kind", "temporal") == "temporal":
+            return c.cast("double") * F.lit(float(inj.get("scale"))) + F.lit(float(inj.get("shift")))
+        if inj.get("kind") == "temporal":
             return F.col(f"`{inj.get('start_col')}`") - F.expr("INTERVAL 1 HOUR")
         parts = [F.coalesce(F.col(f"`{p}`").cast("double"), F.lit(0.0)) for p in inj.get("component_cols")]
         return functools.reduce(Column.__add__, parts) + F.lit(SUM_OFFSET)
@@ -314,7 +323,7 @@ class Injection:
             return T.DoubleType()
         if kind == "type_or_format_error":
             return T.StringType()
-        if kind == "invalid_category" and isinstance(inj.get("invalid_value", CATEGORY_SENTINEL), str):
+        if kind == "invalid_category" and isinstance(inj.get("invalid_value"), str):
             return T.StringType()
         if kind == "invalid_category" and isinstance(before, T.StringType):
             return T.StringType()
@@ -322,7 +331,7 @@ class Injection:
             return _wider(before, _type_of_number(inj.get("invalid_value")))
         if kind == "referential_integrity" and isinstance(before, (T.IntegerType, T.ShortType, T.ByteType)):
             return T.LongType()
-        if kind == "cross_column_logic" and inj.get("kind", "temporal") == "sum":
+        if kind == "cross_column_logic" and inj.get("kind") == "sum":
             return T.DoubleType()
         return before
 
