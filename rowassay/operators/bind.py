@@ -7,6 +7,8 @@ every rule at once.
 from __future__ import annotations
 
 import functools
+import hashlib
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -18,7 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowassay.operators.rules import Rule
+from rowassay.operators.patterns import UnusablePattern, java_pattern
+from rowassay.operators.rules import Rule, canonical
+from rowassay.operators.sets import LARGE, Lookup
 
 ROW, KEY, TABLE, SCHEMA, ERROR = "row", "key", "table", "schema", "error"
 
@@ -70,6 +74,7 @@ class BoundRule:
     error: str | None = None  # ERROR
     mostly: float = 1.0
     columns: tuple[str, ...] = field(default=())  # columns the verdict depends on
+    lookups: tuple[Lookup, ...] = ()  # sets that ``with_sets`` must have joined
 
 
 def _family(t: T.DataType) -> str:
@@ -140,10 +145,12 @@ def datetime_pattern(strftime: str) -> str:
 
 
 class Binder:
-    """Binds rules against the columns of one DataFrame."""
+    """Binds rules against the columns of one DataFrame. ``sets`` are tables that a rule may name as its value set."""
 
-    def __init__(self, schema: T.StructType):
+    def __init__(self, schema: T.StructType, sets: dict[str, DataFrame] | None = None):
         self._types = {f.name: f.dataType for f in schema}
+        self._sets = sets or {}
+        self._lookups: dict[str, Lookup] = {}
 
     def bind(self, index: int, rule: Rule) -> BoundRule:
         try:
@@ -198,19 +205,40 @@ class Binder:
             if bound is None:
                 raise BindError(f"{key} {kwargs[key]!r} cannot be compared with {t.simpleString()}")
             tests.append((strict_op if kwargs.get(strict) else closed_op, bound))
+        undefined = any(isinstance(v := kwargs.get(k), float) and math.isnan(v) for k in ("min_value", "max_value"))
 
         def holds(x: Column) -> Column:
+            if undefined:  # nothing compares with NaN, as in Python; for Spark it is the largest number
+                return F.when(x.isNotNull(), F.lit(False))
             return functools.reduce(Column.__and__, [op(x, bound) for op, bound in tests])
 
         return holds
 
-    def members(self, kwargs: dict) -> tuple[Column, Column]:
-        """(is in the set, column); members of another type family match nothing."""
-        if not isinstance(kwargs["value_set"], list):
+    def members(self, kwargs: dict) -> tuple[Column, Column, tuple[Lookup, ...]]:
+        """(is in the set, column, sets to join); members of another type family match nothing.
+
+        A set is a list, or ``{"table": name}`` for the first column of a table given to ``bind_rules``.
+        """
+        values, column = kwargs["value_set"], kwargs["column"]
+        t, c = self.type_of(column), self.column(column)
+        if isinstance(values, dict) and list(values) == ["table"]:
+            if values["table"] not in self._sets:
+                raise BindError(f"no set named {values['table']!r}")
+            table = self._sets[values["table"]]
+            if _family(table.schema[0].dataType) != _family(t):
+                return F.lit(False), c, ()
+            return self._lookup(values, column, table)
+        if not isinstance(values, list):
             raise BindError("value_set must be a list")
-        t, c = self.type_of(kwargs["column"]), self.column(kwargs["column"])
-        values = [m for v in kwargs["value_set"] if (m := _literal(v, t)) is not None]
-        return (c.isin(*values) if values else F.lit(False)), c
+        if len(values) > LARGE:
+            return self._lookup(values, column, values)
+        literals = [m for v in values if (m := _literal(v, t)) is not None]
+        return (c.isin(*literals) if literals else F.lit(False)), c, ()
+
+    def _lookup(self, values, column: str, members) -> tuple[Column, Column, tuple[Lookup, ...]]:
+        name = "_in_" + hashlib.sha256(canonical({"column": column, "set": values}).encode()).hexdigest()[:20]
+        lookup = self._lookups.setdefault(name, Lookup(name, column, self.type_of(column), members))
+        return lookup.inside, self.column(column), (lookup,)
 
 
 def _row(violated: Column, columns, counted: Column) -> dict:
@@ -246,22 +274,22 @@ def _extreme(how: str):
 
 
 def _in_set(b: Binder, kw: dict) -> dict:
-    inside, c = b.members(kw)
-    return _row(c.isNotNull() & ~inside, [kw["column"]], c.isNotNull())
+    inside, c, lookups = b.members(kw)
+    return {**_row(c.isNotNull() & ~inside, [kw["column"]], c.isNotNull()), "lookups": lookups}
 
 
 def _not_in_set(b: Binder, kw: dict) -> dict:
-    inside, c = b.members(kw)
-    return _row(inside, [kw["column"]], c.isNotNull())
+    inside, c, lookups = b.members(kw)
+    return {**_row(inside, [kw["column"]], c.isNotNull()), "lookups": lookups}
 
 
 def _distinct_in_set(b: Binder, kw: dict) -> dict:
-    inside, c = b.members(kw)
+    inside, c, lookups = b.members(kw)
     # The distinct values lie inside the set exactly when no value lies outside it. NULLs do not
     # count, and a column of nothing but NULLs fails: ``bad`` then stays NULL.
     outside = F.when(c.isNotNull(), F.when(inside, 0).otherwise(1))
     return {
-        "kind": TABLE, "columns": (kw["column"],),
+        "kind": TABLE, "columns": (kw["column"],), "lookups": lookups,
         "state": TableState("bad", outside, (kw["column"],), lambda x: x == 0),
     }
 
@@ -292,10 +320,14 @@ def _in_type_list(b: Binder, kw: dict) -> dict:
 
 def _regex(b: Binder, kw: dict) -> dict:
     c = b.text(kw["column"])
-    problem = _regex_problem(kw["regex"])
+    try:
+        pattern = java_pattern(kw["regex"])
+    except UnusablePattern as problem:
+        raise BindError(str(problem)) from problem
+    problem = _regex_problem(pattern)
     if problem:
         raise BindError(problem)
-    return _row(~c.rlike(kw["regex"]), [kw["column"]], c.isNotNull())
+    return _row(~c.rlike(pattern), [kw["column"]], c.isNotNull())
 
 
 def _like(b: Binder, kw: dict) -> dict:
@@ -398,8 +430,9 @@ _BINDERS: dict[str, Callable[[Binder, dict], dict]] = {
 }
 
 
-def bind_rules(rules: list[Rule], df: DataFrame) -> list[BoundRule]:
-    binder = Binder(df.schema)
+def bind_rules(rules: list[Rule], df: DataFrame, sets: dict[str, DataFrame] | None = None) -> list[BoundRule]:
+    """Rules bound to the columns of ``df``; ``sets`` names tables that value sets may refer to."""
+    binder = Binder(df.schema, sets)
     return [binder.bind(i, r) for i, r in enumerate(rules)]
 
 

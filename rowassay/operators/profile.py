@@ -1,8 +1,7 @@
-"""Derive a suite of rules from a clean table.
+"""Derive a suite of rules from a clean table, in two passes however many columns it has.
 
-One wide aggregate describes every column. The first few thousand rows then prove what most columns
-are not: a repeated value there rules out a key, too many values a category. Whatever they do not
-settle is counted exactly over the whole table.
+The first is one wide aggregate with a sketch of the number of different values of each column. The sketches rule out most
+columns as keys or categories; those that remain are stacked as (column, value) and counted exactly in the second.
 """
 
 from __future__ import annotations
@@ -20,8 +19,6 @@ from rowassay.operators.rules import Rule, rule
 MAX_CATEGORIES = 20
 NOTE = "holds on the clean table it was profiled from"
 
-_FIRST_ROWS = 4096  # enough to dismiss most columns; no verdict but a proof comes from them
-
 
 def _visible(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema if f.name != ROW_ID]
@@ -87,32 +84,62 @@ def profile_length(df: DataFrame) -> DataFrame:
     return _rows(df, aggs, out, "column string, min_length int, max_length int").filter("min_length is not null")
 
 
-def _per_value(df: DataFrame, name: str) -> DataFrame:
-    """Row count of every value of one column: typed keys, combined before the shuffle."""
-    return df.select(F.col(f"`{name}`").alias("_v")).groupBy("_v").agg(F.count("*").alias("_copies"))
+# A column's values are counted in one of three slots, whatever their types: equal values have equal slots, others differ.
+_SLOTS = ("_text", "_whole", "_real")
+
+
+def _slots(f: T.StructField) -> list[Column]:
+    """The value of a column in the slot of its type, nulls in the others."""
+    c, t = F.col(f"`{f.name}`"), f.dataType
+    text, whole, real = (F.lit(None).cast(kind) for kind in ("string", "bigint", "double"))
+    if _fractional(t):
+        real = c.cast("double")
+    elif isinstance(t, (T.IntegralType, T.BooleanType)):
+        whole = c.cast("bigint")
+    elif isinstance(t, T.TimestampType):  # its text may say two hours alike when clocks go back
+        whole = F.unix_micros(c)
+    else:
+        text = c.cast("string")
+    return [v.alias(n) for v, n in zip((text, whole, real), _SLOTS)]
+
+
+def _per_value(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """Rows of every (column, value), all columns stacked: one scan and one shuffle, combined before it."""
+    cells = F.array(*[F.struct(F.lit(i).alias("_column"), *_slots(f)) for i, f in enumerate(fields)])
+    return df.select(F.inline(cells)).groupBy("_column", *_SLOTS).agg(F.count("*").alias("_copies"))
+
+
+def _chosen(df: DataFrame, columns: list[str] | None) -> list[T.StructField]:
+    return [f for f in _visible(df) if (_comparable(f.dataType) if columns is None else f.name in columns)]
+
+
+_HAS_VALUE = functools.reduce(lambda a, b: f"{a} OR {b}", (f"{n} IS NOT NULL" for n in _SLOTS))
+
+
+def _per_column(df: DataFrame, columns: list[str] | None, name: str, kind: str, found: str, empty: str) -> DataFrame:
+    """One aggregate over the values of each column; ``empty`` is its value without rows."""
+    fields = _chosen(df, columns)
+    if not fields:
+        return df.sparkSession.createDataFrame([], f"column string, {name} {kind}")
+    names = df.sparkSession.createDataFrame([(i, f.name) for i, f in enumerate(fields)], "_column int, column string")
+    counted = _per_value(df, fields).groupBy("_column").agg(F.expr(found).alias(name))
+    return names.join(counted, "_column", "left").select("column", F.expr(f"coalesce({name}, {empty})").alias(name))
 
 
 def profile_unique(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per column: is every value different? A single missing value is a value of its own."""
-    names = columns or [f.name for f in _visible(df) if _comparable(f.dataType)]
-    parts = [
-        _per_value(df, n).agg((F.coalesce(F.max("_copies"), F.lit(1)) == 1).alias("is_unique"))
-        .select(F.lit(n).alias("column"), "is_unique")
-        for n in names
-    ]
-    empty = df.sparkSession.createDataFrame([], "column string, is_unique boolean")
-    return functools.reduce(DataFrame.unionByName, parts) if parts else empty
+    return _per_column(df, columns, "is_unique", "boolean", "max(_copies) = 1", "true")
 
 
 def profile_ndv(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per column: exact number of different values, missing ones left out."""
-    names = columns or [f.name for f in _visible(df) if _comparable(f.dataType)]
-    parts = [
-        _per_value(df, n).agg(F.count("_v").alias("n_distinct")).select(F.lit(n).alias("column"), "n_distinct")
-        for n in names
-    ]
-    empty = df.sparkSession.createDataFrame([], "column string, n_distinct bigint")
-    return functools.reduce(DataFrame.unionByName, parts) if parts else empty
+    return _per_column(df, columns, "n_distinct", "bigint", f"count_if({_HAS_VALUE})", "0L")
+
+
+# Sketches of the number of different values say which columns are worth an exact count, with room for their error: a key's
+# estimate would have to be off by eight times its standard error to be passed over, and up to some hundred values the
+# estimate of so few is never larger than _MAY_BE_SET times their number.
+_SKETCH_ERROR, _MAY_BE_KEY, _MAY_BE_SET = 0.02, 0.84, 2
 
 
 def _describe(df: DataFrame) -> dict:
@@ -121,6 +148,8 @@ def _describe(df: DataFrame) -> dict:
     for i, f in enumerate(_visible(df)):
         c = F.col(f"`{f.name}`")
         aggs.append(F.count(c).alias(f"valid{i}"))
+        if _comparable(f.dataType):
+            aggs.append(F.approx_count_distinct(c, _SKETCH_ERROR).alias(f"kinds{i}"))
         if _numeric(f.dataType):
             aggs += [_plain_zero(F.min(c.cast("double"))).alias(f"lo{i}"), _plain_zero(F.max(c.cast("double"))).alias(f"hi{i}")]
         if isinstance(f.dataType, T.StringType):
@@ -128,52 +157,74 @@ def _describe(df: DataFrame) -> dict:
     return df.agg(*aggs).first().asDict()
 
 
-def _first_look(df: DataFrame) -> dict[str, tuple[int, int]]:
-    """(values, different values) of each comparable column among the first rows."""
-    names = [f.name for f in _visible(df) if _comparable(f.dataType)]
-    if not names:
-        return {}
-    aggs = [a for i, n in enumerate(names) for a in (F.count(f"`{n}`").alias(f"v{i}"), F.size(F.collect_set(f"`{n}`")).alias(f"d{i}"))]
-    row = df.select(*[f"`{n}`" for n in names]).limit(_FIRST_ROWS).agg(*aggs).first()
-    return {n: (row[f"v{i}"], row[f"d{i}"]) for i, n in enumerate(names)}
-
-
-def _value_frames(df: DataFrame, limit: int) -> dict[str, DataFrame]:
-    """For each column that may be a category: at most ``limit + 1`` of its different values."""
-    first = _first_look(df)
-    return {
-        f.name: df.select(F.col(f"`{f.name}`").alias("value")).filter("value is not null").distinct().limit(limit + 1)
-        for f in _visible(df) if f.name in first and not _fractional(f.dataType) and first[f.name][1] <= limit
-    }
+def _maybe_sets(df: DataFrame, seen: dict, limit: int) -> list[T.StructField]:
+    return [
+        f for i, f in enumerate(_visible(df))
+        if _comparable(f.dataType) and not _fractional(f.dataType) and 0 < seen[f"kinds{i}"] <= _MAY_BE_SET * limit
+    ]
 
 
-def _value_sets(df: DataFrame, limit: int) -> dict[str, list]:
-    """Sorted values of the columns that have few; times as Spark writes them, in the session's zone."""
-    found = {}
-    for name, values in _value_frames(df, limit).items():
-        if _is_time(values.schema["value"].dataType):
-            values = values.select(F.col("value").cast("string"))
-        listed = [_json_value(r["value"]) for r in values.collect()]
-        if 0 < len(listed) <= limit:
-            found[name] = sorted(listed)
-    return found
+def _maybe_keys(df: DataFrame, seen: dict) -> list[T.StructField]:
+    n = seen["n"]
+    return [
+        f for i, f in enumerate(_visible(df))
+        if _comparable(f.dataType) and n - seen[f"valid{i}"] <= 1 and seen[f"kinds{i}"] >= _MAY_BE_KEY * seen[f"valid{i}"]
+    ]
 
 
-def _is_time(t: T.DataType) -> bool:
-    return isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType))
+def _shown(fields: list[T.StructField]) -> Column:
+    """A counted value as text, as Spark writes its type."""
+    text = F.col("_text")
+    for i, f in enumerate(fields):
+        here = F.col("_column") == i
+        if isinstance(f.dataType, T.TimestampType):
+            text = F.when(here, F.timestamp_micros("_whole").cast("string")).otherwise(text)
+        elif isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
+            text = F.when(here, F.col("_whole").cast(f.dataType).cast("string")).otherwise(text)
+    return text
+
+
+def _value(text: str, t: T.DataType):
+    """A value as a rule has it: numbers and flags as such, times and texts as text."""
+    if isinstance(t, T.IntegralType):
+        return int(text)
+    if isinstance(t, T.BooleanType):
+        return text == "true"
+    return _json_value(Decimal(text)) if isinstance(t, T.DecimalType) else text
+
+
+def _exact(df: DataFrame, keys: list[T.StructField], sets: list[T.StructField], limit: int) -> tuple[set[str], dict[str, list]]:
+    """(columns that are keys, sorted values of those that have few), from one stacked count."""
+    fields = keys + [f for f in sets if f not in keys]
+    if not fields:
+        return set(), {}
+    # only columns whose sketch says few are collected; their number of values is checked on the way
+    may = F.col("_column").isin([i for i, f in enumerate(fields) if f in sets])
+    counted = _per_value(df, fields).groupBy("_column").agg(
+        (F.max("_copies") == 1).alias("key"),
+        F.count_if(F.expr(_HAS_VALUE)).alias("kinds"),
+        F.collect_list(F.when(may & F.expr(_HAS_VALUE), _shown(fields))).alias("values"),
+    )
+    few = F.when(F.col("kinds") <= limit, F.col("values"))
+    found = counted.select("_column", "key", few.alias("values")).collect()  # one row a column
+    unique = {fields[r["_column"]].name for r in found if r["key"] and fields[r["_column"]] in keys}
+    values = {}
+    for r in found:
+        f = fields[r["_column"]]
+        if r["values"] and f in sets:
+            values[f.name] = sorted(_value(v, f.dataType) for v in r["values"])
+    return unique, values
 
 
 def profile_value_set(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
     """Per category column: its values, one per row, as text."""
-    counted = Window.partitionBy("column")
-    parts = [
-        values.select(F.lit(name).alias("column"), F.col("value").cast("string").alias("value"))
-        for name, values in _value_frames(df, max_categories).items()
-    ]
-    if not parts:
+    fields = _maybe_sets(df, _describe(df), max_categories)
+    if not fields:
         return df.sparkSession.createDataFrame([], "column string, value string")
-    every = functools.reduce(DataFrame.unionByName, parts).withColumn("_n", F.count("*").over(counted))
-    return every.filter(F.col("_n") <= max_categories).drop("_n")
+    names = df.sparkSession.createDataFrame([(i, f.name) for i, f in enumerate(fields)], "_column int, column string")
+    values = _per_value(df, fields).filter(_HAS_VALUE).select("_column", _shown(fields).alias("value"))
+    few = values.withColumn("_n", F.count("*").over(Window.partitionBy("_column"))).filter(F.col("_n") <= max_categories)
+    return few.join(names, "_column").select("column", "value")
 
 
 def _json_value(value):
@@ -185,15 +236,8 @@ def _json_value(value):
 def profile_rules(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> list[Rule]:
     """Rules that hold on ``df``: completeness, ranges, uniqueness, categories, text lengths."""
     seen = _describe(df)
-    n = seen["n"]
-    fields = _visible(df)
-    first = _first_look(df)
-    keys = [
-        f.name for i, f in enumerate(fields)
-        if f.name in first and n - seen[f"valid{i}"] <= 1 and first[f.name][0] == first[f.name][1]
-    ]
-    unique = {r["column"] for r in profile_unique(df, keys).collect() if r["is_unique"]} if keys else set()
-    sets = _value_sets(df, max_categories)
+    n, fields = seen["n"], _visible(df)
+    unique, sets = _exact(df, _maybe_keys(df, seen), _maybe_sets(df, seen, max_categories), max_categories)
 
     rules: list[Rule] = []
     for i, f in enumerate(fields):
@@ -208,8 +252,7 @@ def profile_rules(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> list[R
         if name in unique:
             rules.append(rule("expect_column_values_to_be_unique", NOTE, column=name))
         if name in sets:
-            values = [_json_value(v) for v in sets[name]]
-            rules.append(rule("expect_column_values_to_be_in_set", NOTE, column=name, value_set=values))
+            rules.append(rule("expect_column_values_to_be_in_set", NOTE, column=name, value_set=sets[name]))
         if isinstance(t, T.StringType) and seen[f"lo{i}"] is not None:
             rules.append(rule(
                 "expect_column_value_lengths_to_be_between", NOTE,

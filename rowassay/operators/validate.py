@@ -1,7 +1,8 @@
 """Evaluate a suite of rules over a table in as few passes as the rules allow.
 
-All row and table rules share one scan. Every distinct uniqueness key adds one grouped count.
-Schema rules and rules that could not be bound cost nothing.
+All row and table rules share one scan, as long as their code fits into one generated function; larger suites are dealt into
+passes by the columns they read, so that each column is still read about once. Every distinct uniqueness key adds one grouped
+count. Schema rules and rules that could not be bound cost nothing.
 """
 
 from __future__ import annotations
@@ -14,8 +15,13 @@ from pyspark.sql import functions as F
 from rowassay import ROW_ID
 from rowassay.operators.bind import ERROR, KEY, ROW, SCHEMA, TABLE, BoundRule, bind_rules
 from rowassay.operators.rules import Rule
+from rowassay.operators.sets import with_sets
 from rowassay.session import materialize
 
+#: What one pass may hold: Spark generates code for operators of at most 100 fields, and the JVM compiles methods of at most
+#: 8,000 bytes. A comparison takes up to 70 bytes.
+PASS_FIELDS, PASS_COMPARISONS = 80, 100
+
 OUTCOME_SCHEMA = (
     "rule_index int, expectation_type string, kwargs string, success boolean, unexpected_count bigint, "
     "element_count bigint, is_row_level boolean, exception string"
@@ -89,11 +95,36 @@ def _key_outcomes(per_key: DataFrame, rules: list[BoundRule]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def outcomes(df: DataFrame, bound: list[BoundRule], counted: dict[tuple, DataFrame] | None = None) -> DataFrame:
-    """One row per rule: its verdict and how many rows it flags. ``counted`` holds key counts there are already."""
-    counted = counted or {}
+def _fields(b: BoundRule) -> int:
+    """Buffers that the rule's aggregates take."""
+    return 2 if b.mostly < 1.0 or (b.kind == TABLE and b.state.how == "mean") else 1
+
+
+def _comparisons(b: BoundRule) -> int:
+    """About how much code the rule's test is: pairs within a record are all compared, everything else once or twice."""
+    n = len(b.columns)
+    return n * n if "within_record" in b.rule.expectation_type else 1 + n
+
+
+def code_passes(bound: list[BoundRule]) -> list[list[BoundRule]]:
+    """Row and table rules dealt into passes whose generated code stays small; rules of a column go to one pass if they fit."""
+    rules = [b for b in bound if b.kind in (ROW, TABLE)]
+    parts: list[list[BoundRule]] = [[]]
+    fields = comparisons = 0
+    whole = sum(map(_fields, rules)) <= PASS_FIELDS and sum(map(_comparisons, rules)) <= PASS_COMPARISONS
+    for b in rules if whole else sorted(rules, key=lambda b: b.columns):
+        if parts[-1] and (fields + _fields(b) > PASS_FIELDS or comparisons + _comparisons(b) > PASS_COMPARISONS):
+            parts.append([])
+            fields = comparisons = 0
+        parts[-1].append(b)
+        fields, comparisons = fields + _fields(b), comparisons + _comparisons(b)
+    return [p for p in parts if p]
+
+
+def _pass_outcomes(df: DataFrame, rules: list[BoundRule]) -> DataFrame:
+    """Outcomes of the rules of one pass, from one aggregate."""
     aggregates, rows = [F.count("*").alias("_n")], []
-    for b in bound:
+    for b in rules:
         if b.kind == ROW:
             aggregates.append(F.count_if(b.violated).alias(f"_u{b.index}"))
             if b.mostly < 1.0:
@@ -101,13 +132,17 @@ def outcomes(df: DataFrame, bound: list[BoundRule], counted: dict[tuple, DataFra
             unexpected = F.col(f"_u{b.index}")
             verdict = passes(b, unexpected, F.col(f"_c{b.index}") if b.mostly < 1.0 else None)
             rows.append(_outcome(b, verdict, unexpected, F.col("_n"), True))
-        elif b.kind == TABLE:
+        else:
             aggregates.append(state_aggregate(b).alias(f"_g{b.index}"))
             verdict = F.coalesce(b.state.holds(F.col(f"_g{b.index}")), F.lit(False))
             rows.append(_outcome(b, verdict, F.lit(None), F.col("_n"), False))
-    parts = []
-    if rows:
-        parts.append(df.agg(*aggregates).select(F.inline(F.array(*rows))))
+    return with_sets(df, rules).agg(*aggregates).select(F.inline(F.array(*rows)))
+
+
+def outcomes(df: DataFrame, bound: list[BoundRule], counted: dict[tuple, DataFrame] | None = None) -> DataFrame:
+    """One row per rule: its verdict and how many rows it flags. ``counted`` holds key counts there are already."""
+    counted = counted or {}
+    parts = [_pass_outcomes(df, rules) for rules in code_passes(bound)]
     parts += [_key_outcomes(counted.get(key, count_keys(df, key)), rules) for key, rules in by_key(bound).items()]
     settled = [
         (b.index, b.rule.expectation_type, b.rule.kwargs_json, b.passes, None, None, False, b.error)
@@ -138,10 +173,10 @@ def _key_flags(df: DataFrame, rule: BoundRule, counted: dict[tuple, DataFrame] |
 def flags(df: DataFrame, bound: list[BoundRule], counted: dict[tuple, DataFrame] | None = None) -> DataFrame:
     """One row per (row id, rule) hit."""
     parts = []
-    hits = [F.when(b.violated, F.lit(b.index)) for b in bound if b.kind == ROW]
-    if hits:
+    for rules in code_passes([b for b in bound if b.kind == ROW]):
         # Filtering after the explode keeps the rules in generated code; array_compact would not.
-        exploded = df.select(ROW_ID, F.explode(F.array(*hits)).alias("rule_index"))
+        hits = F.array(*[F.when(b.violated, F.lit(b.index)) for b in rules])
+        exploded = with_sets(df, rules).select(ROW_ID, F.explode(hits).alias("rule_index"))
         parts.append(exploded.filter("rule_index is not null"))
     for rules in by_key(bound).values():
         ids = _key_flags(df, rules[0], counted)
@@ -153,8 +188,10 @@ def flags(df: DataFrame, bound: list[BoundRule], counted: dict[tuple, DataFrame]
 
 def flagged_rows(df: DataFrame, bound: list[BoundRule]) -> DataFrame:
     """Ids of rows hit by at least one rule, once each."""
-    row_rules = [b.violated for b in bound if b.kind == ROW]
-    parts = [df.filter(functools.reduce(Column.__or__, row_rules)).select(ROW_ID)] if row_rules else []
+    parts = []
+    for rules in code_passes([b for b in bound if b.kind == ROW]):
+        hit = functools.reduce(Column.__or__, [b.violated for b in rules])
+        parts.append(with_sets(df, rules).filter(hit).select(ROW_ID))
     parts += [_key_flags(df, rules[0]) for rules in by_key(bound).values()]
     if not parts:
         return df.sparkSession.createDataFrame([], f"{ROW_ID} bigint")

@@ -27,6 +27,7 @@ from rowassay.operators.bind import ERROR, KEY, ROW, SCHEMA, TABLE, BoundRule, b
 from rowassay.operators.inject import MIXED, Injection
 from rowassay.operators.metrics import FACT_COLUMNS, OVERALL
 from rowassay.operators.rules import Rule
+from rowassay.operators.sets import with_sets
 from rowassay.operators.validate import by_key, repeated_keys
 from rowassay.session import materialize
 
@@ -191,7 +192,7 @@ class _Frame:
 
     def clean(self) -> tuple[_Tally, dict[int, dict[int, tuple]]]:
         """Counts of the clean table, and table statistics over the rows each variant leaves alone."""
-        df = self.base
+        df = with_sets(self.base, self.bound)
         for j, (key, _) in enumerate(self.keys):
             df = self._mark(df, j, [F.col(f"`{k}`") for k in key], f"_rep{j}")
         apart = [(b, vi) for b in self.tables for vi in self.members if self._touches(vi, b.columns)]
@@ -245,6 +246,7 @@ class _Frame:
             if len(bystanders) > 1:
                 untouched = untouched.dropDuplicates(["_variant", ROW_ID])
             affected = affected.unionByName(untouched)
+        affected = with_sets(affected, self.bound)
         is_new = (F.col("_hit") >= 0) | (F.col("_append") >= 0)
         states = {f"_s{b.index}": F.when(is_new, b.state.value) for b in self.tables}
         named = {f"_n{j}_{i}": F.col(f"`{k}`") for j, (key, _) in enumerate(self.keys) for i, k in enumerate(key)}
@@ -263,7 +265,7 @@ class _Frame:
                 df = df.withColumn(f"_now{j}", F.coalesce("_now", f"_now{j}")).drop("_now")
         words = range(self._words())
         carried = keep + list(states) + [f"_new{w}" for w in words] + [f"_now{j}" for j in range(len(self.keys))]
-        df = df.select(*carried, "_old.*")
+        df = with_sets(df.select(*carried, "_old.*"), self.bound)
         named = {f"_n{j}_{i}": F.col(f"`{k}`") for j, (key, _) in enumerate(self.keys) for i, k in enumerate(key)}
         df = df.select(*carried, *[c.alias(n) for n, c in {**named, **self._row_bits("_was")}.items()])
         for j, (key, _) in enumerate(self.keys):

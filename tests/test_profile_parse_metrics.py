@@ -182,6 +182,38 @@ def test_a_late_repeat_is_found(spark):
     assert not any(t == "expect_column_values_to_be_in_set" for t, _ in kinds)
 
 
+def test_a_profile_is_two_jobs_however_many_columns(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from rowassay.operators.profile import _per_value, profile_ndv, profile_rules, profile_unique
+
+    df = spark.range(500).selectExpr("id AS _row_id", *[f"id % {i + 1} AS c{i}" for i in range(15)], *[f"id * {i} AS k{i}" for i in range(15)])
+    jobs = []
+    for name in ("first", "collect", "count", "take", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, f=getattr(DataFrame, name), n=name: jobs.append(n) or f(self, *a))
+    assert len(profile_rules(df)) > 60
+    assert jobs[0] == "first" and len([j for j in jobs if j == "collect"]) <= 2 and "count" not in jobs  # first() itself collects
+    monkeypatch.undo()
+    fields = [f for f in df.schema if f.name != "_row_id"]
+    text = _per_value(df, fields)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and text.count("Range (") == 1
+    assert {r["column"] for r in profile_unique(df).collect() if r["is_unique"]} == {f"k{i}" for i in range(1, 15)}
+    assert {r["column"]: r["n_distinct"] for r in profile_ndv(df, ["c3", "k0"]).collect()} == {"c3": 4, "k0": 1}
+    gone = profile_unique(df.limit(0), ["c1"]).first()
+    assert gone["is_unique"] and profile_ndv(df.limit(0), ["c1"]).first()["n_distinct"] == 0
+
+
+def test_equal_values_of_any_type_count_as_one(spark):
+    from rowassay.operators.profile import profile_ndv, profile_unique
+
+    df = spark.sql(
+        "SELECT * FROM VALUES (0.0D, TIMESTAMP '2024-01-01', '1', CAST(NULL AS int)), (-0.0D, TIMESTAMP '2024-01-01', '1.0', 1), "
+        "(double('NaN'), NULL, NULL, NULL), (double('NaN'), TIMESTAMP '2024-01-02', '', 2) AS t(d, t, s, i)"
+    )
+    assert {r["column"]: r["n_distinct"] for r in profile_ndv(df).collect()} == {"d": 2, "t": 2, "s": 3, "i": 2}
+    assert {r["column"]: r["is_unique"] for r in profile_unique(df).collect()} == {"d": False, "t": False, "s": True, "i": False}
+
+
 def test_requests_do_not_depend_on_key_order(spark):
     df = spark.createDataFrame([('{"a": 1, "b": {"d": 2, "c": [3]}}',), ('{"b":{"c":[3],"d":2},"a":1}',), ("no json",)], "p string")
     keyed = df.withColumn("k", request_key(F.lit("m"), F.lit("q"), F.col("p"), F.lit("")))

@@ -163,3 +163,89 @@ def test_time_literals_like_and_strftime(spark):
     found = {r["rule_index"]: r for r in outcomes(df, bind_rules([r for r, _ in cases], df)).collect()}
     assert [found[i]["unexpected_count"] for i in range(len(cases))] == [n for _, n in cases]
     assert found[9]["success"] and found[3]["exception"] and found[8]["exception"]
+
+
+PATTERNS = [
+    r"^a$", r"^a\Z", r"\Aa", r"(?P<x>a)b(?P=x)", r"(?P<first_name>\w+) (?P=first_name)?", r"^\w+$", r"\d{3}", r"^\S+$", r"[^\d]", r"[^\W\d_]",
+    r"\bfoo\b", r"\B", r"^.$", r"(?s)^.+$", r"(?m)^next$", r"(?m)$", r"(?i)abc", r"(?i)É", r"(?i:a)B", r"(?x) a  b # comment", r"(?a)^\w+$",
+    r"a{2,}?b", r"a*+a", r"(?>a+)b", r"(a)|b\1", r"(?<=a)b", r"(?<!a)b", r"[]x]", r"[a\-b]", r"\$\d", r"[.\-|\\]", r"^(ab)+$", r"#[0-9]+$",
+    r"[\s\S]", r"\x41", r"(?i)k", r"a|", r"(a(b)(c))\2?", r"(?i:(?-i:a)b)", "",
+]
+TEXTS = [
+    "", "a", "abc", "ABC", "aba", "a\n", "a\r\n", "\n", "line\nnext", "é", "É", "١٢٣", "123", "foo bar", "foo_bar", " ", "\x1c", "a b", "aa aa",
+    "aab", "Customer#12", "customer#12\n", "ababab", "[x]", "a.b", "a-b", "日本語", "K", "k", "\x85", "$5", "a|b", "a\\b",
+]
+
+
+def test_patterns_match_as_in_python(spark):
+    import re
+
+    from rowassay.operators.patterns import UnusablePattern, java_pattern
+
+    compiled = spark._jvm.java.util.regex.Pattern
+    for p in PATTERNS:
+        java = compiled.compile(java_pattern(p))
+        assert [t for t in TEXTS if java.matcher(t).find()] == [t for t in TEXTS if re.search(p, t)], p
+    for p in (r"([", r"(?P<a>x)(?(a)y|z)", r"\p{L}", r"*a", r"(?P=q)"):
+        with pytest.raises(UnusablePattern):
+            java_pattern(p)
+
+
+def test_bounds_that_are_no_numbers(gaps):
+    rules = [rule("expect_column_values_to_be_between", column="n", **{k: v}) for k in ("min_value", "max_value") for v in (float("nan"), float("inf"), -float("inf"))]
+    assert [r["unexpected_count"] for r in outcomes(gaps, bind_rules(rules, gaps)).orderBy("rule_index").collect()] == [3, 3, 0, 3, 0, 3]
+    top = rule("expect_column_max_to_be_between", column="n", max_value=float("nan"))
+    assert outcomes(gaps, bind_rules([top], gaps)).first()["success"] is False
+
+
+def test_large_sets_decide_as_small_ones_do(spark, gaps, monkeypatch):
+    from rowassay.operators import bind
+
+    sets = {
+        "n": [1, 5.0, "5", True], "s": ["ab", 7, None], "i": [1.0, 3, 2.5, 10**30, float("inf")], "t": ["2024-01-02", "never", "2024-01-03T00:00:00"],
+        "m": [],
+    }
+    kinds = ("expect_column_values_to_be_in_set", "expect_column_values_to_not_be_in_set", "expect_column_distinct_values_to_be_in_set")
+    rules = [rule(k, column=c, value_set=v) for c, v in sets.items() for k in kinds]
+
+    def judged():
+        bound = bind_rules(rules, gaps)
+        hits = {tuple(r) for r in flags(gaps, bound).collect()}
+        return sorted(outcomes(gaps, bound).drop("kwargs").collect()), hits, {r[0] for r in flagged_rows(gaps, bound).collect()}
+
+    small = judged()
+    monkeypatch.setattr(bind, "LARGE", -1)
+    assert judged() == small
+    assert all(b.lookups for b in bind_rules(rules, gaps))
+    table = spark.createDataFrame([("ab",), ("ab",), (None,)], "word string")
+    named = [rule(k, column=c, value_set={"table": "words"}) for c in ("s", "i") for k in kinds] + [rule(kinds[0], column="s", value_set={"table": "none"})]
+    found = {r["rule_index"]: (r["success"], r["unexpected_count"]) for r in outcomes(gaps, bind_rules(named, gaps, {"words": table})).collect()}
+    assert found == {0: (False, 2), 1: (False, 2), 2: (False, None), 3: (False, 4), 4: (True, 0), 5: (False, None), 6: (None, None)}
+
+
+def test_a_thousand_rules_stay_in_generated_code(spark):
+    from rowassay.operators.validate import code_passes
+
+    columns = [f"c{i}" for i in range(20)]
+    df = spark.range(100).selectExpr("id AS _row_id", *[f"id * {i} AS {c}" for i, c in enumerate(columns)])
+    rules = [rule("expect_column_values_to_be_between", column=c, min_value=-v, max_value=v) for c in columns for v in range(49)]
+    rules += [rule("expect_select_column_values_to_be_unique_within_record", column_list=columns[i : i + 4]) for i in range(15)]
+    rules += [rule("expect_column_mean_to_be_between", column=c, min_value=0) for c in columns]
+    bound = bind_rules(rules, df)
+    passes = code_passes(bound)
+    assert sorted(b.index for p in passes for b in p) == list(range(len(rules)))
+    assert sum(len({c for b in p for c in b.columns}) for p in passes) <= 5 * len(columns)  # a column is not read by every pass
+    whole = {r["rule_index"]: (r["success"], r["unexpected_count"]) for r in outcomes(df, bound).collect()}
+    for i in range(0, len(rules), 97):
+        one = outcomes(df, [bound[i]]).first()
+        assert whole[i] == (one["success"], one["unexpected_count"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for frame in (outcomes(df, passes[0] + passes[-1]), flags(df, bound), flagged_rows(df, bound)):
+            plan = frame._jdf.queryExecution().executedPlan()
+            generated = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(plan)
+            sizes = [generated.apply(i)._3().maxMethodCodeSize() for i in range(generated.length())]
+            assert sizes and max(sizes) < 8000, sizes
+            assert "(1) HashAggregate" in plan.toString() or "(1) Filter" in plan.toString() or "*(" in plan.toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
