@@ -142,6 +142,39 @@ def q_parse_rules(spark, sf):
     )
 
 
+# Texts that Python's JSON reader accepts and a strict one does not; the last is accepted by none.
+_LENIENT = [
+    '[{"expectation_type":"expect_column_values_to_be_between","kwargs":{"min_value":NaN,"column":"value","max_value":@U}}]',
+    'Rules: [{"expectation_type":"first","expectation_type":"expect_column_values_to_not_be_null","kwargs":{"column":"x","column":"@T"},"rationale":NaN}]',
+    '[{"expectation_type":NaN,"kwargs":{}}, NaN, {"expectation_type":"expect_column_values_to_not_be_null","kwargs":-Infinity}]',
+    '[{"expectation_type":"expect_column_max_to_be_between","kwargs":{"column":"\\"NaN\\" of @T","max_value":Infinity,"min_value":-Infinity}}]',
+    '[{"expectation_type":"expect_column_values_to_be_in_set","kwargs":{"column":"@T","value_set":[NaN,-1,"-Infinity",{"a":1,"a":@U}]}}]',
+    "[Nope of @T, NaN]",
+]
+_LENIENT_SQL = """
+SELECT event_id AS response_id, true AS json_ok, 0 AS rule_index, 'valid' AS status, 'expect_column_values_to_be_between' AS expectation_type,
+  '{"column":"value","max_value":' || user_id || ',"min_value":NaN}' AS kwargs, NULL AS rationale FROM events WHERE event_id % 6 = 0
+UNION ALL SELECT event_id, true, 0, 'valid', 'expect_column_values_to_not_be_null', '{"column":"' || event_type || '"}', 'NaN' FROM events WHERE event_id % 6 = 1
+UNION ALL SELECT event_id, true, 0, 'json_error', NULL, '{}', NULL FROM events WHERE event_id % 6 = 2
+UNION ALL SELECT event_id, true, 1, 'json_error', NULL, '{}', NULL FROM events WHERE event_id % 6 = 2
+UNION ALL SELECT event_id, true, 2, 'invalid_kwargs', 'expect_column_values_to_not_be_null', NULL, NULL FROM events WHERE event_id % 6 = 2
+UNION ALL SELECT event_id, true, 0, 'valid', 'expect_column_max_to_be_between',
+  '{"column":"\\"NaN\\" of ' || event_type || '","max_value":Infinity,"min_value":-Infinity}', NULL FROM events WHERE event_id % 6 = 3
+UNION ALL SELECT event_id, true, 0, 'valid', 'expect_column_values_to_be_in_set',
+  '{"column":"' || event_type || '","value_set":[NaN,-1,"-Infinity",{"a":' || user_id || '}]}', NULL FROM events WHERE event_id % 6 = 4
+UNION ALL SELECT event_id, false, 0, 'json_error', NULL, '{}', NULL FROM events WHERE event_id % 6 = 5
+"""
+
+
+@query("parse_lenient", _LENIENT_SQL)
+def q_parse_lenient(spark, sf):
+    """Repeated keys, NaN and infinities, as Python reads them."""
+    shape = F.element_at(F.array(*[F.lit(s) for s in _LENIENT]), (F.col("event_id") % len(_LENIENT) + 1).cast("int"))
+    text = F.replace(F.replace(shape, F.lit("@T"), F.col("event_type")), F.lit("@U"), F.col("user_id").cast("string"))
+    answers = raw(spark, sf, "events").select(F.col("event_id").alias("response_id"), text.alias("text"))
+    return parse_rules(answers).select("response_id", "json_ok", "rule_index", "status", "expectation_type", "kwargs", "rationale")
+
+
 @query(
     "classify_rules",
     f"WITH {_PARSED} SELECT model, condition, status, json_ok, count(*) AS n_rules FROM parsed GROUP BY ALL",

@@ -12,6 +12,7 @@ from rowassay.catalog import sqltext
 from rowassay.catalog.gridsql import SqlRule, SqlSuite, grid_sql, human_rules, profiled_rules
 from rowassay.catalog.injections import _MIX, _MIX_SLICES, COLUMNS, PLANNED, planned
 from rowassay.catalog.registry import ORACLE, query
+from rowassay.catalog.responses import _SPECS as SPECS
 from rowassay.catalog.rules import _MIXED_BAG, view
 from rowassay.catalog.suites import FLAGGED, FRAMES, hit_counts
 from rowassay.catalog.views import SQL, frame
@@ -22,8 +23,9 @@ from rowassay.operators.parse import parse_rules, status_counts
 from rowassay.operators.profile import profile_rules
 from rowassay.operators.rules import STATUSES, build_rules, rule
 from rowassay.operators.validate import flagged_rows, outcomes, suite_outcomes
-from rowassay.plans.grid import Grid, Suite, facts_frame
-from rowassay.plans.run import score_manifest, write_injections
+from rowassay.plans.grid import Grid
+from rowassay.plans.judge import Suite, facts_frame
+from rowassay.plans.run import DELTA, score_manifest, write_injections
 from rowassay.plans.suites import hand_written
 from rowassay.session import fresh_path, materialize
 from rowassay.sources.scan import scan_manifest, scan_results
@@ -133,43 +135,43 @@ def q_recall_by_type(spark, sf):
 
 
 def _r(t: str, kwargs: str) -> str:
-    return f'{{"expectation_type":"expect_{t}","kwargs":{kwargs}}}'
+    return f'{{"expectation_type":"{t}","kwargs":{kwargs}}}'
 
 
 # Answers of two models under three conditions. @LO @HI @MEAN @N stand for measures of the table.
 _ANSWERS = {
     ("llm:small", "a"): "[" + ",".join([
-        _r("column_values_to_not_be_null", '{"column":"c_custkey"}'),
-        _r("column_values_to_be_between", '{"column":"c_acctbal","max_value":@HI,"min_value":@MEAN}'),
-        _r("sensible_values", "{}"), _r("column_values_to_be_unique", '{"columns":["c_custkey"]}'),
+        _r("expect_column_values_to_not_be_null", '{"column":"c_custkey"}'),
+        _r("expect_column_values_to_be_between", '{"column":"c_acctbal","max_value":@HI,"min_value":@MEAN}'),
+        _r("expect_sensible_values", "{}"), _r("expect_column_values_to_be_unique", '{"columns":["c_custkey"]}'),
     ]) + "]",
     ("llm:small", "b"): "Here are the rules:\n```json\n[" + ",".join([
-        _r("column_values_to_be_unique", '{"column":"c_custkey"}'),
-        _r("column_values_to_be_between", '{"column":"c_nationkey","max_value":24,"min_value":0}'),
-        _r("column_values_to_not_be_null", '{"column":"zip"}'),
+        _r("expect_column_values_to_be_unique", '{"column":"c_custkey"}'),
+        _r("expect_column_values_to_be_between", '{"column":"c_nationkey","max_value":24,"min_value":0}'),
+        _r("expect_column_values_to_not_be_null", '{"column":"zip"}'),
     ]) + "]\n```",
     ("llm:small", "c"): "I would rather not.",
     ("llm:large", "a"): "[" + ",".join([
-        _r("column_values_to_not_be_null", '{"column":"c_name"}'),
-        _r("column_values_to_be_between", '{"column":"c_acctbal","max_value":@HI,"min_value":@LO}'),
-        _r("column_values_to_be_in_set", '{"column":"c_mktsegment","value_set":["AUTOMOBILE","BUILDING","FURNITURE","HOUSEHOLD","MACHINERY"]}'),
-        _r("column_max_to_be_between", '{"column":"c_acctbal","max_value":@HI}'),
+        _r("expect_column_values_to_not_be_null", '{"column":"c_name"}'),
+        _r("expect_column_values_to_be_between", '{"column":"c_acctbal","max_value":@HI,"min_value":@LO}'),
+        _r("expect_column_values_to_be_in_set", '{"column":"c_mktsegment","value_set":["AUTOMOBILE","BUILDING","FURNITURE","HOUSEHOLD","MACHINERY"]}'),
+        _r("expect_column_max_to_be_between", '{"column":"c_acctbal","max_value":@HI}'),
     ]) + "]",
     ("llm:large", "b"): "[" + ",".join([
-        _r("column_values_to_be_unique", '{"column":"c_name"}'),
-        _r("column_values_to_not_be_null", '{"column":"c_name"}'),
-        _r("column_values_to_not_be_null", '{"column":"c_name"}'),
-        _r("table_row_count_to_be_between", '{"max_value":@N,"min_value":1}'),
-        _r("column_mean_to_be_between", '{"column":"c_acctbal","max_value":@HI,"min_value":0}'),
-        _r("column_min_to_be_between", '{"column":"c_acctbal","min_value":@LO}'),
-        _r("column_distinct_values_to_be_in_set", '{"column":"c_mktsegment","value_set":["AUTOMOBILE","BUILDING","FURNITURE","HOUSEHOLD","MACHINERY"]}'),
+        _r("expect_column_values_to_be_unique", '{"column":"c_name"}'),
+        _r("expect_column_values_to_not_be_null", '{"column":"c_name"}'),
+        _r("expect_column_values_to_not_be_null", '{"column":"c_name"}'),
+        _r("expect_table_row_count_to_be_between", '{"max_value":@N,"min_value":1}'),
+        _r("expect_column_mean_to_be_between", '{"column":"c_acctbal","max_value":@HI,"min_value":0}'),
+        _r("expect_column_min_to_be_between", '{"column":"c_acctbal","min_value":@LO}'),
+        _r("expect_column_distinct_values_to_be_in_set", '{"column":"c_mktsegment","value_set":["AUTOMOBILE","BUILDING","FURNITURE","HOUSEHOLD","MACHINERY"]}'),
     ]) + "]",
     ("llm:large", "c"): "[" + ",".join([
-        _r("column_values_to_be_in_set", '{"column":"c_mktsegment","value_set":["BUILDING","MACHINERY"]}'),
-        _r("column_values_to_match_regex", '{"column":"c_name","regex":"^Customer#[0-9]+$"}'),
-        _r("column_value_lengths_to_be_between", '{"column":"c_mktsegment","max_value":10,"min_value":8}'),
-        _r("compound_columns_to_be_unique", '{"column_list":["c_name","c_acctbal"]}'),
-        _r("column_values_to_be_of_type", '{"column":"c_acctbal","type_":"float64"}'),
+        _r("expect_column_values_to_be_in_set", '{"column":"c_mktsegment","value_set":["BUILDING","MACHINERY"]}'),
+        _r("expect_column_values_to_match_regex", '{"column":"c_name","regex":"^Customer#[0-9]+$"}'),
+        _r("expect_column_value_lengths_to_be_between", '{"column":"c_mktsegment","max_value":10,"min_value":8}'),
+        _r("expect_compound_columns_to_be_unique", '{"column_list":["c_name","c_acctbal"]}'),
+        _r("expect_column_values_to_be_of_type", '{"column":"c_acctbal","type_":"float64"}'),
     ]) + "]",
 }
 _SEGMENTS = "('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')"
@@ -234,9 +236,31 @@ def customer_suites(spark, sf) -> list[Suite]:
     ]
 
 
-@query("executability", "SELECT * FROM (VALUES ('llm:large', 'a', 1.0::DOUBLE), ('llm:large', 'b', 1.0), ('llm:large', 'c', 1.0), "
-       "('llm:small', 'a', 0.5), ('llm:small', 'b', CAST(2 AS DOUBLE) / 3), ('llm:small', 'c', 0.0)) t(model, condition, executability) "
-       "WHERE (SELECT count(*) FROM customer) > 0")
+def _executability_sql() -> str:
+    """Rules that are valid and whose columns the table has, over all rules of an answer: read from the answers in SQL."""
+    marks = {"@LO": _LO, "@HI": _HI, "@MEAN": _MEAN, "@N": "(SELECT count(*) FROM b)"}
+    answers = []
+    for (model, condition), text in _ANSWERS.items():
+        sql = "'" + text.replace("'", "''") + "'"
+        for mark, value in marks.items():
+            sql = f"replace({sql}, '{mark}', CAST({value} AS VARCHAR))"
+        answers.append(f"SELECT '{model}' AS model, '{condition}' AS condition, {sql} AS text")
+    needed = "['column', 'column_list', 'columns']"
+    return (
+        f"WITH b AS (SELECT * FROM customer), {SPECS}, a AS ({' UNION ALL '.join(answers)}), "
+        "e AS (SELECT model, condition, json_extract(regexp_extract(text, '(?s)\\[.*\\]', 0), '$[*]') AS items FROM a WHERE contains(text, '[')), "
+        "i AS (SELECT model, condition, unnest(items) AS item FROM e), "
+        "k AS (SELECT model, condition, spec.t IS NOT NULL AND len(list_filter(json_keys(item, '$.kwargs'), lambda x: NOT list_contains(accepted, x))) = 0 AS valid, "
+        f"flatten(list_transform({needed}, lambda n: CASE json_type(item, '$.kwargs.' || n) WHEN 'VARCHAR' THEN [item->>('$.kwargs.' || n)] "
+        "WHEN 'ARRAY' THEN CAST(item->('$.kwargs.' || n) AS VARCHAR[]) ELSE [] END)) AS used "
+        "FROM i LEFT JOIN spec ON spec.t = item->>'$.expectation_type'), "
+        "c AS (SELECT list(column_name) AS columns FROM (DESCRIBE customer)), "
+        "s AS (SELECT model, condition, count(*) AS n, count(*) FILTER (valid AND list_has_all(columns, used)) AS good FROM k, c GROUP BY ALL) "
+        "SELECT model, condition, coalesce(good / CAST(n AS DOUBLE), 0) AS executability FROM a LEFT JOIN s USING (model, condition)"
+    )
+
+
+@query("executability", _executability_sql())
 def q_executability(spark, sf):
     """Executable share of the generated suites, runtime errors taken from a run on the table."""
     customer = frame(spark, sf, "customer")
@@ -330,6 +354,16 @@ def q_validate_manifest(spark, sf):
     return score_manifest(scan_manifest(spark, f"{root}/manifest"), {"tpch_orders": baseline_suites(spark, sf, "tpch_orders")})
 
 
+@query("validate_deltas", f"SELECT * FROM ({grid_sql('tpch_customer', sql_suites('tpch_customer'), 'detection')})")
+def q_validate_deltas(spark, sf):
+    """Variants of customers stored as deltas, all eight suites judged on them in one pass a schema."""
+    root = fresh_path(spark, "deltas")
+    manifest = write_injections({"tpch_customer": planned(spark, sf, "tpch_customer")}, root, DELTA)
+    write_manifest(manifest, f"{root}/manifest")
+    suites = baseline_suites(spark, sf, "tpch_customer") + customer_suites(spark, sf)
+    return score_manifest(scan_manifest(spark, f"{root}/manifest"), {"tpch_customer": suites})
+
+
 @query("scan_results", f"SELECT dataset, method, metric, count(*) AS n_facts, count(value) AS n_defined FROM ({_ALL}) GROUP BY ALL")
 def q_scan_results(spark, sf):
     root = fresh_path(spark, "results")

@@ -1,4 +1,7 @@
-"""Read rule suites out of free text: find the JSON array, split it, give every rule one status."""
+"""Read rule suites out of free text: find the JSON array, split it, give every rule one status.
+
+JSON is read as Python reads it: of a repeated key the last one counts, and ``NaN``, ``Infinity`` and ``-Infinity`` are numbers.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,35 @@ from rowassay.operators.rules import (
 FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 
 
+# A bare NaN or infinity outside quotes; everything up to it is passed over from where the last one ended.
+_NO_NUMBER = r'\G((?:[^"NI\-]++|"(?:[^"\\]++|\\.)*+"|-(?!Infinity))*+)(NaN|-?Infinity)'
+# Such a number is carried as a text that begins with this character of the private use area.
+_MARK = "\ue000"
+_REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def read_json(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Add ``into``: the text as a variant, NULL if it is no JSON. Numbers that JSON does not know are texts marked by
+    ``_MARK``; a text that uses that character itself is not searched for them."""
+    session = df.sparkSession
+    before = session.conf.get(_REPEATED_KEYS, "false")
+    # Spark takes the setting into the plan when the column is added, so it holds for this column only.
+    session.conf.set(_REPEATED_KEYS, "true")
+    try:
+        marked = F.regexp_replace(text, _NO_NUMBER, rf'$1"{_MARK}$2"')
+        again = F.when(F.col(text).rlike("NaN|Infinity") & ~F.col(text).contains(_MARK), F.try_parse_json(marked))
+        parsed = df.withColumn(into, F.coalesce(F.try_parse_json(text), again))
+        parsed.schema  # analysed while the setting holds
+    finally:
+        session.conf.set(_REPEATED_KEYS, before)
+    return parsed
+
+
+def _unmarked(json: Column) -> Column:
+    """JSON text with marked numbers written bare again."""
+    return F.regexp_replace(json, f'"{_MARK}(NaN|-?Infinity)"', "$1")
+
+
 def extract_array(text: Column) -> Column:
     """From the first ``[`` to the last ``]`` of the first fenced block (of the text, without one)."""
     body = F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text)
@@ -42,8 +74,7 @@ def parse_rules(responses: DataFrame, text: str = "text") -> DataFrame:
     """
     carried = [c for c in responses.columns if c != text]
     items = (
-        responses.withColumn("_array", extract_array(F.col(text)))
-        .withColumn("_parsed", F.try_parse_json("_array"))
+        read_json(responses.withColumn("_array", extract_array(F.col(text))), "_array", "_parsed")
         .withColumn("json_ok", F.col("_parsed").isNotNull())
         .select(
             *carried, "json_ok",
@@ -58,17 +89,17 @@ def parse_rules(responses: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(F.schema_of_variant("_item").startswith("OBJECT"), F.lit(False)).alias("_object"),
         _variant("$.expectation_type").alias("_t"),
         _variant("$.kwargs").alias("_k"),
-        F.try_variant_get("_item", "$.rationale", "string").alias("rationale"),
+        F.replace(F.try_variant_get("_item", "$.rationale", "string"), F.lit(_MARK), F.lit("")).alias("rationale"),
     ).withColumns({
         "expectation_type": F.when(
-            F.schema_of_variant("_t") == "STRING", F.expr("try_cast(_t as string)")
+            (F.schema_of_variant("_t") == "STRING") & ~F.expr("try_cast(_t as string)").startswith(_MARK), F.expr("try_cast(_t as string)")
         ),
         "_kwargs_ok": F.col("_k").isNull() | F.schema_of_variant("_k").startswith("OBJECT"),
     }).withColumns({
         "_args": F.when(
             F.col("_kwargs_ok"), F.coalesce(F.expr("try_cast(_k as map<string, variant>)"), F.expr("map()"))
         ),
-        "kwargs": F.when(F.col("_kwargs_ok"), F.coalesce(F.expr("try_cast(_k as string)"), F.lit("{}"))),
+        "kwargs": F.when(F.col("_kwargs_ok"), F.coalesce(_unmarked(F.expr("try_cast(_k as string)")), F.lit("{}"))),
     })
     given = F.map_keys("_args")
     # A bound that is JSON null is not given.

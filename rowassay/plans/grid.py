@@ -15,101 +15,34 @@ from __future__ import annotations
 
 import functools
 from collections import defaultdict
-from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowassay import ROW_ID
 from rowassay.functions.select import Selection
-from rowassay.operators.bind import ERROR, KEY, ROW, SCHEMA, TABLE, BoundRule, bind_rules
+from rowassay.operators.bind import ROW
 from rowassay.operators.inject import MIXED, Injection
-from rowassay.operators.metrics import FACT_COLUMNS, OVERALL
+from rowassay.operators.metrics import OVERALL
 from rowassay.operators.rules import Rule
 from rowassay.operators.sets import with_sets
-from rowassay.operators.validate import by_key, repeated_keys
+from rowassay.operators.validate import repeated_keys
+from rowassay.plans.judge import Judge, Suite, Tally, any_of, detection_facts, fused, merge, ratio_of, state_columns
 from rowassay.session import materialize
 
-FACT_SCHEMA = (
-    "model string, dataset string, condition string, repetition int, method string, error_type string, "
-    "rate double, seed bigint, metric string, value double"
-)
-_WORD = 60  # verdict bits per number
 CROSS_ROW = ("duplicate_row", MIXED)  # fixed value: never evaluated on a sample
 
 
-@dataclass(frozen=True)
-class Suite:
-    method: str
-    condition: str
-    repetition: int
-    rules: tuple[Rule, ...]
-    counts: dict[str, int] | None = None  # generated suites: rules per parse status
-    costs: dict[str, float] = field(default_factory=dict)
-
-
-@dataclass
-class _Tally:
-    """Counts of one frame: the clean table or one variant."""
-
-    n: int = 0
-    unexpected: dict[int, int] = field(default_factory=lambda: defaultdict(int))
-    counted: dict[int, int] = field(default_factory=lambda: defaultdict(int))
-    flagged: dict[int, int] = field(default_factory=lambda: defaultdict(int))
-    labelled: dict[str, int] = field(default_factory=lambda: defaultdict(int))
-    found: dict[tuple[str, int], int] = field(default_factory=lambda: defaultdict(int))
-    states: dict[int, tuple] = field(default_factory=dict)
-
-    def copy(self) -> _Tally:
-        new = _Tally(self.n, states=dict(self.states))
-        new.unexpected.update(self.unexpected)
-        new.counted.update(self.counted)
-        new.flagged.update(self.flagged)
-        return new
-
-
-def _state_columns(how: str, value: Column, name: str, is_time: bool) -> list[Column]:
-    """Mergeable statistics of a TABLE rule over ``value``."""
-    if how == "mean":
-        return [F.sum(value).alias(f"{name}_a"), F.count(value).alias(f"{name}_b")]
-    if how in ("min", "max"):
-        best = F.min(value) if how == "min" else F.max(value)
-        # Times travel as text, so the client's time zone does not matter; the order is the same.
-        return [(best.cast("string") if is_time else best).alias(f"{name}_a")]
-    return [(F.sum(value) if how == "bad" else F.count(value)).alias(f"{name}_a")]
-
-
-def _merge(how: str, x: tuple | None, y: tuple | None) -> tuple:
-    if x is None or x[0] is None:
-        return y if y is not None else (None,)
-    if y is None or y[0] is None:
-        return x
-    if how == "min":
-        return (min(x[0], y[0]),)
-    if how == "max":
-        return (max(x[0], y[0]),)
-    return tuple(a + b for a, b in zip(x, y))
-
-
-def _any(flags: list[Column]) -> Column:
-    return functools.reduce(Column.__or__, flags) if flags else F.lit(False)
-
-
-class _Frame:
+class _Frame(Judge):
     """The clean table as one group of variants sees it: same column types, same row sample."""
 
     def __init__(self, injection: Injection, casts: dict[str, str], members: list[int], within: Column | None,
                  rules: list[Rule], suites: list[list[int]]):
         self.injection, self.members, self.within = injection, members, within
         base = injection.base if within is None else injection.base.filter(within)
-        self.base = base.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in casts.items()}) if casts else base
-        self.columns = [c for c in self.base.columns if c != ROW_ID]
-        self.bound = bind_rules(rules, self.base)
-        self.suites = suites
-        self.flagging = [b for b in self.bound if b.kind in (ROW, KEY)]
-        self.tables = [b for b in self.bound if b.kind == TABLE]
-        self.keys = list(by_key(self.bound).items())
+        base = base.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in casts.items()}) if casts else base
+        self.columns = [c for c in base.columns if c != ROW_ID]
+        super().__init__(base, rules, suites)
         self.repeated = [self._named(materialize(repeated_keys(self.base, rs[0]).drop("_copies"), "repeated"), key)
                          for key, rs in self.keys]
 
@@ -165,7 +98,7 @@ class _Frame:
             F.when((F.col("_append") < 0) & moved, entry(old, -1)),
         )
         names = [f"_k{i}" for i in range(len(key))]
-        present = _any([F.col(n).isNotNull() for n in names])
+        present = any_of([F.col(n).isNotNull() for n in names])
         net = (
             rows.select("_variant", F.inline(steps)).filter(present)
             .groupBy("_variant", *names).agg(F.sum("_d").alias("_net")).filter("_net != 0")
@@ -187,10 +120,7 @@ class _Frame:
 
     # -- the clean pass ------------------------------------------------------
 
-    def _flags(self, violated: dict[int, Column]) -> list[Column]:
-        return [_any([violated[i] for i in sorted(set(s)) if i in violated]) for s in self.suites]
-
-    def clean(self) -> tuple[_Tally, dict[int, dict[int, tuple]]]:
+    def clean(self) -> tuple[Tally, dict[int, dict[int, tuple]]]:
         """Counts of the clean table, and table statistics over the rows each variant leaves alone."""
         df = with_sets(self.base, self.bound)
         for j, (key, _) in enumerate(self.keys):
@@ -205,13 +135,13 @@ class _Frame:
         mine = {b.index: F.col(f"_v{b.index}") for b in self.flagging}
         aggs += [F.count_if(flag).alias(f"f{s}") for s, flag in enumerate(self._flags(mine))]
         for b in self.tables:
-            aggs += _state_columns(b.state.how, b.state.value, f"t{b.index}", self._is_time(b))
+            aggs += state_columns(b.state.how, b.state.value, f"t{b.index}", self._is_time(b))
         for b, vi in apart:
             rest = self.injection.hit(self.injection.variants[vi]) < 0
             value = F.when(rest, b.state.value)
-            aggs += _state_columns(b.state.how, value, f"t{b.index}v{vi}", self._is_time(b))
+            aggs += state_columns(b.state.how, value, f"t{b.index}v{vi}", self._is_time(b))
         row = df.agg(*aggs).first().asDict()
-        tally = _Tally(row["n"])
+        tally = Tally(row["n"])
         for b in self.flagging:
             tally.unexpected[b.index] = row[f"u{b.index}"]
             tally.counted[b.index] = row.get(f"c{b.index}", 0)
@@ -236,7 +166,7 @@ class _Frame:
 
     # -- the pass over affected rows -------------------------------------------
 
-    def variants(self, clean: _Tally, rest: dict[int, dict[int, tuple]]) -> dict[int, _Tally]:
+    def variants(self, clean: Tally, rest: dict[int, dict[int, tuple]]) -> dict[int, Tally]:
         changed = self.injection.rows(self.members, changed_only=True, keep_old=True, within=self.within)
         flips = [self._flips(changed, j) for j in range(len(self.keys))]
         affected = changed.drop("_source", "_fate")
@@ -278,7 +208,7 @@ class _Frame:
         kinds = {b.index: (b.state.how, self._is_time(b)) for b in self.tables}
         first = [F.count("*").alias("_n")]
         for index, (how, is_time) in kinds.items():
-            first += _state_columns(how, F.col(f"_s{index}"), f"t{index}", is_time)
+            first += state_columns(how, F.col(f"_s{index}"), f"t{index}", is_time)
         df = df.withColumns({**dict(zip(patterns, after + before))}) if patterns else df
         counted = df.groupBy(*keep, *patterns).agg(*first)
 
@@ -301,42 +231,6 @@ class _Frame:
         # One row per variant and part of it.
         return self._assemble(clean, rest, counted.groupBy(*keep).agg(*aggs).collect())
 
-    # -- verdicts as bits ------------------------------------------------------
-
-    def _bits(self) -> list[tuple[str, int]]:
-        """What each bit stands for: rule i is violated (u), or counts the row for its tolerance (c)."""
-        return [("u", b.index) for b in self.flagging] + [("c", b.index) for b in self.flagging if b.mostly < 1]
-
-    def _words(self) -> int:
-        return -(-len(self._bits()) // _WORD)
-
-    def _place(self, kind: str, index: int) -> tuple[int, int]:
-        return divmod(self._bits().index((kind, index)), _WORD)
-
-    def _bit(self, side: str, kind: str, index: int) -> Column:
-        word, at = self._place(kind, index)
-        return F.col(f"{side}{word}").bitwiseAND(F.lit(1 << at).cast("bigint")) != 0
-
-    def _row_bits(self, side: str) -> dict[str, Column]:
-        """Words with the bits that depend on the row alone."""
-        words = {f"{side}{w}": F.lit(0).cast("bigint") for w in range(self._words())}
-        for b in self.flagging:
-            for kind, flag in (("u", b.violated), ("c", b.counted if b.mostly < 1 else None)):
-                if flag is not None:
-                    word, at = self._place(kind, b.index)
-                    bit = F.when(flag, F.lit(1 << at).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-                    words[f"{side}{word}"] = words[f"{side}{word}"].bitwiseOR(bit)
-        return words
-
-    def _key_bits(self, word: int, side: str) -> Column:
-        """The bits of a word that depend on repeated keys."""
-        bits = F.lit(0).cast("bigint")
-        for j, (_, rules) in enumerate(self.keys):
-            mask = sum(1 << self._place("u", r.index)[1] for r in rules if self._place("u", r.index)[0] == word)
-            if mask:
-                bits = bits.bitwiseOR(F.when(F.col(f"{side}{j}"), F.lit(mask).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-        return bits
-
     def _bystanders(self, flips: DataFrame, key: tuple[str, ...]) -> DataFrame:
         """Untouched rows of a variant whose key flipped."""
         rows = self.injection.with_places(self.base).join(flips, self._same([F.col(f"`{k}`") for k in key]), "inner")
@@ -347,7 +241,7 @@ class _Frame:
             *[f"`{c}`" for c in self.columns],
         )
 
-    def _assemble(self, clean: _Tally, rest: dict, groups: list) -> dict[int, _Tally]:
+    def _assemble(self, clean: Tally, rest: dict, groups: list) -> dict[int, Tally]:
         tallies = {vi: clean.copy() for vi in self.members}
         for vi in self.members:
             for b in self.tables:
@@ -373,66 +267,16 @@ class _Frame:
             for b in self.tables:
                 if app >= 0 or self._touches(vi, b.columns):
                     new = tuple(r[k] for k in (f"t{b.index}_a", f"t{b.index}_b") if k in r)
-                    tally.states[b.index] = _merge(b.state.how, tally.states[b.index], new)
+                    tally.states[b.index] = merge(b.state.how, tally.states[b.index], new)
         return tallies
 
-    # -- verdicts ------------------------------------------------------------------
-
-    def verdicts(self, tallies: list[_Tally]) -> list[dict[int, bool | None]]:
-        """Per frame: rule -> passed, failed, or None when it could not run."""
-        out = [{} for _ in tallies]
-        tests, where = [], []
-        for at, tally in enumerate(tallies):
-            for b in self.bound:
-                if b.kind == ERROR:
-                    out[at][b.index] = None
-                elif b.kind == SCHEMA:
-                    out[at][b.index] = b.passes
-                elif b.kind == TABLE:
-                    tests.append(b.state.holds(self._state_literal(b, tally.states[b.index])))
-                    where.append((at, b.index))
-                else:
-                    u, c = tally.unexpected[b.index], tally.counted[b.index]
-                    out[at][b.index] = u == 0 if b.mostly >= 1 else c == 0 or 1 - u / c >= b.mostly
-        if tests:
-            spark = self.base.sparkSession
-            names = [F.coalesce(t, F.lit(False)).alias(f"x{i}") for i, t in enumerate(tests)]
-            for (at, index), passed in zip(where, spark.range(1).select(*names).first()):
-                out[at][index] = passed
-        return out
-
-    def _state_literal(self, b: BoundRule, state: tuple) -> Column:
-        value = state[0]
-        if b.state.how == "mean" and value is not None:
-            value = value / state[1] if state[1] else None
-        kind = "double" if b.state.how == "mean" else "bigint"
-        if b.state.how in ("min", "max"):
-            kind = self.base.schema[b.columns[0]].dataType.simpleString()
-        return F.lit(value).cast(kind)
-
-    def _is_time(self, b: BoundRule) -> bool:
-        types = {f.name: f.dataType for f in self.base.schema}
-        return any(isinstance(types[c], (T.TimestampType, T.TimestampNTZType, T.DateType)) for c in b.columns)
-
-
 class Grid:
     """All suites on one table and all its variants; ``facts`` is the tidy result."""
 
     def __init__(self, injection: Injection, suites: list[Suite], table_id: str,
                  cap: int | None = None, cap_seed: int = 0):
         self.injection, self.suites, self.table_id = injection, suites, table_id
-        index: dict[tuple[str, str], int] = {}
-        self.rules: list[Rule] = []
-        self.suite_rules: list[list[int]] = []
-        for suite in suites:
-            numbers = []
-            for r in suite.rules:
-                key = (r.expectation_type, r.kwargs_json)
-                if key not in index:
-                    index[key] = len(self.rules)
-                    self.rules.append(r)
-                numbers.append(index[key])
-            self.suite_rules.append(numbers)
+        self.rules, self.suite_rules = fused(suites)
         self.within = None
         if cap is not None and injection.n > cap:
             self.within = Selection(injection.base, [cap_seed]).cuts([(cap_seed, cap)])[cap_seed, cap].covers()
@@ -444,7 +288,7 @@ class Grid:
         for vi, variant in enumerate(self.injection.variants):
             key = (self.injection.schema_class(vi), sampled and variant.error_type not in CROSS_ROW)
             groups.setdefault(key, []).append(vi)
-        self.tallies: dict[int, _Tally] = {}
+        self.tallies: dict[int, Tally] = {}
         self.passed: dict[int, dict[int, bool | None]] = {}
         for (casts, capped), members in groups.items():
             frame = _Frame(self.injection, dict(casts), members, self.within if capped else None,
@@ -458,12 +302,6 @@ class Grid:
             if (casts, capped) == ((), sampled):
                 self.clean, self.clean_passed = clean, verdicts[0]
 
-    def _dims(self, suite: Suite) -> dict:
-        return {
-            "model": suite.method, "dataset": self.table_id, "condition": suite.condition,
-            "repetition": suite.repetition, "method": suite.method,
-        }
-
     def clean_facts(self) -> list[dict]:
         facts = []
         for s, suite in enumerate(self.suites):
@@ -473,56 +311,21 @@ class Grid:
             values = {
                 "suite_size": len(numbers),
                 "redundancy": len(numbers) - len(set(numbers)),
-                "fp_rate_rules": _ratio(verdicts.count(False), len(numbers)),
-                "fp_rate_rows": _ratio(self.clean.flagged[s], self.clean.n),
+                "fp_rate_rules": ratio_of(verdicts.count(False), len(numbers)),
+                "fp_rate_rows": ratio_of(self.clean.flagged[s], self.clean.n),
                 "n_runtime_errors": errors,
             }
             if suite.counts is not None:
                 total = sum(suite.counts.values())
-                values["executability"] = _ratio(suite.counts.get("valid", 0) - errors, total)
+                values["executability"] = ratio_of(suite.counts.get("valid", 0) - errors, total)
                 values["n_rules_total"] = total
                 for status in ("valid", "json_error", "unknown_expectation", "invalid_kwargs"):
                     values[f"n_{status}"] = suite.counts.get(status, 0)
                 for cost in ("prompt_tokens", "completion_tokens", "latency_s"):
                     values[cost] = suite.costs.get(cost)
-            facts += [{**self._dims(suite), "error_type": OVERALL, "metric": m, "value": v} for m, v in values.items()]
+            facts += [{**suite.dims(self.table_id), "error_type": OVERALL, "metric": m, "value": v} for m, v in values.items()]
         return facts
 
     def detection_facts(self) -> list[dict]:
-        facts = []
-        for s, suite in enumerate(self.suites):
-            for vi, variant in enumerate(self.injection.variants):
-                tally = self.tallies[vi]
-                injected = sum(tally.labelled.values())
-                hits = sum(tally.found[e, s] for e in tally.labelled)
-                precision, recall = _ratio(hits, tally.flagged[s]), _ratio(hits, injected)
-                f1 = None
-                if precision is not None and recall is not None:
-                    f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-                detected = any(self.passed[vi][i] is False for i in self.suite_rules[s])
-                values = [
-                    (variant.error_type, "precision", precision), (variant.error_type, "recall", recall),
-                    (variant.error_type, "f1", f1), (variant.error_type, "dataset_detected", int(detected)),
-                ]
-                values += [
-                    (e, "recall_by_type", _ratio(tally.found[e, s], k)) for e, k in sorted(tally.labelled.items())
-                ]
-                facts += [
-                    {**self._dims(suite), "error_type": e, "rate": variant.rate, "seed": variant.seed,
-                     "metric": m, "value": v}
-                    for e, m, v in values
-                ]
-        return facts
-
-
-def _ratio(part, whole) -> float | None:
-    return part / whole if whole else None
-
-
-def facts_frame(spark: SparkSession, facts: list[dict]) -> DataFrame:
-    """Facts as a table: a few rows per suite and variant, however large the data."""
-    rows = [
-        tuple(None if (v := f.get(c)) is None else float(v) if c in ("value", "rate") else v for c in FACT_COLUMNS)
-        for f in facts
-    ]
-    return spark.createDataFrame(rows, FACT_SCHEMA)
+        judged = ((v.error_type, v.rate, v.seed, self.tallies[vi], self.passed[vi]) for vi, v in enumerate(self.injection.variants))
+        return detection_facts(self.suites, self.suite_rules, self.table_id, judged)

@@ -1,21 +1,26 @@
-"""Runs over written variants: write any grid, and score suites on what a manifest points to."""
+"""Runs over written variants: write any grid, whole or as deltas, and score suites on what a manifest points to."""
 
 from __future__ import annotations
 
 import functools
+import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowassay import ROW_ID
-from rowassay.operators.bind import KEY, ROW, SCHEMA, TABLE, BoundRule, bind_rules
-from rowassay.operators.inject import Injection
-from rowassay.operators.metrics import f1_score, long_facts, ratio
-from rowassay.operators.validate import passes, state_aggregate
-from rowassay.plans.grid import Suite
+from rowassay.operators.inject import Injection, Variant
+from rowassay.operators.sets import with_sets
+from rowassay.plans.judge import Judge, Suite, Tally, detection_facts, facts_frame, fused, merge, state_columns
+from rowassay.session import materialize
+from rowassay.sources.scan import STORED_SCHEMA
 from rowassay.sources.sinks import manifest_of, write_variants
 
-_VARIANT = "_variant"
+_VARIANT, _LABEL = "_variant", "_label"
+WHOLE, DELTA = "whole", "delta"
+_LABEL_COLUMNS = "_row_id bigint, column string, label_type string, label_rate double, label_seed bigint, dataset string, original_value string, corrupted_value string"
+_PARTITIONS = "table_id string, error_type string, rate double, seed bigint"
 
 
 def _identity(injection: Injection, table_id: str) -> list[Column]:
@@ -29,106 +34,169 @@ def _identity(injection: Injection, table_id: str) -> list[Column]:
     ]
 
 
-def write_injections(injections: dict[str, Injection], root: str) -> DataFrame:
+def _counts(variant: Variant, n: int, storage: str) -> tuple[int, int, int]:
+    """Rows of a variant of a table of ``n`` rows, rows stored of it, labels: all known before anything is written."""
+    added, changed = (sum(min(p.k, n) for p in parts) for parts in (variant.appended, variant.inplace))
+    return n + added, n + added if storage == WHOLE else changed + added, changed + added
+
+
+def write_injections(injections: dict[str, Injection], root: str, storage: str = WHOLE) -> DataFrame:
     """Write all variants and labels of several tables; returns their manifest.
 
-    Variants that change column types alike come from one scan. What is under ``root`` already stays.
+    Variants that change column types alike come from one scan. As ``delta``, each clean table is written once, and of a
+    variant only the rows it changes and adds, so what is written grows with the number of corrupted rows. What is under
+    ``root`` already stays.
     """
-    lines = []
+    if storage not in (WHOLE, DELTA):
+        raise ValueError(f"storage is {WHOLE!r} or {DELTA!r}, not {storage!r}")
+    rows, spark = [], None
     for table_id, injection in injections.items():
-        spark = injection.base.sparkSession
+        spark, base = injection.base.sparkSession, injection.base
+        clean = f"{root}/clean/table_id={table_id}" if storage == DELTA else None
+        if clean:
+            base.write.mode("overwrite").parquet(clean)
         for members in injection.schema_classes().values():
             keys = _identity(injection, table_id)
+            data = injection.rows(members, changed_only=storage == DELTA).select(*keys, *base.columns)
             write_variants(
-                injection.rows(members).select(*keys, *injection.base.columns),
+                data,
                 injection.labels(members).select(*keys, ROW_ID, "column", "error_type", "rate", "seed", "dataset", "original_value", "corrupted_value"),
                 root,
             )
-        rows = [(table_id, v.error_type, v.rate, v.seed) for v in injection.variants]
-        lines.append(spark.createDataFrame(rows, "table_id string, error_type string, rate double, seed bigint"))
-    return manifest_of(functools.reduce(DataFrame.unionByName, lines), root)
+            schema = T.StructType([data.schema[c] for c in base.columns]).json()
+            for v in (injection.variants[vi] for vi in members):
+                rows.append((table_id, v.error_type, v.rate, v.seed, storage, clean, schema, *_counts(v, injection.n, storage)))
+    return manifest_of(spark.createDataFrame(rows, f"{_PARTITIONS}, {STORED_SCHEMA}"), root)
+
 
+def _name(line) -> str:
+    return f"{line['error_type']}|{'' if line['rate'] is None else line['rate']}|{line['seed']}"
 
-def _read(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
-    """Partitions of one kind (data or labels), each row with the name of its variant."""
+
+def _partitions(spark: SparkSession, paths: list[str], kind: str, schema: T.StructType) -> DataFrame:
+    """Partitions of one kind (data or labels), each row with the name of its variant. The manifest has their columns, so no
+    file is looked into."""
+    whole = T.StructType(schema.fields + T.StructType.fromDDL(_PARTITIONS).fields)
+    if not paths:
+        return spark.createDataFrame([], T.StructType([T.StructField(_VARIANT, T.StringType()), *schema.fields]))
     base = paths[0].split(f"/{kind}/table_id=")[0] + f"/{kind}"
-    df = spark.read.option("basePath", base).parquet(*paths)
-    name = F.concat_ws("|", "error_type", F.coalesce(F.col("rate").cast("double").cast("string"), F.lit("")), F.col("seed").cast("string"))
-    return df.withColumn(_VARIANT, name).drop("table_id", "error_type", "rate", "seed")
-
-
-def _failures(df: DataFrame, bound: list[BoundRule]) -> DataFrame:
-    """Per variant: whether a rule failed. One grouped aggregate, and one grouped count per key."""
-    aggregates, verdicts = [F.count("*").alias("_n")], []
-    for b in bound:
-        if b.kind == ROW:
-            aggregates += [F.count_if(b.violated).alias(f"_u{b.index}"), F.count_if(b.counted).alias(f"_c{b.index}")]
-            verdicts.append(passes(b, F.col(f"_u{b.index}"), F.col(f"_c{b.index}")))
-        elif b.kind == TABLE:
-            aggregates.append(state_aggregate(b).alias(f"_g{b.index}"))
-            verdicts.append(F.coalesce(b.state.holds(F.col(f"_g{b.index}")), F.lit(False)))
-        elif b.kind == SCHEMA:
-            verdicts.append(F.lit(b.passes))
-    failed = functools.reduce(Column.__or__, [~v for v in verdicts], F.lit(False))
-    parts = [df.groupBy(_VARIANT).agg(*aggregates).select(_VARIANT, failed.alias("failed"))]
-    for b in (b for b in bound if b.kind == KEY):
-        per_key = df.groupBy(_VARIANT, *b.key).agg(F.count("*").alias("_copies"))
-        counts = per_key.groupBy(_VARIANT).agg(
-            F.coalesce(F.sum(F.when(b.counted & (F.col("_copies") > 1), F.col("_copies"))), F.lit(0)).alias("_bad"),
-            F.coalesce(F.sum(F.when(b.counted, F.col("_copies"))), F.lit(0)).alias("_counted"),
-        )
-        parts.append(counts.select(_VARIANT, (~passes(b, F.col("_bad"), F.col("_counted"))).alias("failed")))
-    every = functools.reduce(DataFrame.unionByName, parts)
-    return every.groupBy(_VARIANT).agg(F.coalesce(F.bool_or("failed"), F.lit(False)).alias("detected"))
+    df = spark.read.schema(whole).option("basePath", base).parquet(*paths)
+    name = F.concat_ws("|", "error_type", F.coalesce(F.col("rate").cast("string"), F.lit("")), F.col("seed").cast("string"))
+    return df.select(name.alias(_VARIANT), *[f"`{f.name}`" for f in schema])
+
 
+def overlay(clean: DataFrame, delta: DataFrame, variants: list[str]) -> DataFrame:
+    """All rows of all variants: their own rows, and the clean rows that they do not replace.
 
-def _flagged(df: DataFrame, bound: list[BoundRule]) -> DataFrame:
-    """Per variant the rows that some rule flags, once each."""
-    hit = functools.reduce(Column.__or__, [b.violated for b in bound if b.kind == ROW], F.lit(False))
-    parts = [df.filter(hit).select(_VARIANT, ROW_ID)]
-    for key, rule in {b.key: b for b in bound if b.kind == KEY}.items():
-        repeated = df.filter(rule.counted).groupBy(_VARIANT, *key).agg(F.count("*").alias("_copies")).filter("_copies > 1")
-        named = repeated.select(F.col(_VARIANT).alias("_v"), *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)])
-        same = [F.col(_VARIANT) == F.col("_v")] + [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
-        parts.append(df.filter(rule.counted).join(named, functools.reduce(Column.__and__, same), "left_semi").select(_VARIANT, ROW_ID))
-    return functools.reduce(DataFrame.unionByName, parts).distinct()
+    The clean table meets the changed ids once, whatever the number of variants; a row is then exploded into the variants that
+    left it alone. A clean row has no label, and the types of the delta.
+    """
+    changed = delta.groupBy(F.col(ROW_ID).alias("_changed")).agg(F.collect_set(_VARIANT).alias("_by"))  # at most all variants
+    met = clean.join(changed, clean[ROW_ID] == F.col("_changed"), "left")
+    left = F.array_except(F.lit(variants), F.coalesce("_by", F.array().cast("array<string>")))
+    own = [c for c in delta.columns if c not in (_VARIANT, _LABEL)]
+    rest = met.select(
+        F.explode(left).alias(_VARIANT), *[F.col(f"`{c}`").cast(delta.schema[c].dataType).alias(c) for c in own], F.lit(None).cast("string").alias(_LABEL)
+    )
+    return delta.unionByName(rest)
+
+
+def read_variants(spark: SparkSession, lines: list[Row]) -> DataFrame:
+    """Rows of variants that a manifest lists, which must be of one table, one schema and one kind of storage.
+
+    Besides the table's columns: ``_variant`` (error type, rate and seed) and ``_label``, the type of the error in the row.
+    """
+    if len({(r["table_id"], r["schema"], r["storage"]) for r in lines}) != 1 or lines[0]["schema"] is None:
+        raise ValueError("lines of one table, schema and storage are read together; their manifest must have all three")
+    schema = T.StructType.fromJson(json.loads(lines[0]["schema"]))
+    data = _partitions(spark, [r["data_path"] for r in lines if r["n_stored"]], "data", schema)
+    labels = _partitions(spark, [r["labels_path"] for r in lines if r["n_labels"]], "labels", T.StructType.fromDDL(_LABEL_COLUMNS))
+    told = data.join(labels.select(_VARIANT, ROW_ID, F.col("label_type").alias(_LABEL)), [_VARIANT, ROW_ID], "left")
+    if lines[0]["storage"] == WHOLE:
+        return told
+    return overlay(spark.read.parquet(lines[0]["clean_path"]), told, [_name(r) for r in lines])
+
+
+class _Stored(Judge):
+    """Suites on stored variants of one schema: one pass, whatever the number of suites and variants, and a count per key."""
+
+    def __init__(self, data: DataFrame, suites: list[Suite]):
+        rules, self.numbers = fused(suites)
+        self.data = data
+        super().__init__(data.drop(_VARIANT, _LABEL), rules, self.numbers)
+
+    def _marked(self) -> DataFrame:
+        """Rows with, for each key, whether it is repeated in their variant."""
+        df = with_sets(self.data, self.bound)
+        for j, (key, rules) in enumerate(self.keys):
+            copies = self.data.filter(rules[0].counted).groupBy(_VARIANT, *key).agg(F.count("*").alias("_copies")).filter("_copies > 1")
+            named = copies.select(F.col(_VARIANT).alias("_v"), *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)])
+            named = materialize(named, "repeated").withColumn(f"_key{j}", F.lit(True))  # its exact size decides how it is joined
+            same = [F.col(_VARIANT) == F.col("_v")] + [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+            df = df.join(named, functools.reduce(Column.__and__, same), "left").drop("_v", *[f"_k{i}" for i in range(len(key))])
+            df = df.withColumn(f"_key{j}", F.coalesce(f"_key{j}", F.lit(False)))
+        return df
+
+    def tallies(self) -> dict[str, Tally]:
+        words = range(self._words())
+        states = {f"_s{b.index}": b.state.value for b in self.tables}
+        keys = [f"_key{j}" for j in range(len(self.keys))]
+        df = self._marked().select(_VARIANT, _LABEL, *keys, *[c.alias(n) for n, c in {**states, **self._row_bits("_w")}.items()])
+        patterns = [f"_w{w}" for w in words]
+        df = df.withColumns({f"_w{w}": F.col(f"_w{w}").bitwiseOR(self._key_bits(w, "_key")) for w in words}) if patterns else df
+        kinds = {b.index: (b.state.how, self._is_time(b)) for b in self.tables}
+        first = [F.count("*").alias("_n")]
+        for index, (how, is_time) in kinds.items():
+            first += state_columns(how, F.col(f"_s{index}"), f"t{index}", is_time)
+        counted = df.groupBy(_VARIANT, _LABEL, *patterns).agg(*first)
+
+        def total(flag: Column) -> Column:
+            return F.coalesce(F.sum(F.when(flag, F.col("_n"))), F.lit(0))
+
+        aggs = [F.sum("_n").alias("n")] + [total(self._bit("_w", kind, index)).alias(f"{kind}{index}") for kind, index in self._bits()]
+        flags = self._flags({b.index: self._bit("_w", "u", b.index) for b in self.flagging})
+        aggs += [total(flag).alias(f"f{s}") for s, flag in enumerate(flags)]
+        for index, (how, _) in kinds.items():
+            aggs.append({"min": F.min, "max": F.max}.get(how, F.sum)(f"t{index}_a").alias(f"t{index}_a"))
+            if how == "mean":
+                aggs.append(F.sum(f"t{index}_b").alias(f"t{index}_b"))
+        found: dict[str, Tally] = {}
+        for row in counted.groupBy(_VARIANT, _LABEL).agg(*aggs).collect():  # one row a variant and error type
+            r = row.asDict()
+            tally, label = found.setdefault(r[_VARIANT], Tally()), r[_LABEL]
+            tally.n += r["n"]
+            for b in self.flagging:
+                tally.unexpected[b.index] += r[f"u{b.index}"]
+                tally.counted[b.index] += r.get(f"c{b.index}", 0)
+            for s in range(len(self.suites)):
+                tally.flagged[s] += r[f"f{s}"]
+                if label is not None:
+                    tally.found[label, s] += r[f"f{s}"]
+            if label is not None:
+                tally.labelled[label] += r["n"]
+            for b in self.tables:
+                new = tuple(r[k] for k in (f"t{b.index}_a", f"t{b.index}_b") if k in r)
+                tally.states[b.index] = merge(b.state.how, tally.states.get(b.index), new)
+        return found
 
 
 def score_manifest(manifest: DataFrame, suites: dict[str, list[Suite]]) -> DataFrame:
     """Detection facts of suites on written variants, from disk: one row per suite, variant and metric.
 
-    Lines are grouped by table and by the column types of their files; only those partitions are read.
+    Variants of one table whose columns have the same types are read together, and all suites are judged in that pass.
     """
-    spark = manifest.sparkSession
-    groups: dict[tuple, list] = {}
+    spark, facts = manifest.sparkSession, []
+    groups: dict[tuple, list[Row]] = {}
     for line in manifest.collect():  # one row a variant
         if line["table_id"] in suites:
-            schema = spark.read.parquet(line["data_path"]).schema
-            groups.setdefault((line["table_id"], schema.simpleString()), []).append(line)
-    parts = []
-    for (table_id, _), lines in groups.items():
-        data = _read(spark, [r["data_path"] for r in lines], "data")
-        labels = _read(spark, [r["labels_path"] for r in lines], "labels").select(_VARIANT, ROW_ID, "label_type")
-        known = spark.createDataFrame(
-            [(f"{r['error_type']}|{'' if r['rate'] is None else r['rate']}|{r['seed']}", r["error_type"], r["rate"], r["seed"]) for r in lines],
-            f"{_VARIANT} string, error_type string, rate double, seed bigint",
+            groups.setdefault((line["table_id"], line["schema"], line["storage"]), []).append(line)
+    for (table_id, *_), lines in groups.items():
+        stored = _Stored(read_variants(spark, lines), suites[table_id])
+        found = stored.tallies()
+        empty = Tally(states={b.index: (None,) for b in stored.tables})
+        tallies = [found.get(_name(r), empty) for r in lines]
+        judged = zip(lines, tallies, stored.verdicts(tallies))
+        facts += detection_facts(
+            suites[table_id], stored.numbers, table_id, ((r["error_type"], r["rate"], r["seed"], tally, passed) for r, tally, passed in judged)
         )
-        parts += [_suite_facts(known, data, labels, suite, table_id) for suite in suites[table_id]]
-    return functools.reduce(DataFrame.unionByName, parts)
-
-
-def _suite_facts(known: DataFrame, data: DataFrame, labels: DataFrame, suite: Suite, table_id: str) -> DataFrame:
-    bound = bind_rules(list(suite.rules), data.drop(_VARIANT))
-    flagged = _flagged(data, bound)
-    met = labels.join(flagged.withColumn("_hit", F.lit(1)), [_VARIANT, ROW_ID], "left")
-    by_type = met.groupBy(_VARIANT, "label_type").agg(F.count("*").alias("k"), F.count("_hit").alias("found"))
-    total = by_type.groupBy(_VARIANT).agg(F.sum("k").alias("injected"), F.sum("found").alias("hits"))
-    wide = known.join(total, _VARIANT, "left").join(flagged.groupBy(_VARIANT).agg(F.count("*").alias("flagged")), _VARIANT, "left")
-    wide = wide.join(_failures(data, bound), _VARIANT, "left").na.fill(0, ["injected", "hits", "flagged"])
-    dims = {"model": suite.method, "dataset": table_id, "condition": suite.condition, "repetition": suite.repetition, "method": suite.method}
-    named = {c: F.lit(v) for c, v in dims.items()}
-    wide = wide.withColumns({"precision": ratio(F.col("hits"), F.col("flagged")), "recall": ratio(F.col("hits"), F.col("injected"))})
-    wide = wide.withColumns({"f1": f1_score(F.col("precision"), F.col("recall")), "dataset_detected": F.coalesce("detected", F.lit(False)).cast("int"), **named})
-    typed = by_type.join(known.drop("error_type"), _VARIANT).withColumn("recall_by_type", ratio(F.col("found"), F.col("k")))
-    typed = typed.withColumnRenamed("label_type", "error_type").withColumns(named)
-    return long_facts(wide, ["precision", "recall", "f1", "dataset_detected"]).unionByName(long_facts(typed, ["recall_by_type"]))
+    return facts_frame(spark, facts)

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# How a variant is stored: whole, or as the rows it changes and adds (then with the place of the clean table); its columns, as
+# JSON of their schema; rows of the variant, rows stored, labels.
+STORED_SCHEMA = "storage string, clean_path string, schema string, n_rows bigint, n_stored bigint, n_labels bigint"
 MANIFEST_SCHEMA = (
-    "table_id string, error_type string, rate double, seed bigint, data_path string, labels_path string"
+    f"table_id string, error_type string, rate double, seed bigint, data_path string, labels_path string, {STORED_SCHEMA}"
 )
 RULE_SCHEMA = "expectation_type string, kwargs string, rationale string"
 

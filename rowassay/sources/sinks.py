@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rowassay.sources.scan import STORED_SCHEMA
 
 
 def write_clean(df: DataFrame, path: str) -> None:
@@ -30,7 +33,7 @@ def write_variants(variants: DataFrame, labels: DataFrame, root: str) -> None:
 
 
 def manifest_of(variants: DataFrame, root: str) -> DataFrame:
-    """Manifest lines for variants given as (table_id, error_type, rate, seed)."""
+    """Manifest lines for variants given as (table_id, error_type, rate, seed) and, where known, how they are stored."""
     # Spark's own name for the partition of a missing value: a mix has no single rate.
     rate = F.coalesce(F.col("rate").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
     part = F.concat(
@@ -39,10 +42,14 @@ def manifest_of(variants: DataFrame, root: str) -> DataFrame:
         F.lit("/rate="), rate,
         F.lit("/seed="), F.col("seed").cast("string"),
     )
+    about = [
+        F.col(f.name) if f.name in variants.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(STORED_SCHEMA)
+    ]
     return variants.select(
         "table_id", "error_type", "rate", F.col("seed").cast("bigint").alias("seed"),
         F.concat(F.lit(f"{root}/data/"), part).alias("data_path"),
         F.concat(F.lit(f"{root}/labels/"), part).alias("labels_path"),
+        *about,
     )
 
 

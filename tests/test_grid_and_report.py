@@ -14,7 +14,8 @@ from rowassay.operators.metrics import detection_scores, recall_by_type
 from rowassay.operators.profile import profile_rules
 from rowassay.operators.rules import rule
 from rowassay.operators.validate import flagged_rows, outcomes
-from rowassay.plans.grid import CROSS_ROW, Grid, Suite, facts_frame
+from rowassay.plans.grid import CROSS_ROW, Grid
+from rowassay.plans.judge import Suite, facts_frame
 from rowassay.plans.injection import injection_grid
 from rowassay.plans.suites import hand_written
 from rowassay.sources.sinks import manifest_of, write_manifest, write_variants
