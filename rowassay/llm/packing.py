@@ -8,10 +8,9 @@ its rank within its length, which is its place in its task plus the counts of ea
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from bisect import bisect_left, insort
-from itertools import chain
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +20,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowassay.llm.bpe import Merges, merge_rounds
-from rowassay.llm.common import Words, map_texts, ragged, sums_by_run, vocabulary
+from rowassay.llm.common import map_texts, ragged, sums_by_run, vocabulary
 from rowassay.session import materialize
 
 #: Words of these characters need no normalisation but lower case; all others go to the tokenizers library.
-_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = "^[!-&(-~À-ÖØ-öø-ÿ]+$"
+#: Classes of a word's bytes: letters stand together, digits alone, all else together. Bytes beyond ASCII are letters here.
+_LETTER, _DIGIT, _OTHER = 0, 1, 2
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+
+
+def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words in a row, and where words begin and the last one ends."""
+    words = pa.concat_arrays([words])
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(words) + 1, words.offset * 4)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _strings(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    ends = np.append(starts, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes()))
+
+
+class Store:
+    """Distinct words and the numbers a solver gives each of them, in arrays.
+
+    ``solve`` turns a string array into (flat int array, lengths). Words are kept until there are ``limit`` of them, so the
+    frequent ones, which come early, are solved once; any later word is solved whenever a slice has it.
+    """
+
+    def __init__(self, solve: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], limit: int = 150_000):
+        self.solve, self.limit = solve, limit
+        self.known = pa.array([], pa.string())
+        self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words in a row, and how many each word has."""
+        coded = words.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[new] = len(self.known) + np.arange(new.sum())
+        flat, lengths = self.flat, self.lengths
+        if new.any():
+            unknown = coded.dictionary.filter(pa.array(new))
+            more, sizes = self.solve(unknown)
+            flat, lengths = np.concatenate([flat, more]), np.concatenate([lengths, sizes])
+            if len(self.known) + len(unknown) <= self.limit:
+                self.known, self.flat, self.lengths = pa.concat_arrays([self.known, unknown]), flat, lengths
+        at = place[coded.indices.to_numpy()]
+        return ragged(flat, (np.cumsum(lengths) - lengths)[at], lengths[at]), lengths[at]
 
 
 class WordTokens:
     """Ids of a lower-casing, white-space-dropping BPE tokenizer with word ends, word by word.
 
     Equals ``tokenizers``' ``encode(text, add_special_tokens=False)``: its matches never hold white space, so the ids of
-    a text are those of its words. Words of plain characters are merged here, many at once; any other is given to the
-    library.
+    a text are those of its words. Words of plain characters are cut into parts and merged here, many at once; any other is
+    given to the library.
     """
 
     def __init__(self, path: str):
@@ -51,34 +98,47 @@ class WordTokens:
         self.last = np.array([vocab[shown[b] + end] for b in range(256)], np.int32)
         pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
         self.merges = Merges([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], [vocab[a + b] for a, b in pairs], range(len(pairs)))
-        self.parts = Words(self._merge)
-        self.words = Words(self._solve)
+        self.parts = Store(self._merge)
+        self.words = Store(self._solve)
 
-    def _merge(self, parts):
-        raw = [p.encode() for p in parts]
-        codes = np.frombuffer(b"".join(raw), np.uint8)
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    def _merge(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        codes, ends = _buffers(parts)
         symbols = self.inner[codes]
-        ends = np.cumsum(lengths) - 1
-        symbols[ends] = self.last[codes[ends]]
-        return merge_rounds(symbols, lengths, self.merges)
-
-    def _solve(self, words):
-        plain = [bool(_PLAIN.fullmatch(w)) and "<|" not in w or not w for w in words]  # white space at an end leaves an empty word
-        split = [_PARTS.findall(w.lower()) if p else () for w, p in zip(words, plain)]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        flat, sizes = self.parts.numbers(pa.array(chain.from_iterable(split), pa.string()))
-        lengths = sums_by_run(sizes, counts)
-        other = [i for i, p in enumerate(plain) if not p]
-        if other:
+        symbols[ends[1:] - 1] = self.last[codes[ends[1:] - 1]]
+        return merge_rounds(symbols, np.diff(ends).astype(np.int64), self.merges)
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of plain characters."""
+        data, ends = _buffers(words)
+        data = data.copy()
+        upper = (data >= 65) & (data <= 90)
+        upper[1:] |= (data[:-1] == 0xC3) & (data[1:] <= 0x9E) & (data[1:] >= 0x80)  # À to Þ
+        data[upper] += 32
+        kind = _CLASS[data]
+        begins = np.ones(len(data), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        begins[ends[:-1]] = True
+        starts = np.flatnonzero(begins)
+        flat, sizes = self.parts.numbers(_strings(data, starts))
+        return flat, sums_by_run(sizes, np.diff(np.searchsorted(starts, ends)))
+
+    def _solve(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        empty = pc.equal(words, "")  # white space at an end of a text leaves one
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        other = np.flatnonzero(pc.invert(pc.or_(plain, empty)).to_numpy(zero_copy_only=False))
+        plain = plain.to_numpy(zero_copy_only=False)
+        lengths = np.zeros(len(words), np.int64)
+        flat, lengths[plain] = self._plain(words.filter(pa.array(plain))) if plain.any() else (np.zeros(0, np.int32), 0)
+        if len(other):
             if self.library is None:
                 from tokenizers import Tokenizer
 
                 self.library = Tokenizer.from_file(self.path)
-            ids = [np.array(e.ids, np.int32) for e in self.library.encode_batch([words[i] for i in other], add_special_tokens=False)]
+            given = words.take(pa.array(other)).to_pylist()
+            ids = [np.array(e.ids, np.int32) for e in self.library.encode_batch(given, add_special_tokens=False)]
             starts = np.cumsum(lengths) - lengths
-            starts[other] = len(flat) + np.cumsum([len(x) for x in ids]) - [len(x) for x in ids]
-            lengths[other] = [len(x) for x in ids]
+            sizes = np.array([len(x) for x in ids])
+            starts[other], lengths[other] = len(flat) + np.cumsum(sizes) - sizes, sizes
             flat = ragged(np.concatenate([flat, *ids]), starts, lengths)
         return flat, lengths
 
