@@ -40,6 +40,11 @@ def orders_text(spark, sf):
         "stamp": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"),
         "compact": F.when(F.col("o_orderstatus") == "O", iso).otherwise(F.date_format("o_orderdate", "yyyyMMdd")),
         "compact_stamp": F.date_format("o_orderdate", "yyyyMMddHHmmss"),
+        "spoken": F.when(
+            F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "EEE, dd MMM yyyy")
+        ).otherwise(F.date_format("o_orderdate", "EEEE, dd MMMM yyyy")),
+        "zoned": F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.element_at(
+            F.array(F.lit("+0200"), F.lit("-05:30"), F.lit("")), (F.col("o_orderkey") % 3 + 1).cast("int"))),
     })
 
 
@@ -48,7 +53,10 @@ SQL["orders_text"] = (
     "WHEN o_orderpriority <> '5-LOW' THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, "
     "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp, CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%Y-%m-%d') "
     "ELSE strftime(o_orderdate, '%Y%m%d') END AS compact, "
-    f"strftime(o_orderdate, '%Y%m%d%H%M%S') AS compact_stamp FROM ({SQL['orders']})"
+    "strftime(o_orderdate, '%Y%m%d%H%M%S') AS compact_stamp, "
+    "CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%a, %d %b %Y') ELSE strftime(o_orderdate, '%A, %d %B %Y') END AS spoken, "
+    "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || (['+0200', '-05:30', ''])[o_orderkey % 3 + 1] AS zoned "
+    f"FROM ({SQL['orders']})"
 )
 
 
@@ -201,6 +209,12 @@ _row_rules(
     (rule("expect_column_values_to_match_strftime_format", column="day", strftime_format="%d/%m/%Y"),
      "day IS NOT NULL AND try_strptime(day, '%d/%m/%Y') IS NULL"),
 )
+_row_rules(
+    "rule_strftime_names", "orders_text",
+    (rule("expect_column_values_to_match_strftime_format", column="spoken", strftime_format="%A, %d %B %Y"), "o_orderstatus = 'F' AND try_strptime(spoken, '%A, %d %B %Y') IS NULL"),
+    (rule("expect_column_values_to_match_strftime_format", column="spoken", strftime_format="%a, %d %b %Y"), "try_strptime(spoken, '%a, %d %b %Y') IS NULL"),
+    (rule("expect_column_values_to_match_strftime_format", column="zoned", strftime_format="%Y-%m-%d %H:%M:%S%z"), "o_orderkey % 3 = 2"),
+)
 _row_rules(
     "rule_length", "documents",
     (rule("expect_column_value_lengths_to_be_between", column="text", min_value=200, max_value=5000),

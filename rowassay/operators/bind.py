@@ -43,8 +43,10 @@ TYPE_NAMES: dict[str, tuple[str, ...]] = {
 # Strftime directives and the datetime pattern letters they stand for.
 STRFTIME: dict[str, str] = {
     "%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s", "%f": "SSSSSS",
-    "%y": "yy", "%b": "MMM", "%j": "DDD", "%I": "h", "%p": "a", "%%": "%",
+    "%y": "yy", "%b": "MMM", "%B": "MMMM", "%j": "DDD", "%I": "h", "%p": "a", "%z": "XX", "%%": "%",
 }
+# Names of weekdays, which Spark writes but does not read.
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
 class BindError(Exception):
@@ -144,6 +146,25 @@ def datetime_pattern(strftime: str) -> str:
     return "".join(out)
 
 
+def datetime_of(text: Column, strftime: str) -> Column:
+    """The moment that ``text`` is in a strftime format, NULL if it is none.
+
+    A weekday's name is looked for and taken out first, as any weekday goes with any date; an offset may have a colon or not.
+    """
+    parts = re.split(r"(?<!%)((?:%%)*)(%[aA])", strftime)
+    if len(parts) > 4:
+        raise BindError("a strftime format has one weekday at most")
+    if len(parts) == 4:
+        before, after = parts[0] + parts[1], parts[3]
+        names = "|".join(day if parts[2] == "%A" else day[:3] for day in WEEKDAYS)
+        shape = f"^(.*?)(?i:{names})(.*)$"
+        text = F.when(text.rlike(shape), F.regexp_replace(text, F.lit(shape), F.lit("$1~$2")))
+        strftime = f"{before}~{after}"
+    pattern = datetime_pattern(strftime)
+    offsets = [pattern] + ([pattern.replace("XX", "XXX")] if "%z" in strftime else [])
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in offsets])
+
+
 class Binder:
     """Binds rules against the columns of one DataFrame. ``sets`` are tables that a rule may name as its value set."""
 
@@ -339,8 +360,7 @@ def _like(b: Binder, kw: dict) -> dict:
 
 def _strftime(b: Binder, kw: dict) -> dict:
     c = b.text(kw["column"])
-    pattern = F.lit(datetime_pattern(kw["strftime_format"]))
-    return _row(c.isNotNull() & F.try_to_timestamp(c, pattern).isNull(), [kw["column"]], c.isNotNull())
+    return _row(c.isNotNull() & datetime_of(c, kw["strftime_format"]).isNull(), [kw["column"]], c.isNotNull())
 
 
 def _lengths(b: Binder, kw: dict) -> dict:

@@ -51,19 +51,27 @@ def passes(rule: BoundRule, unexpected: Column, counted: Column | None) -> Colum
     return F.coalesce(1 - F.try_divide(unexpected, counted) >= F.lit(rule.mostly), F.lit(True))
 
 
-def _outcome(rule: BoundRule, success: Column, unexpected: Column, elements: Column, row_level: bool) -> Column:
-    return F.struct(
-        F.lit(rule.index).alias("rule_index"),
-        F.lit(rule.rule.expectation_type).alias("expectation_type"),
-        F.lit(rule.rule.kwargs_json).alias("kwargs"),
-        success.cast("boolean").alias("success"),
-        unexpected.cast("bigint").alias("unexpected_count"),
-        elements.cast("bigint").alias("element_count"),
-        F.lit(row_level).alias("is_row_level"),
-        F.lit(None).cast("string").alias("exception"),
+def _text(value: str) -> str:
+    """A SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _outcome(rule: BoundRule, success: str, unexpected: str, row_level: bool) -> str:
+    """SQL of an outcome over columns of counts; text, because a suite may have thousands and a Column takes a call each part."""
+    return (
+        f"named_struct('rule_index', {rule.index}, 'expectation_type', {_text(rule.rule.expectation_type)}, 'kwargs', {_text(rule.rule.kwargs_json)}, "
+        f"'success', {success}, 'unexpected_count', CAST({unexpected} AS bigint), 'element_count', CAST(_n AS bigint), "
+        f"'is_row_level', {str(row_level).lower()}, 'exception', CAST(NULL AS string))"
     )
 
 
+def _verdict(rule: BoundRule, unexpected: str, counted: str) -> str:
+    """SQL of ``passes``."""
+    if rule.mostly >= 1.0:
+        return f"{unexpected} = 0"
+    return f"coalesce(1 - try_divide({unexpected}, {counted}) >= CAST({rule.mostly!r} AS double), true)"
+
+
 def by_key(bound: list[BoundRule]) -> dict[tuple[str, ...], list[BoundRule]]:
     keys: dict[tuple[str, ...], list[BoundRule]] = {}
     for b in bound:
@@ -89,10 +97,8 @@ def _key_outcomes(per_key: DataFrame, rules: list[BoundRule]) -> DataFrame:
         F.coalesce(F.sum(F.when(first.counted, F.col("_copies"))), F.lit(0)).alias("_counted"),
         F.coalesce(F.sum(F.when(first.counted & (F.col("_copies") > 1), F.col("_copies"))), F.lit(0)).alias("_bad"),
     )
-    rows = [
-        _outcome(r, passes(r, F.col("_bad"), F.col("_counted")), F.col("_bad"), F.col("_n"), True) for r in rules
-    ]
-    return counts.select(F.inline(F.array(*rows)))
+    rows = [_outcome(r, _verdict(r, "_bad", "_counted"), "_bad", True) for r in rules]
+    return counts.select(F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def _fields(b: BoundRule) -> int:
@@ -123,20 +129,19 @@ def code_passes(bound: list[BoundRule]) -> list[list[BoundRule]]:
 
 def _pass_outcomes(df: DataFrame, rules: list[BoundRule]) -> DataFrame:
     """Outcomes of the rules of one pass, from one aggregate."""
-    aggregates, rows = [F.count("*").alias("_n")], []
+    aggregates, verdicts, rows = [F.count("*").alias("_n")], {}, []
     for b in rules:
         if b.kind == ROW:
             aggregates.append(F.count_if(b.violated).alias(f"_u{b.index}"))
             if b.mostly < 1.0:
                 aggregates.append(F.count_if(b.counted).alias(f"_c{b.index}"))
-            unexpected = F.col(f"_u{b.index}")
-            verdict = passes(b, unexpected, F.col(f"_c{b.index}") if b.mostly < 1.0 else None)
-            rows.append(_outcome(b, verdict, unexpected, F.col("_n"), True))
+            rows.append(_outcome(b, _verdict(b, f"_u{b.index}", f"_c{b.index}"), f"_u{b.index}", True))
         else:
             aggregates.append(state_aggregate(b).alias(f"_g{b.index}"))
-            verdict = F.coalesce(b.state.holds(F.col(f"_g{b.index}")), F.lit(False))
-            rows.append(_outcome(b, verdict, F.lit(None), F.col("_n"), False))
-    return with_sets(df, rules).agg(*aggregates).select(F.inline(F.array(*rows)))
+            verdicts[f"_p{b.index}"] = F.coalesce(b.state.holds(F.col(f"_g{b.index}")), F.lit(False))
+            rows.append(_outcome(b, f"_p{b.index}", "NULL", False))
+    counts = with_sets(df, rules).agg(*aggregates)
+    return (counts.withColumns(verdicts) if verdicts else counts).select(F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def outcomes(df: DataFrame, bound: list[BoundRule], counted: dict[tuple, DataFrame] | None = None) -> DataFrame:
