@@ -27,47 +27,51 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _BETWEEN), "")
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often it is named."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _hashed(df: DataFrame, keep: list[str]) -> DataFrame:
+    return df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
 
 
-def _grams(hashes: Column, k: int) -> Column:
-    """Hashes of all runs of ``k`` neighbours."""
-    n = F.size(hashes)
-    places = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
+#: More than any array has; the largest int would overflow when added to a start.
+_REST = 1 << 30
 
 
-def _least_of(values: Column, width: int) -> Column:
-    """The least of each ``width`` neighbours, in as many steps as ``width`` has bits; null where there are fewer."""
-    reach = 1
-    while reach < width:
-        step = min(reach, width - reach)
-        # zip_with fills the shorter side with nulls, which stand for windows beyond the end
-        values = F.zip_with(values, F.slice(values, step + 1, F.greatest(F.size(values), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.least(a, b)))
-        reach += step
-    return values
+def _shifted(df: DataFrame, reach: int, keep: list[str]) -> DataFrame:
+    """A row per element of ``h``: its place, the one before it as h0, itself as h1 and those after it up to h<reach>, null past
+    the ends. Arrays are shifted and zipped, so that what follows is generated code on numbers, which must stay small: the JVM
+    does not compile long methods."""
+    shifted = [F.concat(F.array(F.lit(None).cast("long")), "h").alias("h0"), F.col("h").alias("h1")]
+    shifted += [F.slice("h", i, _REST).alias(f"h{i}") for i in range(2, reach + 1)]
+    places = F.sequence(F.lit(0), F.size("h")).alias("place")
+    return df.select(*keep, F.inline(F.arrays_zip(places, *shifted))).filter("h1 IS NOT NULL")
 
 
-def fingerprint(words: Column, span: int, shorter: list[int]) -> Column:
-    """The winnowed set of a text's words: least k-gram hashes of windows of ``span`` words, and the hash of every run of each
-    of the ``shorter`` lengths."""
-    k = min(KGRAM, span)
+def _grams(h: Column, k: int) -> Column:
+    """Hashes of all ``k`` neighbours in ``h``: runs twice as long are made of two, until only a part of one is missing."""
+    made, reach = h, 1
+    while reach < k:
+        step = min(reach, k - reach)
+        made, reach = F.zip_with(made, F.slice(made, step + 1, _REST), lambda a, b: F.xxhash64(a, b)), reach + step
+    return F.slice(made, 1, F.greatest(F.size(h) - (k - 1), F.lit(0)))  # beyond that, neighbours were missing
+
 
-    def prints(h: Column) -> Column:
-        least = _least_of(_grams(h, k), span - k + 1)
-        return F.array_distinct(F.concat(F.array_compact(least), *[_grams(h, m) for m in shorter]))
+def fingerprints(df: DataFrame, keep: list[str], span: int) -> DataFrame:
+    """``keep`` and print: of every ``span`` consecutive words the least k-gram hash, once while it stays the least."""
+    k = min(KGRAM, span)
+    wide = span - k + 1
+    grams = _hashed(df, keep).select(*keep, _grams(F.col("h"), k).alias("h"))
 
-    return _bound(F.transform(words, lambda w: F.xxhash64(w)), prints)
+    def least(first: int) -> Column:
+        return F.least(*[f"h{first + i}" for i in range(wide)]) if wide > 1 else F.col(f"h{first}")
 
+    rows = _shifted(grams, wide, keep).filter(F.col(f"h{wide}").isNotNull())
+    return rows.filter(F.col("h0").isNull() | (least(0) != least(1))).select(*keep, least(1).alias("print"))
 
-def _windows(words: Column, lengths: list[int]) -> Column:
-    """All runs of the given lengths: where they begin, how long they are, a hash."""
-    def runs(h: Column, m: int) -> Column:
-        return F.transform(_grams(h, m), lambda x, i: F.struct(i.alias("place"), F.lit(m).alias("length"), x.alias("hash")))
 
-    return _bound(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.concat(*[runs(h, m) for m in lengths]))
+def _windows(df: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
+    """``keep``, place, length and hash of all runs of words of the given lengths."""
+    runs = [F.when(F.col(f"h{m}").isNotNull(), F.xxhash64(*[f"h{i}" for i in range(1, m + 1)])) for m in lengths]
+    structs = [F.struct(F.lit(m).alias("length"), run.alias("hash")) for m, run in zip(lengths, runs)]
+    return _shifted(_hashed(df, keep), max(lengths), keep).select(*keep, "place", F.inline(F.array(*structs))).filter("hash IS NOT NULL")
 
 
 def contaminated(
@@ -84,35 +88,40 @@ def contaminated(
     columns are not read.
     """
     # One key a row, whatever its id; tokenised once. The written table is what every later step reads.
-    spoken = docs.select(F.col(doc_id).alias("_id"), words_of(F.col(text)).alias("words"))
-    kept = materialize(spoken.select(F.monotonically_increasing_id().alias("key"), "_id", F.size("words").cast("long").alias("n_words"), "words"), "words")
+    told = docs.select(F.col(doc_id).alias("_id"), words_of(F.col(text)).alias("words"))
+    kept = materialize(told.select(F.monotonically_increasing_id().alias("key"), "_id", F.size("words").cast("long").alias("n_words"), "words"), "words")
     said = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("words")).filter(F.size("words") > 0)
-    said = materialize(said.select("item", "words", F.least(F.size("words"), F.lit(span)).alias("length")), "items")
+    said = materialize(said.select("item", "words", F.least(F.size("words"), F.lit(span)).alias("size")), "items")
     # at most ``span`` numbers, whatever the size of the benchmark
-    lengths = sorted(r["length"] for r in said.select("length").distinct().collect()) or [span]
+    lengths = sorted(r["size"] for r in said.select("size").distinct().collect()) or [span]
     shorter = [m for m in lengths if m < span]
 
-    prints = said.select(F.explode(F.when(F.col("length") == span, fingerprint(F.col("words"), span, [])).otherwise(
-        _bound(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.array(_whole(h, shorter)))
-    )).alias("print")).distinct()
-    prints = materialize(prints, "prints")
-    own = kept.filter(F.col("n_words") >= lengths[0]).select("key", F.explode(fingerprint(F.col("words"), span, shorter)).alias("print"))
+    # An item of ``span`` words or more is found by its winnowed hashes, a shorter one by the hash of the whole.
+    prints = fingerprints(said.filter(F.col("size") == span), ["item"], span)
+    if shorter:
+        whole = _windows(said.filter(F.col("size") < span), ["item", "size"], shorter)
+        prints = prints.union(whole.filter(F.col("length") == F.col("size")).select("item", "hash"))
+    prints = materialize(prints.select("print").distinct(), "prints")
+    long_enough = kept.filter(F.col("n_words") >= lengths[0])
+    own = fingerprints(long_enough, ["key"], span)
+    if shorter:
+        own = own.union(_windows(long_enough, ["key"], shorter).select("key", "hash"))
     near = materialize(own.join(prints, "print", "left_semi").select("key").distinct(), "near")
+    # Words travel as one line each: as an array a word takes three times its bytes in a shuffle.
+    suspects = materialize(kept.select("key", F.array_join("words", " ").alias("line")).join(near, "key", "left_semi"), "suspects")
+    discard(near)
+    spoken = F.split("line", " ")
 
     # Windows of items, each once: a hash to find it by, its words to be sure. Who has it comes later, for those that occur.
-    of_items = said.select("item", "words", "length", F.explode(_windows(F.col("words"), lengths)).alias("w"))
-    of_items = of_items.filter(F.col("w.length") == F.col("length"))
-    of_items = materialize(
-        of_items.select("item", "length", F.col("w.hash").alias("hash"), F.slice("words", F.col("w.place") + 1, F.col("length")).alias("passage")).distinct(),
-        "passages",
-    )
-    passages = of_items.select("length", "hash", "passage").distinct()
-    suspects = kept.select("key", "words").join(near, "key", "left_semi")
-    places = suspects.select("key", F.explode(_windows(F.col("words"), lengths)).alias("w")).select("key", "w.*")
-    found = places.join(passages, ["length", "hash"])
-    checked = kept.select("key", "words").join(found, "key").filter(F.slice("words", F.col("place") + 1, F.col("length")) == F.col("passage"))
+    of_items = _windows(said, ["item", "words", "size"], lengths).filter(F.col("length") == F.col("size"))
+    passage = F.slice("words", F.col("place") + 1, F.col("length")).alias("passage")
+    of_items = materialize(of_items.select("item", "length", "hash", passage).distinct(), "passages")
+    found = _windows(suspects.select("key", spoken.alias("words")), ["key"], lengths)
+    found = materialize(found.join(of_items.select("length", "hash", "passage").distinct(), ["length", "hash"]), "found")
+    checked = suspects.join(found, "key").filter(F.slice(spoken, F.col("place") + 1, F.col("length")) == F.col("passage"))
     hits = materialize(checked.select("key", "place", "length", "hash", "passage"), "hits")
-    discard(near)
+    discard(suspects)
+    discard(found)
 
     # Hit words of a document: runs of windows that overlap or touch.
     before = Window.partitionBy("key").orderBy("place", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,10 +143,3 @@ def contaminated(
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
     )
 
-
-def _whole(h: Column, shorter: list[int]) -> Column:
-    """The hash of a short item as ``fingerprint`` has it for a run of as many words."""
-    whole = F.lit(None).cast("long")
-    for m in shorter:
-        whole = F.when(F.size(h) == m, F.xxhash64(*[F.get(h, F.lit(j)) for j in range(m)])).otherwise(whole)
-    return whole
