@@ -249,3 +249,27 @@ def test_a_thousand_rules_stay_in_generated_code(spark):
             assert "(1) HashAggregate" in plan.toString() or "(1) Filter" in plan.toString() or "*(" in plan.toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("form, texts", [
+    ("%A, %d %B %Y", ["Monday, 05 February 2024", "monday, 5 february 2024", "Mon, 05 February 2024", "Monday, 31 February 2024", "Monday 05 February 2024", ""]),
+    ("%d %b %Y (%a)", ["05 Feb 2024 (Tue)", "05 Feb 2024 (Tues)", "05 Feb 2024", "5 FEB 2024 (TUE)"]),
+    ("%Y-%m-%d %H:%M:%S%z", ["2024-02-05 10:00:00+0200", "2024-02-05 10:00:00-05:30", "2024-02-05 10:00:00", "2024-02-05 10:00:00+2", "2024-02-05 10:00:00Z"]),
+    ("%%%Y", ["%2024", "2024"]),
+])
+def test_times_are_read_as_in_python(spark, form, texts):
+    from datetime import datetime
+
+    from rowassay.operators.bind import datetime_of
+
+    def reads(text):
+        try:
+            datetime.strptime(text, form)
+        except ValueError:
+            return False
+        return True
+
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", datetime_of(F.col("t"), form).isNotNull().alias("ok")).collect()
+    assert {r["t"]: r["ok"] for r in rows} == {t: reads(t) for t in texts}
