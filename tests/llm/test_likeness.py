@@ -394,3 +394,33 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, empty):
                 docs = spark.createDataFrame(out.collect(), frame.schema)
             else:
                 out.count()
+
+
+def test_edited_copies_whose_seeds_all_have_earlier_owners(spark):
+    """Every four words of a passage stand in earlier documents, apart from each other; a later copy with changed words is
+    still tied to the document that has the passage."""
+    rng = np.random.default_rng(11)
+    fresh = iter(range(10**6))
+
+    def words(n):
+        return [f"w{next(fresh)}" for _ in range(n)]
+
+    docs, pairs = [], []
+    for _ in range(60):
+        passage = words(50)
+        copy = list(passage)
+        for i in rng.choice(50, 6, replace=False):
+            copy[i] = words(1)[0]
+        for text in (passage, copy):  # each run of four words, its own document's, with other words between
+            docs += [" ".join(sum((text[i : i + 4] + words(6) for i in range(start, 47, 5)), [])) for start in range(5)]
+        pairs.append((passage, copy))
+    owners = len(docs)
+    docs += [" ".join(words(30) + p + words(30)) for p, _ in pairs] + [" ".join(words(30) + c + words(30)) for _, c in pairs]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {(r["doc_id"], r["source_id"]) for r in passages.repeated_passages(frame).collect()}
+    assert sum((owners + 60 + i, owners + i) in found for i in range(60)) >= 54
+    assert all(s >= owners for _, s in found)
+
+
+def test_least_seeds():
+    assert [passages.least_seeds(40, s) for s in (0.8, 0.9, 1.0)] == [5, 21, 37] and passages.least_seeds(10, 0.5) == 1
