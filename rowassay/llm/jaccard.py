@@ -8,6 +8,8 @@ symmetric difference, so what is too far apart is no candidate. Families of cand
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,10 +55,29 @@ def _low(band: int) -> int:
     return int(np.ceil(GROWTH**band - 1e-9))
 
 
+@functools.cache
+def _pieces(band: int, percent: int) -> tuple[int, int]:
+    """Pieces of the sketches of a band, and how many of them may be empty in a set that gives no keys for its empty ones.
+
+    Similar sets differ in ``d`` pieces at most, as |A ^ B| <= (100 - p) / (100 + p) * (|A| + |B|) if 100 |A & B| >= p |A | B|.
+    So with d + 1 + e pieces at least e + 1 are equal, and if one of the sets has only e empty ones, one that is not empty
+    is among them. ``e`` is a little more than the least sets of the band are expected to have.
+    """
+    least = 2 * (_low(band + 1) - 1) * (100 - percent) // (100 + percent) + 1
+    low, spare = max(1, _low(band) * percent // 100), 0
+    while True:
+        empty = (least + spare) * (1 - 1 / (least + spare)) ** low
+        if spare >= empty + np.sqrt(empty) or spare >= least:
+            return least + spare, spare
+        spare += 1
+
+
 def piece_keys(found: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the pieces of a set's sketches, one sketch for each band in which it may meet a similar set.
 
     The larger set of a pair is in its own band; the smaller one also goes to the next band if that may hold the larger.
+    Empty pieces are alike in sets that have nothing in common, so only a set with too many of them gives keys for them; a
+    similar set with as many does so too, and any other shares a piece with it that is not empty.
     """
     size, keys = len(found), []
     if not size:
@@ -65,15 +86,15 @@ def piece_keys(found: np.ndarray, percent: int) -> np.ndarray:
     for band in (own, own + 1):
         if band > own and size * 100 < percent * _low(band):
             break
-        # |A ^ B| <= (100 - p) / (100 + p) * (|A| + |B|) if 100 |A & B| >= p |A | B|
-        pieces = 2 * (_low(band + 1) - 1) * (100 - percent) // (100 + percent) + 1
+        pieces, spare = _pieces(band, percent)
         piece = (found >> np.uint64(11)) % np.uint64(pieces)
         order = np.argsort(piece, kind="stable")
         sorted_piece = piece[order]
         starts = np.flatnonzero(np.concatenate([[True], sorted_piece[1:] != sorted_piece[:-1]]))
         sketch = np.zeros(pieces, np.uint64)
         sketch[sorted_piece[starts]] = np.bitwise_xor.reduceat(found[order], starts)
-        keys.append(mix64(sketch + mix64(np.arange(pieces, dtype=np.uint64) * np.uint64(4096) + np.uint64(band))))
+        key = mix64(sketch + mix64(np.arange(pieces, dtype=np.uint64) * np.uint64(4096) + np.uint64(band)))
+        keys.append(key if pieces - len(starts) > spare else key[sorted_piece[starts]])
     return np.concatenate(keys)
 
 

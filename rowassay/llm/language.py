@@ -142,6 +142,7 @@ class Model:
     languages: list[str]
     pieces: list[str]
     logs: np.ndarray  # pieces (and the spare number) by languages
+    letters: np.ndarray  # for each language, how many letters it is written in
 
 
 def letter_pieces(path: str) -> list[str]:
@@ -167,7 +168,17 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 3, s
         columns.append(logs[:, 0])
     logs = np.stack(columns, axis=1) if columns else np.zeros((len(pieces) + 1, 0))
     logs[-1] = logs.min() - 1 if logs.size else 0
-    return Model(sorted(counts), pieces, logs)
+    return Model(sorted(counts), pieces, logs, np.array([_letters(counts[c]) for c in sorted(counts)], float))
+
+
+def _letters(counts: dict[str, int]) -> int:
+    """Letters that make up 99.9 % of a language's words, and one for the start of a word."""
+    found: dict[str, int] = {}
+    for word, n in counts.items():
+        for c in word:
+            found[c] = found.get(c, 0) + n
+    sizes = np.sort(np.array(list(found.values()), float))[::-1]
+    return 1 + int((np.cumsum(sizes) < 0.999 * sizes.sum()).sum()) + 1
 
 
 def _letter_words(texts: pa.Array) -> pa.Array:
@@ -198,9 +209,10 @@ def train(df: DataFrame, language_col: str = "lang", id_col: str = "doc_id", tex
     return fit(counts, letter_pieces(path or vocabulary("piece_bpe_32k.model")))
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def identify(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """Language of every whole text: the columns of ``keep``, and ``into``: the language and its share of the likelihood
-    (0 to 1).
+    (0 to 1); if a third column is named, also how much better, in nats a letter, that language explains the text than its
+    letters drawn alike often. Letter junk and scripts that no learned language has are under 0 there (null without a letter).
 
     A text that is null or has no letter is ``und`` with score 0; so is every text if no language was learned. Ties go to
     the language that is first by name. Repeated rows are kept; other columns are not read. Names of ``into`` must not be among ``keep``.
@@ -222,13 +234,19 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
             said = pc.not_equal(words, "").to_numpy(zero_copy_only=False).astype(np.int64)
             letters = sums_by_run(said, counts) > 0
             if not width:
-                return [text_array([UNKNOWN] * len(texts)), pa.array(np.zeros(len(texts)))]
+                return [text_array([UNKNOWN] * len(texts)), pa.array(np.zeros(len(texts))), pa.nulls(len(texts), pa.float64())][: len(into)]
             total = sums_by_run(store.numbers(words)[0].reshape(-1, width), counts)
             best = total.argmax(axis=1)
             share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
-            return [text_array(names), pa.array(np.where(letters, share, 0.0))]
+            made = [text_array(names), pa.array(np.where(letters, share, 0.0))]
+            if len(into) > 2:
+                # a word's start counts as a letter, as it does for the pieces
+                size = sums_by_run((pc.utf8_length(words).to_numpy() + 1) * said, counts)
+                gain = total.max(axis=1) / np.maximum(size, 1) + np.log(model.letters[best])
+                made.append(pa.array(gain, mask=~letters))
+            return made
 
         return work
 
-    return map_texts(df, list(keep), text_col, f"{into[0]} string, {into[1]} double", begin)
+    return map_texts(df, list(keep), text_col, ", ".join(f"{name} {kind}" for name, kind in zip(into, ("string", "double", "double"))), begin)

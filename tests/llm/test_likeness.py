@@ -424,3 +424,57 @@ def test_edited_copies_whose_seeds_all_have_earlier_owners(spark):
 
 def test_least_seeds():
     assert [passages.least_seeds(40, s) for s in (0.8, 0.9, 1.0)] == [5, 21, 37] and passages.least_seeds(10, 0.5) == 1
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_a_key(percent):
+    """The pigeonhole bound, with no keys for the empty pieces of most sets."""
+    rng = np.random.default_rng(percent)
+    without = 0
+    for _ in range(1500):
+        union = int(rng.integers(1, 260))
+        common = -(-percent * union // 100)
+        extra = rng.integers(0, 2**63, union, dtype=np.uint64)
+        mine = rng.random(union - common) < rng.choice([0, 0.5, 1])
+        a, b = (np.unique(np.concatenate([extra[:common], extra[common:][side]])) for side in (mine, ~mine))
+        keys = [jaccard.piece_keys(x, percent) for x in (a, b)]
+        assert len(np.intersect1d(*keys))
+        without += len(keys[0]) < sum(jaccard._pieces(band, percent)[0] for band in (jaccard._band(len(a)), jaccard._band(len(a)) + 1))
+    assert without > 750
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 60), st.integers(0, 3), st.integers(1, 25)), max_size=40))
+def test_needed_matches_cover_the_same_words(found):
+    """What goes is tied to the same place of the source by what stays; short matches all stay."""
+    pair, place, other, size = (np.array([f[k] for f in found], np.int32) for k in range(4))
+    keep = passages._needed(pair, place, other, size, 10)
+    assert keep[size < 10].all()
+
+    def covered(on):
+        return {(p, o, x) for p, s, o, n in zip(pair[on].tolist(), place[on].tolist(), other[on].tolist(), size[on].tolist()) if n >= 10 for x in range(s, s + n)}
+
+    assert covered(keep) == covered(np.ones(len(keep), bool))
+
+
+def test_a_repeating_text_needs_few_matches(spark):
+    """Texts that say one word on and on, tied from the third on: rows grow with the words over the least, not with the words."""
+    own = [" ".join([f"{c}{i}" for i in range(30)] + ["spam"] * n) for c, n in (("a", 900), ("b", 700), ("c", 600))]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    rows = [r for r in passages.repeated_passages(docs).collect() if r["doc_id"] == 2]
+    assert set().union(*(range(r["start_word"], r["end_word"]) for r in rows)) >= set(range(30, 630))
+    assert len(rows) <= 2 * 600 / 40 + 2
+
+
+def test_language_stage_decides_by_its_score(spark, documents):
+    """Letter junk and scripts that were not learned go; texts of every learned language stay, and columns may have any name."""
+    rng = random.Random(5)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)) for _ in range(5)]
+    junk += ["Москва столица России большой город", "中文字符很多", "123 456", None]
+    odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    docs = documents.unionByName(odd, allowMissingColumns=True).withColumn("Gain", documents["lang"])
+    kept = corpus_pipeline.language_stage(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    kept = {r["doc_id"] for r in kept.collect()}
+    assert not any(i < 0 for i in kept)
+    assert kept >= {r["doc_id"] for r in documents.filter("text rlike '[A-Za-z]{3}'").collect()}
