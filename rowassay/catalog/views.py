@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowassay.functions.ids import add_row_ids
-from rowassay.session import materialize
 from rowassay.sources.scan import scan_table
 
 LINEITEM = [
@@ -28,8 +27,8 @@ def numbered(spark: SparkSession, sf: str, table: str) -> DataFrame:
     """A table with row ids, written once per application: everything downstream reads this."""
     key = (spark.sparkContext.applicationId, sf, table)
     if key not in _ready:
-        # Written with its ids, so that readers plan no join and can prune by row id.
-        _ready[key] = materialize(add_row_ids(raw(spark, sf, table), _ORDER[table]), table)
+        # add_row_ids has written it: the ids are a projection of what is read, without a join.
+        _ready[key] = add_row_ids(raw(spark, sf, table), _ORDER[table])
     return _ready[key]
 
 

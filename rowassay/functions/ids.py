@@ -36,8 +36,8 @@ def _range_keys(df: DataFrame, keys: list[str]) -> list[Column]:
 def add_row_ids(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Fresh ids 0..N-1 in the order of ``order_by`` (then all other columns), as first column.
 
-    The table is range-partitioned and sorted in parallel and written once; the id of a row is its
-    position in its own partition plus the sizes of the partitions before it. Identical rows are
+    The table is range-partitioned and sorted in parallel and written once, its only shuffle; the id of a row is
+    its position in its own partition plus the sizes of the partitions before it. Identical rows are
     told apart by their place in the input, so a large group of copies spreads over partitions;
     for that the input should be a scan (or a written table), whose row order is repeatable.
 
@@ -58,12 +58,9 @@ def add_row_ids(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
         "_part": F.shiftright("_place", _LOW_BITS),
         "_pos": F.col("_place").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)),
     })
-    # One row per partition: bounded by the number of tasks, not by the data.
-    sizes = sorted((r["_part"], r["count"]) for r in written.groupBy("_part").count().collect())
-    starts = accumulate([0] + [n for _, n in sizes][:-1])
-    offsets = df.sparkSession.createDataFrame(
-        [(part, start) for (part, _), start in zip(sizes, starts)], "_part bigint, _start bigint"
-    )
-    return written.join(offsets, "_part").select(
-        (F.col("_start") + F.col("_pos")).alias(ROW_ID), *df.columns
-    )
+    # One row per partition: bounded by the number of tasks, not by the data. The starts are a literal of the projection: a
+    # join would shuffle and sort the whole table again, by as few keys as there are partitions.
+    sizes = {r["_part"]: r["count"] for r in written.groupBy("_part").count().collect()}
+    starts = list(accumulate([0] + [sizes.get(part, 0) for part in range(max(sizes, default=-1) + 1)]))
+    start = F.element_at(F.array(*[F.lit(n) for n in starts]).cast("array<bigint>"), (F.col("_part") + 1).cast("int"))
+    return written.select((start + F.col("_pos")).alias(ROW_ID), *df.columns)

@@ -29,6 +29,17 @@ def test_copies_of_one_row_spread_over_partitions(spark):
     assert max(sizes) < 2 * 90_000 / 8
 
 
+def test_ids_are_a_projection_of_one_written_table(spark, capsys):
+    """Reading a numbered table shuffles nothing, however large it is; empty partitions and empty tables are fine."""
+    df = spark.range(1000).select((F.col("id") % 7).alias("x")).repartition(9)
+    out = ids.add_row_ids(df)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Join" not in plan
+    assert [r[0] for r in out.orderBy("x", ROW_ID).collect()] == list(range(1000))
+    assert ids.add_row_ids(df.filter("x > 7")).collect() == []
+
+
 def _brute(n, seed, k):
     order = sorted(range(n), key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
     return set(order[:k])
