@@ -14,7 +14,7 @@ from rowassay.operators.metrics import detection_scores, recall_by_type
 from rowassay.operators.profile import profile_rules
 from rowassay.operators.rules import rule
 from rowassay.operators.validate import flagged_rows, outcomes
-from rowassay.plans.grid import CROSS_ROW, Grid
+from rowassay.plans.grid import CROSS_ROW, Grid, _Frame
 from rowassay.plans.judge import Suite, facts_frame
 from rowassay.plans.injection import injection_grid
 from rowassay.plans.suites import hand_written
@@ -150,3 +150,22 @@ def test_suites_without_row_rules(spark):
     values = {(f["method"], f["error_type"], f["metric"]): f["value"] for f in grid.detection_facts()}
     assert values["top", "out_of_range", "dataset_detected"] == 1 and values["none", "out_of_range", "dataset_detected"] == 0
     assert values["top", "out_of_range", "recall"] == 0 and values["top", "out_of_range", "precision"] is None
+
+
+def test_grid_is_evaluated_in_methods_that_are_compiled(spark, monkeypatch):
+    """Spark's default lets methods grow that the JVM only interprets; the session's own setting is back afterwards."""
+    limit, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before, clean = spark.conf.get(limit), _Frame.clean
+    monkeypatch.setattr(_Frame, "clean", lambda self: seen.append(int(spark.conf.get(limit))) or clean(self))
+    base = frame(spark, SMALL, "customer")
+    Grid(injection_grid(base, PLAN[:1], [0.05], [1], "c"), [Suite("extra", "a", 0, tuple(EXTRA[:5]))], "c")
+    assert seen and max(seen) <= 8000 and spark.conf.get(limit) == before
+
+
+def test_only_keys_and_verdicts_of_the_clean_table_are_shuffled(spark, monkeypatch):
+    """However wide the table, its other columns stay out of the joins with repeated keys."""
+    base, seen, mark = frame(spark, SMALL, "customer"), [], _Frame._mark
+    monkeypatch.setattr(_Frame, "_mark", lambda self, df, *a: seen.append(set(df.columns)) or mark(self, df, *a))
+    rules = [rule("expect_column_values_to_be_unique", column="c_nationkey"), rule("expect_column_values_to_not_be_null", column="c_name")]
+    Grid(injection_grid(base, PLAN[2:3], [0.05], [1], "c"), [Suite("two", "a", 0, tuple(rules))], "c")
+    assert seen and not any(columns & {*base.columns, "_old"} for columns in seen)
