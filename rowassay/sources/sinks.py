@@ -18,8 +18,8 @@ def write_audit(audit: DataFrame, path: str) -> None:
     audit.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_variants(variants: DataFrame, labels: DataFrame, root: str) -> None:
-    """Corrupted tables and their labels, one partition per variant.
+def write_variants(variants: DataFrame | list[DataFrame], labels: DataFrame, root: str) -> None:
+    """Corrupted tables (in one frame, or in several, each of other variants) and their labels, one partition per variant.
 
     Both have the variant's identity in ``table_id``, ``variant_type``, ``variant_rate`` and
     ``variant_seed``; labels keep their own type, rate and seed as ``label_type``, ``label_rate`` and
@@ -27,7 +27,8 @@ def write_variants(variants: DataFrame, labels: DataFrame, root: str) -> None:
     """
     keys = {"variant_type": "error_type", "variant_rate": "rate", "variant_seed": "seed"}
     own = {c: f"label_{c.removeprefix('error_')}" for c in ("error_type", "rate", "seed")}
-    for name, frame in (("data", variants), ("labels", labels.withColumnsRenamed(own))):
+    frames = [("data", frame) for frame in (variants if isinstance(variants, list) else [variants])]
+    for name, frame in [*frames, ("labels", labels.withColumnsRenamed(own))]:
         writer = frame.withColumnsRenamed(keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("table_id", *keys.values()).parquet(f"{root}/{name}")
 
