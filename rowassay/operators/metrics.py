@@ -92,8 +92,14 @@ def suite_size(outcomes: DataFrame) -> DataFrame:
 
 
 def redundancy(rules: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rules that repeat another one exactly: same type, same arguments in any order."""
-    return rules.groupBy(*(by or [])).agg(
+    """Rules that repeat another one exactly: same type, same arguments in any order.
+
+    Rules are dealt out before they are counted, as most differ: a task that read them would hold all that its part of the
+    input says. A rule that many parts of the input have goes to several tasks.
+    """
+    by = by or []
+    spread = rules.repartition(*by, "expectation_type", "kwargs", F.spark_partition_id() % 32)
+    return spread.groupBy(*by).agg(
         (F.count("*") - F.count_distinct("expectation_type", "kwargs")).alias("redundancy")
     )
 

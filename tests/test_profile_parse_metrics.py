@@ -146,6 +146,25 @@ def test_redundancy_and_size(spark):
     assert metrics.suite_size(rules).first()[0] == 5
 
 
+def test_redundancy_deals_rules_out_before_it_counts(spark):
+    kind = "response_id long, expectation_type string, kwargs string"
+    rules = spark.createDataFrame([(1, "n", "a"), (1, "n", "a"), (1, None, "a"), (1, "n", None), (None, "n", "a"), (None, "n", "a"), (2, "u", "b")], kind)
+    counted = metrics.redundancy(rules, ["response_id"])
+    assert {r[0]: r[1] for r in counted.collect()} == {1: 3, None: 1, 2: 0}
+    assert metrics.redundancy(rules.limit(0)).first()[0] == 0
+    plan = counted._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    first = plan[plan.rindex("HashAggregate"):]
+    assert "REPARTITION_BY_COL" in first
+
+
+def test_parsed_rules_are_not_dealt_out_by_type(spark):
+    answers = spark.createDataFrame([(1, '[{"expectation_type":"expect_column_values_to_not_be_null","kwargs":{"column":"a"}}]')], "response_id long, text string")
+    parsed = parse_rules(answers)
+    assert [(r["status"], r["kwargs"]) for r in parsed.collect()] == [("valid", '{"column":"a"}')]
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
 def test_long_facts(spark):
     wide = spark.createDataFrame([("s", 0.5, None)], "method string, precision double, recall double")
     rows = metrics.long_facts(wide, ["precision", "recall"]).collect()
