@@ -300,6 +300,21 @@ def test_passages_whose_lines_are_frequent(spark, pieces):
     assert got == {(10 * case + 4, 10 * case + 3): (50, 110, 1.0) for case in range(cases)}
 
 
+def test_passages_never_shuffle_their_matches_twice_in_one_job(spark, monkeypatch):
+    own, written = passages.materialize, {}
+
+    def recorded(df, name):
+        written[name] = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(doc")
+        return own(df, name)
+
+    monkeypatch.setattr(passages, "materialize", recorded)
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"a{i} b{i} {shared} c{i}") for i in range(4)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in found if r["source_id"] == 0} == {(1, 0), (2, 0), (3, 0)}
+    assert max(written.values()) == 1
+
+
 def test_cutting_words(spark, odd, empty):
     assert passages.cut_words(" a b\nc  d ", [(1, 3)]) == " a d "
     assert passages.cut_words("a b", [(0, 9)]) == "" and passages.cut_words("a b c d", [(0, 2), (1, 3)]) == "d"
