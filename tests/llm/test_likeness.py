@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
@@ -493,3 +494,56 @@ def test_language_stage_decides_by_its_score(spark, documents):
     kept = {r["doc_id"] for r in kept.collect()}
     assert not any(i < 0 for i in kept)
     assert kept >= {r["doc_id"] for r in documents.filter("text rlike '[A-Za-z]{3}'").collect()}
+
+
+def test_matches_of_copies_move_a_row_a_bucket(spark, monkeypatch):
+    """Seeds and ties travel as a row a bucket: how many there are does not follow the words or the size of a group of copies."""
+    own, rows = passages.materialize, {}
+
+    def recorded(df, name):
+        table = own(df, name)
+        rows[name] = rows.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(passages, "materialize", recorded)
+    rng = np.random.default_rng(5)
+    shared = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(200):  # near copies: each changes three words
+        text = list(shared)
+        for k in rng.choice(200, 3, replace=False):
+            text[k] = f"x{i}_{k}"
+        docs.append((i, " ".join(text)))
+    found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"] for r in found} == set(range(1, 200))
+    assert rows["matches"] <= passages.ROUNDS * passages.BUCKETS[0] * spark.sparkContext.defaultParallelism
+    assert rows["whole"] <= passages.BUCKETS[0] * spark.sparkContext.defaultParallelism
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.text("aAbB \t\n\x0b\x0c\r\x1f\u00a0\u00e9\u00c9", max_size=12), max_size=6), st.integers(1, 9))
+def test_word_codes_tell_words_apart(texts, block):
+    every = ["x", *texts]
+    before, passages._BLOCK = passages._BLOCK, block
+    try:
+        codes, counts = passages.word_codes(pa.array(every, pa.string()).slice(1))
+        seen = [passages.word_codes(pa.array([w], pa.string()))[0].tolist() for t in texts for w in words_of(t)]
+    finally:
+        passages._BLOCK = before
+    words = [w for t in texts for w in words_of(t)]
+    assert counts.tolist() == [len(words_of(t)) for t in texts] and [[c] for c in codes.tolist()] == seen
+    assert len(set(codes.tolist())) == len(set(words))
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(-2, 4), st.integers(0, 5)), max_size=30))
+def test_ties_are_the_first_document_and_the_one_before(rows):
+    seed, doc, place = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.uint64, np.int64, np.int32)))
+    made = passages._ties(seed, doc, place)
+    wanted = []
+    for s, d, p in rows:
+        earlier = sorted((e, q) for t, e, q in rows if t == s and e < d)
+        if earlier:
+            last = min(q for e, q in earlier if e == earlier[-1][0])
+            wanted.append((d, p, s, *earlier[0], earlier[-1][0], last))
+    assert sorted(zip(*(v.tolist() for v in made.values()))) == sorted(wanted)
