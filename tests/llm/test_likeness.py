@@ -547,3 +547,44 @@ def test_ties_are_the_first_document_and_the_one_before(rows):
             last = min(q for e, q in earlier if e == earlier[-1][0])
             wanted.append((d, p, s, *earlier[0], earlier[-1][0], last))
     assert sorted(zip(*(v.tolist() for v in made.values()))) == sorted(wanted)
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_changed_passages_whose_lines_have_other_owners(spark, seed):
+    """Each line of the later copy is in a document before the source and in one after it, so no seed is tied to the source."""
+    pick = random.Random(seed)
+    word = lambda: "".join(pick.choice("abcdefghijklmnop") for _ in range(6))
+    texts, wanted = [], set()
+    for _ in range(10):
+        passage = [word() for _ in range(50)]
+        changed = list(passage)
+        for k in pick.sample(range(50), 6):
+            changed[k] = word()
+        pieces = [[word() for _ in range(30)] + changed[i : i + 10] + [word() for _ in range(30)] for i in range(0, 50, 7)]
+        wanted.add((len(texts) + 2 * len(pieces) + 1, len(texts) + len(pieces)))
+        texts += [*pieces, [word() for _ in range(40)] + passage + [word() for _ in range(40)]]
+        texts += [*pieces, [word() for _ in range(40)] + changed + [word() for _ in range(40)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = passages.repeated_passages(docs, every_source=True).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in found} >= wanted
+
+
+@pytest.mark.parametrize("piece", [4, 7, 1 << 13])
+def test_a_frequent_line_is_compared_by_pieces(monkeypatch, piece):
+    """A line in all texts: the words around it tell the one pair with a passage, however many occurrences are held at once."""
+    pick = random.Random(3)
+    word = lambda: "".join(pick.choice("abcdefghijklmnop") for _ in range(6))
+    line, passage = [word() for _ in range(12)], [word() for _ in range(40)]
+    texts = [[word() for _ in range(100)] + line + [word() for _ in range(100)] for _ in range(20)]
+    for i, changed in ((5, ()), (17, (3, 9, 21, 33))):
+        texts[i][112:152] = [word() if k in changed else w for k, w in enumerate(passage)]
+    seed = passages.word_seeds(passages.word_codes(pa.array([" ".join(line)]))[0])[:1]
+    one = [np.array([100], np.int32).tobytes(), seed.tobytes(), b"\1", b"", b""]
+    rows = [[i, *one, " ".join(t)] for i, t in enumerate(texts)]
+    kinds = [pa.int64(), *[pa.binary()] * 5, pa.string()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["who", "places", "seeds", "frees", "begins", "ends", "text"])
+    monkeypatch.setattr(passages, "PIECE", piece)
+    turns = [list(passages._around(40, 0.8, turn, 256)([batch])) for turn in range(passages.AROUND)]
+    ties = pa.Table.from_batches([b for t in turns if t for b in passages._compared(5, 40, 0.8, 256)(t)])
+    assert set(passages._values(ties, "doc", np.int64).tolist()) == {17} and set(passages._values(ties, "source", np.int64).tolist()) == {5}
+    assert set(passages._values(ties, "place", np.int32).tolist()) >= set(range(100, 112))
